@@ -18,3 +18,16 @@ def robust_parameters(train: DataFrame, by: list[str], y: str) -> DataFrame:
     scale = exact_quantiles(distance, by, "_d", {"scale": 0.5}).withColumn("scale", F.col("scale") / F.lit(MAD_SCALE))
     usable = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.raise_error(F.lit("target scale is zero")).cast("double"))
     return center.join(scale.withColumn("scale", usable), by)
+
+
+def unseen_categories(train: DataFrame, rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """Per group: rows whose category is absent from training, per column and in any column."""
+    marked = rows
+    for c in columns:
+        known = train.select(*by, c).distinct().withColumn(f"_k_{c}", F.lit(True))
+        marked = marked.join(known, [*by, c], "left")
+    unseen = {c: F.col(f"_k_{c}").isNull() for c in columns}
+    anywhere = F.lit(False)
+    for c in columns:
+        anywhere = anywhere | unseen[c]
+    return marked.groupBy(*by).agg(*[F.count_if(u).alias(f"unseen_{c}") for c, u in unseen.items()], F.count_if(anywhere).alias("unseen_any"))
