@@ -12,9 +12,13 @@ from .scalars import hash_number
 _TIES = 16
 
 
-def dense_index(df: DataFrame, key: str, tiebreak: str, name: str, buckets: int = 64) -> DataFrame:
+def dense_index(
+    df: DataFrame, key: str, tiebreak: str, name: str, buckets: int = 64, by: list[str] | None = None
+) -> DataFrame:
     """Add the 0-based rank of every row under the order (key, hash of tiebreak, tiebreak).
 
+    With ``by`` the ranks start anew in each group; the slices are the same for all groups.
+
     Approximate quantiles only choose where to cut the key range; ranks are exact: row_number in a
     slice plus the number of rows in earlier slices. Rows equal to a cut value, which may be a
     third of the table, are sliced again by their hash, so no task sees a whole hot key.
@@ -37,17 +41,14 @@ def dense_index(df: DataFrame, key: str, tiebreak: str, name: str, buckets: int
             ).otherwise(F.lit(_TIES)).cast("int"),
         )
     )
-    sizes = sliced.groupBy("_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    # At most buckets * 17 rows: the one un-partitioned window runs over this bounded table.
-    before = sizes.select(
-        "_b", "_s",
-        F.coalesce(
-            F.sum("_n").over(W.orderBy("_b", "_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_before"),
-    )
-    inner = W.partitionBy("_b", "_s").orderBy(key, "_h", tiebreak)
+    by = by or []
+    sizes = sliced.groupBy(*by, "_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    # At most buckets * 17 rows per group: the un-partitioned case runs over this bounded table.
+    earlier = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_b", "_s").rowsBetween(W.unboundedPreceding, -1)
+    before = sizes.select(*by, "_b", "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inner = W.partitionBy(*by, "_b", "_s").orderBy(key, "_h", tiebreak)
     return (
-        sliced.join(F.broadcast(before), ["_b", "_s"])
+        sliced.join(before if by else F.broadcast(before), [*by, "_b", "_s"])
         .withColumn(name, F.col("_before") + F.row_number().over(inner) - 1)
         .drop("_k", "_b", "_h", "_s", "_before")
     )
