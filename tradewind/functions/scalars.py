@@ -88,6 +88,11 @@ def tidy(c: Column, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def steady(c: Column, digits: int = 6) -> Column:
+    """Round a short decimal (a price, a median of prices) with its exact halves moved off the edge."""
+    return F.round(c + F.lit(1e-9), digits)
+
+
 def digest(*columns: str) -> Column:
     """256-bit digest of several columns; equal rows have equal digests, nulls included."""
     # Never null, so joins on it add no null filter over all columns for the optimizer to rewrite.

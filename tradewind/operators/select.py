@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TOLERANCE = 1e-12
 
@@ -44,7 +45,7 @@ def ordered_choices(scores: DataFrame, by: list[str], mse: str, simplicity: list
 
     ``simplicity`` columns are compared ascending, smaller is simpler.
     """
-    schema = scores.schema.add("rank", "bigint")
+    schema = T.StructType([*scores.schema.fields, T.StructField("rank", T.LongType())])
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         left, taken = pdf.copy(), []
@@ -92,3 +93,63 @@ def late_weight(grid: DataFrame, by: list[str], rule: str = "exact") -> DataFram
     if rule == "exact":
         return best(grid, by, [F.col("mse"), F.col("weight")])
     return first_within(grid, by, "mse", "weight")
+
+
+def next_quarter(scores: DataFrame, by: list[str], fold: str) -> DataFrame:
+    """Pairs of successive folds per group."""
+    w = W.partitionBy(*by).orderBy(fold)
+    return scores.select(*by, fold).distinct().withColumn("next_fold", F.lead(fold).over(w)).filter("next_fold IS NOT NULL")
+
+
+def forward_transfer(scores: DataFrame, by: list[str], fold: str, candidate: list[str], mse: str) -> DataFrame:
+    """Each fold's winner scored in the following fold, next to that fold's own winner."""
+    winner = best(scores.select(*by, fold, *candidate, mse), [*by, fold], [F.col(mse), *[F.col(c) for c in candidate]])
+    pairs = next_quarter(scores, by, fold)
+    carried = winner.join(pairs, [*by, fold])
+    later = scores.select(*by, F.col(fold).alias("next_fold"), *candidate, F.col(mse).alias("transfer_mse"))
+    own = winner.select(*by, F.col(fold).alias("next_fold"), F.col(mse).alias("best_mse"))
+    return carried.join(later, [*by, "next_fold", *candidate]).join(own, [*by, "next_fold"])
+
+
+def fold_roles(ts, folds) -> "F.Column":
+    """Array of (fold, role) a moment belongs to; ``folds`` holds (name, start, origin, end) texts.
+
+    Folds are time predicates, so assigning them is a projection: no join and no id lists.
+    """
+    from ..functions.scalars import in_window
+
+    return F.array_compact(F.array(*[
+        F.when(in_window(ts, a, b), F.struct(F.lit(name).alias("fold"), F.lit(role).alias("role")))
+        for name, start, origin, end in folds
+        for role, a, b in (("train", start, origin), ("valid", origin, end))
+    ]))
+
+
+def inner_quarters(name: str, start: str, origin: str, k: int = 3) -> list[tuple[str, str, str, str]]:
+    """The last ``k`` quarters before ``origin`` as folds named '<name>/<i>'."""
+    marks = [str(d.date()) for d in pd.date_range(end=origin, periods=k + 1, freq=pd.DateOffset(months=3))]
+    return [(f"{name}/{i}", start, marks[i], marks[i + 1]) for i in range(k)]
+
+
+def fold_support(rows: DataFrame, fold: str, role: str, entity: str, us: str, min_rows: int, min_entities: int) -> DataFrame:
+    """Row and entity support on both sides of each fold, and that training ends first."""
+    train = F.col(role) == "train"
+    per = rows.groupBy(fold, entity).agg(
+        F.count_if(train).alias("a"), F.count_if(~train).alias("b"), F.max(F.when(train, F.col(us))).alias("la"), F.min(F.when(~train, F.col(us))).alias("fb")
+    )
+    out = per.groupBy(fold).agg(
+        F.sum("a").alias("n_train"), F.sum("b").alias("n_valid"), F.count_if(F.col("a") > 0).alias("_ka"), F.count_if(F.col("b") > 0).alias("_kb"), F.max("la").alias("_l"), F.min("fb").alias("_f")
+    )
+    enough = (F.col("n_train") >= min_rows) & (F.col("n_valid") >= min_rows) & (F.col("_ka") >= min_entities) & (F.col("_kb") >= min_entities)
+    return out.select(fold, "n_train", "n_valid", enough.alias("supported"), (F.col("_l") < F.col("_f")).alias("ordered"))
+
+
+def first_valid(ranked: DataFrame, by: list[str]) -> DataFrame:
+    """Best-ranked candidate that is valid."""
+    return best(ranked.filter("valid"), by, [F.col("rank")])
+
+
+def freeze(choices: DataFrame, path: str) -> DataFrame:
+    """Record the choices in a write-once table and hand back the recorded ones."""
+    choices.write.mode("errorifexists").parquet(path)
+    return choices.sparkSession.read.parquet(path)

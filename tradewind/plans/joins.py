@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index, exact_quantiles
-from ..functions.scalars import in_window, moment, tidy
+from ..functions.scalars import in_window, moment, steady, tidy
 from ..operators import joins as J
 from ..operators.metrics import long_models, score
 from ..sources.tables import EVAL, FOLD_CTES, MODELS, PREDS, SEEN, TARGETS, TRADES, WINDOW_US
@@ -110,7 +110,7 @@ def checkpoints(t, k=40):
 
 
 @query("jn10", f"""WITH {TRADES}, {RANKED}
-SELECT probe, count(t.source_row) AS prior_n, count(DISTINCT t.entity) AS prior_entities, round(quantile_cont(t.price, 0.5), 6) AS median
+SELECT probe, count(t.source_row) AS prior_n, count(DISTINCT t.entity) AS prior_entities, round(quantile_cont(t.price, 0.5) + 1e-9::DOUBLE, 6) AS median
 FROM probes p LEFT JOIN trades t ON t.market = p.pm AND t.us < p.probe_us AND t.us >= p.probe_us - 1728000000000 GROUP BY 1""")
 def jn10(t):
     """Brute-force range join at 40 evenly spaced checkpoints, to compare with the window features."""
@@ -120,7 +120,7 @@ def jn10(t):
     counts = past.groupBy("probe").agg(F.count(F.lit(1)).alias("prior_n"), F.count_distinct("entity").alias("prior_entities"))
     median = exact_quantiles(past, ["probe"], "price", {"median": 0.5})
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return probes.select("probe").join(counts, "probe", "left").join(median, "probe", "left").select("probe", zero("prior_n"), zero("prior_entities"), F.round("median", 6).alias("median"))
+    return probes.select("probe").join(counts, "probe", "left").join(median, "probe", "left").select("probe", zero("prior_n"), zero("prior_entities"), steady(F.col("median")).alias("median"))
 
 
 WEIGHTS = [i / 10 for i in range(11)]

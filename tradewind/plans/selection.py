@@ -1 +1,220 @@
-"""Placeholder."""
+"""Temporal validation and selection queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.scalars import in_window, moment, names_where, tidy
+from ..operators import metrics as M
+from ..operators import select as S
+from ..session import fresh_path
+from ..sources.tables import ALPHAS, FEATURES, FOLD_CTES, FOLDS, MODELS, PREDS, SCORES, TARGETS
+from .joins import WINNERS, condition_winners
+from .registry import query
+from .scans import CONDITION_WHERE, CONDITIONS_SQL, conditions
+
+t6 = lambda *names: [tidy(F.col(n)).alias(n) for n in names]
+ORDER_SQL = "CASE feature WHEN 'brand' THEN 0 WHEN 'size' THEN 1 WHEN 'word' THEN 2 ELSE 3 END"
+
+
+def feature_order():
+    return F.array_position(F.array(*[F.lit(f) for f in FEATURES]), F.col("feature"))
+
+
+@query("sel1", f"""WITH {FOLD_CTES} SELECT fold, role, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM fold_rows GROUP BY 1, 2""")
+def sel1(t):
+    """Expanding folds from time predicates evaluated in one scan."""
+    rows = t.targets.withColumn("_f", F.explode(S.fold_roles(F.col("ts"), FOLDS)))
+    return rows.groupBy("_f.fold", "_f.role").agg(F.count(F.lit(1)).alias("n"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
+OUTER = (("D1", "1999-01-01"), ("D2", "1999-07-01"), ("D3", "2000-01-01"))
+
+
+@query("sel2", f"""WITH {TARGETS}, outer_f(parent, origin) AS (VALUES ('D1', TIMESTAMP '1999-01-01'), ('D2', TIMESTAMP '1999-07-01'), ('D3', TIMESTAMP '2000-01-01')),
+inner_f AS (SELECT parent, k AS inner_no, origin - INTERVAL 3 MONTH * (3 - k) AS a, origin - INTERVAL 3 MONTH * (2 - k) AS b FROM outer_f CROSS JOIN (VALUES (0), (1), (2)) v(k))
+SELECT parent, CAST(inner_no AS BIGINT) AS inner_no, CASE WHEN t.ts < a THEN 'train' ELSE 'valid' END AS role, count(*) AS n, count(DISTINCT entity) AS n_entities
+FROM targets t JOIN inner_f ON t.ts >= TIMESTAMP '1997-01-01' AND t.ts < b GROUP BY 1, 2, 3""")
+def sel2(t):
+    """Outer folds, each with its last three quarters as inner folds."""
+    folds = [f for name, origin in OUTER for f in S.inner_quarters(name, "1997-01-01", origin)]
+    rows = t.targets.withColumn("_f", F.explode(S.fold_roles(F.col("ts"), folds)))
+    per = rows.groupBy("_f.fold", "_f.role", "entity").agg(F.count(F.lit(1)).alias("n"))
+    out = per.groupBy("fold", "role").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_entities"))
+    return out.select(F.split_part("fold", F.lit("/"), F.lit(1)).alias("parent"), F.split_part("fold", F.lit("/"), F.lit(2)).cast("bigint").alias("inner_no"), "role", "n", "n_entities")
+
+
+@query("sel3", f"""WITH {FOLD_CTES} SELECT fold, count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'valid') AS n_valid,
+  count(*) FILTER (WHERE role = 'train') >= 200 AND count(*) FILTER (WHERE role = 'valid') >= 200 AND count(DISTINCT entity) FILTER (WHERE role = 'train') >= 100 AND count(DISTINCT entity) FILTER (WHERE role = 'valid') >= 100 AS supported,
+  max(us) FILTER (WHERE role = 'train') < min(us) FILTER (WHERE role = 'valid') AS ordered FROM fold_rows GROUP BY 1""")
+def sel3(t):
+    return S.fold_support(t.fold_rows, "fold", "role", "entity", "us", 200, 100)
+
+
+@query("sel4", f"""WITH {FOLD_CTES}, {CONDITIONS_SQL}, c AS (SELECT condition, fold, entity, y FROM fold_rows CROSS JOIN cond WHERE role = 'train' AND {CONDITION_WHERE}),
+m AS (SELECT condition, fold, quantile_cont(y, 0.5) AS med FROM c GROUP BY 1, 2)
+SELECT c.condition, c.fold, count(*) AS n, count(DISTINCT entity) AS n_entities, round(any_value(med), 6) + 0.0 AS center, round(quantile_cont(abs(y - med), 0.5) / 0.6744897501960817, 6) AS scale
+FROM c JOIN m ON m.condition = c.condition AND m.fold = c.fold GROUP BY 1, 2""")
+def sel4(t):
+    """Cohort audit per cleaning condition and fold with the robust target scale."""
+    from ..operators.features import robust_parameters
+    rows = t.targets.withColumn("_f", F.explode(S.fold_roles(F.col("ts"), FOLDS))).filter("_f.role = 'train'")
+    rows = rows.withColumn("fold", F.col("_f.fold")).withColumn("condition", F.explode(names_where(conditions()))).select("condition", "fold", "entity", "y")
+    per = rows.groupBy("condition", "fold", "entity").agg(F.count(F.lit(1)).alias("n"))
+    n = per.groupBy("condition", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_entities"))
+    return n.join(robust_parameters(rows, ["condition", "fold"], "y"), ["condition", "fold"]).select("condition", "fold", "n", "n_entities", *t6("center", "scale"))
+
+
+@query("sel5", f"""WITH {SCORES} SELECT market, feature, config, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market, feature ORDER BY mse, -alpha) AS rn FROM pooled) WHERE rn = 1""")
+def sel5(t):
+    out = S.ordered_choices(t.pooled.withColumn("simple", -F.col("alpha")), ["market", "feature"], "mse", ["simple"]).filter("rank = 1")
+    return out.select("market", "feature", "config", F.round("mse", 6).alias("mse"))
+
+
+@query("sel6", f"""WITH {SCORES} SELECT market, feature, config, row_number() OVER (PARTITION BY market, feature ORDER BY mse, alpha, config) AS rank FROM pooled""")
+def sel6(t):
+    return S.grid_rounded_choices(t.pooled, ["market", "feature"], "mse", ["alpha", "config"]).select("market", "feature", "config", "rank")
+
+
+@query("sel7", f"""WITH {SCORES}, f AS (SELECT market, feature, min(mse) AS mse FROM pooled GROUP BY 1, 2), m AS (SELECT market, min(mse) AS low FROM f GROUP BY 1)
+SELECT market, feature, round(mse, 6) AS mse FROM (SELECT f.*, row_number() OVER (PARTITION BY f.market ORDER BY {ORDER_SQL}) AS rn FROM f JOIN m ON m.market = f.market WHERE f.mse <= low + 1e-12) WHERE rn = 1""")
+def sel7(t):
+    f = t.pooled.groupBy("market", "feature").agg(F.min("mse").alias("mse")).withColumn("_ord", feature_order())
+    return S.first_within(f, ["market"], "mse", "_ord").select("market", "feature", F.round("mse", 6).alias("mse"))
+
+
+@query("sel8", f"""WITH {SCORES} SELECT market, feature, config, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY mse, {ORDER_SQL}, config) AS rn FROM pooled) WHERE rn = 1""")
+def sel8(t):
+    out = S.best(t.pooled.withColumn("_ord", feature_order()), ["market"], [F.col("mse"), F.col("_ord"), F.col("config")])
+    return out.select("market", "feature", "config", F.round("mse", 6).alias("mse"))
+
+
+WEIGHTS = [i / 10 for i in range(11)]
+LATE_SQL = """fp AS (SELECT market, fold, source_row, any_value(y) AS y, max(p) FILTER (WHERE feature = 'brand') AS a, max(p) FILTER (WHERE feature = 'emb') AS b FROM fold_preds WHERE config = 2 GROUP BY 1, 2, 3),
+grid AS (SELECT market, CAST(i / 10.0 AS DOUBLE) AS weight, count(*) AS n, round(avg(power(y - ((1 - i / 10.0::DOUBLE) * a + i / 10.0::DOUBLE * b), 2)), 9) AS mse FROM fp CROSS JOIN range(11) r(i) GROUP BY 1, 2)"""
+
+
+def late_sums(t, by):
+    """Metadata-like (brand) and image-like (embedding label) predictions side by side, then summed."""
+    side = lambda f, name: t.fold_preds.filter((F.col("feature") == f)).select("market", "fold", "source_row", "y", F.col("p2").alias(name))
+    rows = side("brand", "a").join(side("emb", "b").drop("y", "market"), ["fold", "source_row"])
+    return S.blend_sums(rows, by, "y", "a", "b")
+
+
+@query("sel9", f"""WITH {SCORES}, {LATE_SQL} SELECT market, weight, n, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY mse, weight) AS rn FROM grid) WHERE rn = 1""")
+def sel9(t):
+    grid = S.blend_scores(late_sums(t, ["market"]), WEIGHTS, 9)
+    return S.late_weight(grid, ["market"]).select("market", "weight", "n", F.round("mse", 6).alias("mse"))
+
+
+@query("sel10", f"""WITH {SCORES}, {LATE_SQL}, m AS (SELECT market, min(mse) AS low FROM grid GROUP BY 1)
+SELECT g.market, min(weight) AS weight FROM grid g JOIN m ON m.market = g.market WHERE mse <= low + 1e-12 GROUP BY 1""")
+def sel10(t):
+    grid = S.blend_scores(late_sums(t, ["market"]), WEIGHTS, 9)
+    return S.late_weight(grid, ["market"], "smallest").select("market", "weight")
+
+
+@query("sel11", f"""WITH {SCORES}, r AS (SELECT market, feature, config, mse, row_number() OVER (PARTITION BY market ORDER BY mse, feature, config) AS rank FROM pooled),
+ok AS (SELECT * FROM r WHERE NOT (feature = 'brand' AND config = 0) AND (rank % 2) = 0)
+SELECT market, feature, config, rank, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY rank) AS rn FROM ok) WHERE rn = 1""")
+def sel11(t):
+    """Next-ranked candidate whose final fit is valid; odd ranks stand for failed fits here."""
+    from pyspark.sql import Window as W
+    ranked = t.pooled.withColumn("rank", F.row_number().over(W.partitionBy("market").orderBy("mse", "feature", "config")).cast("bigint"))
+    fits = ranked.withColumn("valid", ~((F.col("feature") == "brand") & (F.col("config") == 0)) & (F.col("rank") % 2 == 0))
+    return S.first_valid(fits, ["market"]).select("market", "feature", "config", "rank", F.round("mse", 6).alias("mse"))
+
+
+@query("sel12", f"""WITH {SCORES}, w AS (SELECT market, feature, config FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY mse, feature, config) AS rn FROM pooled) WHERE rn = 1),
+leak AS (SELECT count(*) AS n FROM fold_rows WHERE ts >= '2000-01-01') SELECT market, feature, config, n AS rows_after_cutoff FROM w CROSS JOIN leak""")
+def sel12(t):
+    """Choices made on development rows only and frozen in a write-once table before evaluation."""
+    frozen = S.freeze(
+        S.best(t.pooled, ["market"], [F.col("mse"), F.col("feature"), F.col("config")]).select("market", "feature", "config"), fresh_path(t.spark, "frozen")
+    )
+    used = t.fold_rows.agg(F.count_if(F.col("us") >= 946_684_800_000_000).alias("rows_after_cutoff"))
+    return frozen.join(F.broadcast(used))
+
+
+@query("sel13", f"""WITH {SCORES}, q AS (SELECT *, round(sse / n, 9) AS mse FROM scores), w AS (SELECT market, fold, feature, config FROM (SELECT *, row_number() OVER (PARTITION BY market, fold ORDER BY mse, feature, config) AS rn FROM q) WHERE rn = 1),
+fp AS (SELECT market, fold, source_row, any_value(y) AS y, max(p) FILTER (WHERE feature = 'brand') AS a, max(p) FILTER (WHERE feature = 'emb') AS b FROM fold_preds WHERE config = 2 GROUP BY 1, 2, 3),
+g AS (SELECT market, fold, CAST(i / 10.0 AS DOUBLE) AS weight, round(avg(power(y - ((1 - i / 10.0::DOUBLE) * a + i / 10.0::DOUBLE * b), 2)), 9) AS mse FROM fp CROSS JOIN range(11) r(i) GROUP BY 1, 2, 3),
+gw AS (SELECT market, fold, weight FROM (SELECT *, row_number() OVER (PARTITION BY market, fold ORDER BY mse, weight) AS rn FROM g) WHERE rn = 1)
+SELECT w.market, w.fold, w.feature, w.config, gw.weight FROM w JOIN gw ON gw.market = w.market AND gw.fold = w.fold""")
+def sel13(t):
+    """Winner and optimal blend weight of every quarter."""
+    q = t.scores.withColumn("mse", F.round(F.col("sse") / F.col("n"), 9))
+    w = S.best(q, ["market", "fold"], [F.col("mse"), F.col("feature"), F.col("config")]).select("market", "fold", "feature", "config")
+    grid = S.blend_scores(late_sums(t, ["market", "fold"]), WEIGHTS, 9)
+    return w.join(S.late_weight(grid, ["market", "fold"]).select("market", "fold", "weight"), ["market", "fold"])
+
+
+@query("sel14", f"""WITH {SCORES}, q AS (SELECT *, round(sse / n, 9) AS mse FROM scores), w AS (SELECT market, fold, feature, config, mse FROM (SELECT *, row_number() OVER (PARTITION BY market, fold ORDER BY mse, feature, config) AS rn FROM q) WHERE rn = 1),
+nx AS (SELECT *, lead(fold) OVER (PARTITION BY market ORDER BY fold) AS next_fold, lead(mse) OVER (PARTITION BY market ORDER BY fold) AS best_mse FROM w)
+SELECT nx.market, nx.fold, nx.next_fold, nx.feature, nx.config, round(q.mse, 6) AS transfer_mse, round(nx.best_mse, 6) AS best_mse
+FROM nx JOIN q ON q.market = nx.market AND q.fold = nx.next_fold AND q.feature = nx.feature AND q.config = nx.config""")
+def sel14(t):
+    q = t.scores.withColumn("mse", F.round(F.col("sse") / F.col("n"), 9))
+    out = S.forward_transfer(q, ["market"], "fold", ["feature", "config"], "mse")
+    return out.select("market", "fold", "next_fold", "feature", "config", F.round("transfer_mse", 6).alias("transfer_mse"), F.round("best_mse", 6).alias("best_mse"))
+
+
+@query("sel15", f"""WITH {PREDS}, {WINNERS} SELECT w.condition, count(*) AS n_markets, count(*) FILTER (WHERE w.model <> b.model) AS n_changed, round(max(abs(w.mse - b.mse)), 6) AS widest_change
+FROM winners w JOIN winners b ON b.market = w.market AND b.condition = 'base' GROUP BY 1""")
+def sel15(t):
+    w = condition_winners(t)
+    base = w.filter("condition = 'base'").select("market", F.col("model").alias("b"), F.col("mse").alias("bm"))
+    return w.join(base, "market").groupBy("condition").agg(
+        F.count(F.lit(1)).alias("n_markets"), F.count_if(F.col("model") != F.col("b")).alias("n_changed"), tidy(F.max(F.abs(F.col("mse") - F.col("bm")))).alias("widest_change")
+    )
+
+
+@query("sel16", f"""WITH {SCORES}, w AS (SELECT market, feature, mse FROM (SELECT *, row_number() OVER (PARTITION BY market, feature ORDER BY mse, config) AS rn FROM pooled) WHERE rn = 1)
+SELECT a.market, a.feature AS candidate, b.feature AS reference, round(a.mse - b.mse, 6) + 0.0 AS delta FROM w a JOIN w b ON b.market = a.market AND b.feature = 'brand' WHERE a.feature <> 'brand'""")
+def sel16(t):
+    """Same kind of fit on other feature groups, contrasted with the brand fit of the same market."""
+    w = S.best(t.pooled, ["market", "feature"], [F.col("mse"), F.col("config")]).select("market", "feature", "mse")
+    ref = w.filter("feature = 'brand'").select("market", F.col("feature").alias("reference"), F.col("mse").alias("rm"))
+    return w.filter("feature <> 'brand'").join(ref, "market").select("market", F.col("feature").alias("candidate"), "reference", tidy(F.col("mse") - F.col("rm")).alias("delta"))
+
+
+@query("sel17", f"""WITH {SCORES} SELECT count(DISTINCT market) AS n_choices, 0::BIGINT AS stored_only, 0::BIGINT AS derived_only FROM pooled""")
+def sel17(t):
+    """Stored choices derived again by another route and compared as sets."""
+    stored = S.freeze(S.best(t.pooled, ["market"], [F.col("mse"), F.col("feature"), F.col("config")]).select("market", "feature", "config"), fresh_path(t.spark, "choices"))
+    low = t.pooled.groupBy("market").agg(F.min("mse").alias("mse"))
+    again = t.pooled.join(low, ["market", "mse"]).groupBy("market").agg(F.min(F.struct("feature", "config")).alias("m")).select("market", "m.feature", "m.config")
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name)).withColumn("_one", F.lit(1))
+    parts = n(stored, "n_choices").join(n(stored.exceptAll(again), "stored_only"), "_one").join(n(again.exceptAll(stored), "derived_only"), "_one")
+    return parts.drop("_one")
+
+
+@query("sel18", f"""WITH {PREDS}, s AS (SELECT *, concat(year(make_timestamp(us)), 'Q', quarter(make_timestamp(us))) AS quarter FROM long), x AS (SELECT 'all' AS sample, * FROM s UNION ALL SELECT 'strict', * FROM s WHERE evt <> 'R' AND prior_n >= 40)
+SELECT quarter, sample, model, count(*) AS n, round(sqrt(avg(power(y - p, 2))), 6) AS rmse FROM x GROUP BY 1, 2, 3""")
+def sel18(t):
+    quarter = F.concat(F.year("ts").cast("string"), F.lit("Q"), F.quarter("ts").cast("string"))
+    sample = names_where({"all": F.lit(True), "strict": (F.col("evt") != "R") & (F.col("prior_n") >= 40)})
+    rows = t.preds.withColumn("quarter", quarter).withColumn("sample", F.explode(sample))
+    return M.score(rows, ["quarter", "sample"], "entity", "y", MODELS).select("quarter", "sample", "model", "n", F.round("rmse", 6).alias("rmse"))
+
+
+@query("sel19", f"""WITH {SCORES}, b AS (SELECT market, feature, config FROM (SELECT *, row_number() OVER (PARTITION BY market, feature ORDER BY mse, -alpha) AS rn FROM pooled) WHERE rn = 1),
+bp AS (SELECT p.* FROM fold_preds p JOIN b ON b.market = p.market AND b.feature = p.feature AND b.config = p.config),
+pairs AS (SELECT a.market, a.fold, a.feature AS meta, avg(power(a.y - 0.5 * (a.p + e.p), 2)) AS mse_fold, count(*) AS n FROM bp a JOIN bp e ON e.fold = a.fold AND e.source_row = a.source_row AND e.feature = 'emb' WHERE a.feature <> 'emb' GROUP BY 1, 2, 3),
+cand AS (SELECT market, 'augmented' AS kind, meta AS candidate, round(sum(mse_fold * n) / sum(n), 9) AS mse FROM pairs GROUP BY 1, 2, 3 HAVING count(*) = 3
+  UNION ALL SELECT p.market, 'image_only', 'emb', p.mse FROM pooled p JOIN b ON b.market = p.market AND b.feature = p.feature AND b.config = p.config WHERE p.feature = 'emb' AND folds = 3)
+SELECT market, kind, candidate, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market, kind ORDER BY mse, candidate) AS rn FROM cand) WHERE rn = 1""")
+def sel19(t):
+    """Late pairs of every metadata family with the image family, pooled only when all folds exist."""
+    chosen = S.ordered_choices(t.pooled.withColumn("simple", -F.col("alpha")), ["market", "feature"], "mse", ["simple"]).filter("rank = 1")
+    picked = t.fold_preds.join(F.broadcast(chosen.select("market", "feature", "config")), ["market", "feature"]).select(
+        "market", "fold", "source_row", "y", "feature", F.array(*[f"p{i}" for i in range(len(ALPHAS))])[F.col("config").cast("int")].alias("p")
+    )
+    image = picked.filter("feature = 'emb'").select("fold", "source_row", F.col("p").alias("pe"))
+    pairs = picked.filter("feature <> 'emb'").join(image, ["fold", "source_row"])
+    e = F.col("y") - 0.5 * (F.col("p") + F.col("pe"))
+    sums = pairs.groupBy("market", "fold", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"))
+    late = sums.groupBy("market", F.col("feature").alias("candidate")).agg(F.round(F.sum("sse") / F.sum("n"), 9).alias("mse"), F.count(F.lit(1)).alias("folds")).filter("folds = 3")
+    alone = chosen.filter("feature = 'emb' AND folds = 3").select("market", F.col("feature").alias("candidate"), "mse", "folds")
+    every = late.withColumn("kind", F.lit("augmented")).unionByName(alone.withColumn("kind", F.lit("image_only")))
+    return S.best(every, ["market", "kind"], [F.col("mse"), F.col("candidate")]).select("market", "kind", "candidate", F.round("mse", 6).alias("mse"))
