@@ -1 +1,282 @@
-"""Placeholder."""
+"""Model queries. Closed forms on two numeric traits give the linear families an exact SQL check;
+the wide traits and embeddings run through the same code without one."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from ..functions.scalars import in_window, moment, names_where, robust_asinh, robust_sinh, tidy
+from ..operators import gram as G
+from ..operators import metrics as M
+from ..operators import models as L
+from ..operators import select as S
+from ..sources.tables import EVAL, FOLD_CTES, FOLDS, PREDS, TARGETS, TRAIN
+from .features import early_vectors, entities, image_vectors, trait_vectors, vectors
+from .registry import query
+from .scans import CONDITION_WHERE, CONDITIONS_SQL, asinh_parameters, conditions
+
+t6 = lambda *names: [tidy(F.col(n)).alias(n) for n in names]
+
+
+def small(t):
+    """Two numeric traits per entity as a vector."""
+    return entities(t).select("entity", "market", "x1", "x2", F.array("x1", "x2").alias("x"))
+
+
+def train_sums(t, by=("market",)):
+    return G.entity_targets(t.train, list(by), "entity", "y")
+
+
+X2 = """px AS (SELECT p_partkey AS entity, p_size / 10.0::DOUBLE AS x1, p_retailprice / 1000.0::DOUBLE AS x2 FROM part)"""
+
+
+def moments_sql(source: str, by: str, w: str = "1.0::DOUBLE", y: str = "y") -> str:
+    """CTE mom: centred second moments of (x1, x2, y) per group."""
+    return f"""{X2}, s0 AS (SELECT {by}, sum({w}) AS n, sum({w} * x1) / sum({w}) AS m1, sum({w} * x2) / sum({w}) AS m2, sum({w} * {y}) / sum({w}) AS my FROM {source} JOIN px USING (entity) GROUP BY {by}),
+mom AS (SELECT s.{by.replace(', ', ', s.')}, any_value(n) AS n, any_value(m1) AS m1, any_value(m2) AS m2, any_value(my) AS my, sum({w} * (x1 - m1) * (x1 - m1)) AS s11, sum({w} * (x1 - m1) * (x2 - m2)) AS s12,
+  sum({w} * (x2 - m2) * (x2 - m2)) AS s22, sum({w} * (x1 - m1) * ({y} - my)) AS t1, sum({w} * (x2 - m2) * ({y} - my)) AS t2
+  FROM {source} JOIN px USING (entity) JOIN s0 s USING ({by}) GROUP BY s.{by.replace(', ', ', s.')})"""
+
+
+def ridge_sql(alpha: str) -> str:
+    det = f"((s11 + {alpha}) * (s22 + {alpha}) - s12 * s12)"
+    return f"(t1 * (s22 + {alpha}) - s12 * t2) / {det} AS b1, ((s11 + {alpha}) * t2 - s12 * t1) / {det} AS b2"
+
+
+SHOW = "round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2, round(my - m1 * b1 - m2 * b2, 6) + 0.0 AS intercept"
+
+
+def shown(fits, *keys):
+    return fits.select(*keys, tidy(F.col("coef")[0]).alias("b1"), tidy(F.col("coef")[1]).alias("b2"), *t6("intercept"))
+
+
+def small_grams(t, by=("market",), rows=None):
+    sums = G.entity_targets(t.train if rows is None else rows, list(by), "entity", "y")
+    return G.accumulate(sums.join(small(t).select("entity", "x"), "entity"), list(by))
+
+
+GRAM_SQL = f"""WITH {TARGETS}, {X2} SELECT market, i, round(sum(z * 1.0), 5) AS g0, round(sum(z * x1), 5) AS g1, round(sum(z * x2), 5) AS g2, round(sum(z * y), 5) + 0.0 AS b, round(CASE WHEN i = 0 THEN sum(y * y) ELSE 0 END, 5) + 0.0 AS c
+FROM (SELECT market, i, CASE i WHEN 0 THEN 1.0::DOUBLE WHEN 1 THEN x1 ELSE x2 END AS z, x1, x2, y FROM train JOIN px USING (entity) CROSS JOIN (VALUES (0), (1), (2)) v(i)) GROUP BY 1, 2"""
+
+
+def gram_shown(g):
+    return g.select("market", "i", *[tidy(F.col("g")[k], 5).alias(f"g{k}") for k in range(3)], tidy(F.col("b"), 5).alias("b"), tidy(F.col("c"), 5).alias("c"))
+
+
+@query("md0", GRAM_SQL)
+def md0(t):
+    """Gram statistics from counted entity sums, by matrix products in Arrow batches."""
+    return gram_shown(small_grams(t))
+
+
+@query("md0_rows", GRAM_SQL)
+def md0_rows(t):
+    """The same Gram from expanded trades, as JVM sums over columns."""
+    rows = t.train.join(small(t).select("entity", "x1", "x2"), "entity").select("market", "x1", "x2", F.lit(1.0).alias("n"), F.col("y").alias("sy"), (F.col("y") * F.col("y")).alias("syy"))
+    return gram_shown(G.accumulate_columns(rows, ["market"], ["x1", "x2"]))
+
+
+@query("md1", f"WITH {TARGETS}, {moments_sql('train', 'market')}, b AS (SELECT *, {ridge_sql('0.0')} FROM mom) SELECT market, {SHOW} FROM b")
+def md1(t):
+    return shown(L.fit_grid(small_grams(t), ["market"], L.grid("ols")), "market")
+
+
+@query("md2", f"""WITH {TARGETS}, {moments_sql('train', 'market')}, b AS (SELECT *, {ridge_sql('a')} FROM mom CROSS JOIN (SELECT CAST(k AS BIGINT) AS config_index, power(10.0::DOUBLE, k - 2) AS a FROM range(9) r(k)))
+SELECT market, config_index, {SHOW} FROM b""")
+def md2(t):
+    """Ridge on the full alpha grid from one Gram per market."""
+    return shown(L.fit_grid(small_grams(t), ["market"], L.grid("ridge")), "market", "config_index")
+
+
+@query("md3", f"""WITH {TARGETS}, {moments_sql('train', 'market')}, g AS (SELECT row_number() OVER (ORDER BY a, r) - 1 AS config_index, a, r FROM (VALUES (0.001::DOUBLE), (0.01), (0.1), (1), (10)) x(a) CROSS JOIN (VALUES (0.1::DOUBLE), (0.5), (0.9)) y(r))
+SELECT market, config_index, round(sign(t1 / n) * greatest(abs(t1 / n) - a * r, 0) / (s11 / n + a * (1 - r)), 6) + 0.0 AS b1 FROM mom CROSS JOIN g""")
+def md3(t):
+    """Elastic net on one trait, where the soft threshold is the closed form."""
+    sums = train_sums(t).join(small(t).select("entity", F.array("x1").alias("x")), "entity")
+    return L.fit_grid(G.accumulate(sums, ["market"]), ["market"], L.grid("elasticnet")).select("market", "config_index", tidy(F.col("coef")[0]).alias("b1"))
+
+
+@query("md4", f"""WITH {TARGETS}, {moments_sql('train', 'market')}, w AS (SELECT *, t1 / sqrt(t1 * t1 + t2 * t2) AS w1, t2 / sqrt(t1 * t1 + t2 * t2) AS w2 FROM mom),
+b AS (SELECT *, w1 * (w1 * t1 + w2 * t2) / (w1 * w1 * s11 + 2 * w1 * w2 * s12 + w2 * w2 * s22) AS b1, w2 * (w1 * t1 + w2 * t2) / (w1 * w1 * s11 + 2 * w1 * w2 * s12 + w2 * w2 * s22) AS b2 FROM w),
+c AS (SELECT *, {ridge_sql('0.0')} FROM mom)
+SELECT market, 1::BIGINT AS components, {SHOW} FROM b UNION ALL SELECT market, 2::BIGINT, {SHOW} FROM c""")
+def md4(t):
+    """Partial least squares: one component in closed form, two components equal least squares."""
+    fits = L.fit_grid(small_grams(t), ["market"], [("pls", 1, {"components": 1}), ("pls", 2, {"components": 2})])
+    return shown(fits, "market", F.col("config_index").alias("components"))
+
+
+def svr_inputs(t):
+    rows = t.stage("svr_rows", lambda: t.train.select("entity", "y"))
+    return rows, t.stage("svr_vectors", lambda: small(t).select("entity", "x"))
+
+
+@query("md5")
+def md5(t):
+    """Squared epsilon-insensitive SVR by Newton steps; the certificate is part of the result."""
+    rows, vec = svr_inputs(t)
+    out = [(i, c, L.fit_svr(rows, vec, "entity", "y", 2, **c)) for i, c in enumerate(L.GRID["svr"])]
+    data = [(i, c["C"], c["epsilon"], float(f["beta"][0]), float(f["beta"][1]), float(f["beta"][2]), f["objective"], f["gradient_norm"], f["gap_bound"], bool(f["valid"])) for i, c, f in out]
+    return t.spark.createDataFrame(data, "config_index bigint, C double, epsilon double, b1 double, b2 double, intercept double, objective double, gradient_norm double, gap_bound double, valid boolean")
+
+
+CHECK_BETA = (0.02, -0.05, 0.01)
+
+
+@query("md17", f"""WITH {TARGETS}, {X2}, r AS (SELECT x1, x2, 0.02::DOUBLE * x1 - 0.05::DOUBLE * x2 + 0.01::DOUBLE - y AS raw FROM train JOIN px USING (entity)),
+e AS (SELECT *, sign(raw) * greatest(abs(raw) - 0.1::DOUBLE, 0) AS res FROM r), g AS (SELECT 0.5::DOUBLE * (0.0004 + 0.0025 + 0.0001) + 1.0 * sum(res * res) AS objective, 0.02 + 2 * sum(x1 * res) AS g1, -0.05 + 2 * sum(x2 * res) AS g2, 0.01 + 2 * sum(res) AS g3 FROM e)
+SELECT round(objective, 4) AS objective, round(sqrt(g1 * g1 + g2 * g2 + g3 * g3), 4) AS gradient_norm FROM g""")
+def md17(t):
+    """Objective and gradient norm recomputed for given coefficients."""
+    rows, vec = svr_inputs(t)
+    at = L.svr_certificate(rows, vec, "entity", "y", np.array(CHECK_BETA), 1.0, 0.1)
+    out = t.spark.createDataFrame([(at["objective"], at["gradient_norm"])], "objective double, gradient_norm double")
+    return out.select(F.round("objective", 4).alias("objective"), F.round("gradient_norm", 4).alias("gradient_norm"))
+
+
+def tree_rows(t, rows):
+    """Trades with their entity's fused vector and the transformed target."""
+    par = asinh_parameters(t)
+    z = robust_asinh(F.col("y"), F.col("center"), F.col("scale"))
+    return rows.join(par, "market").join(entities(t).select("entity", "x1", "x2"), "entity").select(
+        "source_row", "market", "entity", "y", "center", "scale", z.alias("z"), array_to_vector(F.array("x1", "x2")).alias("features")
+    )
+
+
+def tree_query(family, config, trees):
+    def run(t):
+        train = t.stage("tree_train", lambda: tree_rows(t, t.train))
+        model = L.fit_tree(train, family, config, trees=trees)
+        scored = model.transform(tree_rows(t, t.evaluation))
+        rows = scored.withColumn("p_tree", robust_sinh(F.col("p"), F.col("center"), F.col("scale"))).withColumn("p_zero", F.lit(0.0))
+        return M.score(rows, ["market"], "entity", "y", ["zero", "tree"]).select("market", "model", "n", *t6("rmse", "mae", "entity_rmse"))
+
+    return run
+
+
+# Ten trees keep the check short; the library default is the full ensemble of 300.
+query("md6")(tree_query("hist_gradient", L.BOOSTED[0], 10))
+query("md7")(tree_query("xgb_like", L.BOOSTED[3], 10))
+query("md8")(tree_query("lgbm_like", L.BOOSTED[5], 10))
+query("md9")(tree_query("forest", L.FOREST[2], 10))
+
+
+@query("md10", f"""WITH {TARGETS} SELECT market, family, true AS identical FROM (SELECT DISTINCT market FROM train) CROSS JOIN (VALUES ('ols'), ('ridge'), ('elasticnet')) v(family)""")
+def md10(t):
+    """Row-expanded and entity-counted fits of squared-loss families agree."""
+    rows = t.train.join(small(t).select("entity", "x"), "entity").select("market", "x", F.lit(1.0).alias("n"), F.col("y").alias("sy"), (F.col("y") * F.col("y")).alias("syy"))
+    configs = L.grid("ols", "ridge", "elasticnet")
+    a = L.fit_grid(small_grams(t), ["market"], configs).select("market", "family", "config_index", F.col("coef").alias("ca"))
+    b = L.fit_grid(G.accumulate(rows, ["market"]), ["market"], configs).select("market", "family", "config_index", F.col("coef").alias("cb"))
+    gap = F.array_max(F.zip_with("ca", "cb", lambda u, v: F.abs(u - v)))
+    return a.join(b, ["market", "family", "config_index"]).groupBy("market", "family").agg((F.max(gap) < 1e-9).alias("identical"))
+
+
+def fold_grams(t):
+    """Small Grams of every fold's training rows at once."""
+    return small_grams(t, ("fold",), t.fold_rows.filter("role = 'train'"))
+
+
+@query("md12", f"""WITH {FOLD_CTES}, ftr AS (SELECT * FROM fold_rows WHERE role = 'train'), {moments_sql('ftr', 'fold')}, b AS (SELECT *, {ridge_sql('1.0')} FROM mom)
+SELECT r.fold, r.source_row, round(my + (x1 - m1) * b1 + (x2 - m2) * b2, 6) + 0.0 AS p FROM fold_rows r JOIN px USING (entity) JOIN b ON b.fold = r.fold WHERE role = 'valid'""")
+def md12(t):
+    """Out-of-fold predictions: each quarter scored by the fit of the time before it."""
+    fits = L.fit_grid(fold_grams(t), ["fold"], [("ridge", 2, {"alpha": 1.0})])
+    return oof(t, fits).select("fold", "source_row", *t6("p"))
+
+
+def oof(t, fits, vec=None):
+    valid = t.fold_rows.filter("role = 'valid'").select("fold", "source_row", "market", "entity", "us", "y")
+    vec = small(t).select("entity", "x") if vec is None else vec
+    pairs = valid.select("fold", "entity").distinct().join(vec, "entity")
+    scored = L.predict(pairs, fits, ["fold"]).select("fold", "entity", "p")
+    return valid.join(scored, ["fold", "entity"])
+
+
+def search(t, vec, families, dims=None):
+    """Grid search over folds on wide vectors, entity-level from fit to score."""
+    train = t.fold_rows.filter("role = 'train'")
+    valid = t.fold_rows.filter("role = 'valid'")
+    grams = G.accumulate(G.entity_targets(train, ["fold"], "entity", "y").join(vec, "entity"), ["fold"])
+    fits = L.fit_grid(grams, ["fold"], L.grid(*families))
+    sums = G.entity_targets(valid, ["fold"], "entity", "y")
+    scored = L.predict(sums.join(vec, "entity"), fits.select("fold", "family", "config_index", "coef", "intercept"), ["fold"])
+    p = F.col("p")
+    per = scored.groupBy("fold", "family", "config_index").agg(
+        F.sum("n").alias("n"), F.sum(F.col("n") * p * p - 2 * p * F.col("sy") + F.col("syy")).alias("sse")
+    )
+    return per.join(fits.select("fold", "family", "config_index", "config", "valid", "reason"), ["fold", "family", "config_index"])
+
+
+@query("md_search")
+def md_search(t):
+    """The whole linear grid on traits plus embeddings over the three folds, pooled and ranked."""
+    scores = search(t, early_vectors(t), ["ols", "ridge", "elasticnet", "pls"])
+    pooled = S.pool(scores, ["family", "config_index", "config"])
+    best = S.best(pooled.filter("valid"), ["family"], [F.round("mse", 9), F.col("config_index")]).withColumn("best", F.lit(True)).select("family", "config_index", "best")
+    return pooled.join(best, ["family", "config_index"], "left").select("family", "config_index", "config", "n", "valid", "folds", *t6("mse"), F.coalesce("best", F.lit(False)).alias("best"))
+
+
+@query("md13", f"""WITH {TARGETS} SELECT market, components, components <= 2 AS valid, CASE WHEN components <= 2 THEN '' ELSE concat(2, ' of ', components, ' components') END AS reason
+FROM (SELECT DISTINCT market FROM train) CROSS JOIN (VALUES (1::BIGINT), (2), (8)) v(components)""")
+def md13(t):
+    """Validity rule: a fit with fewer components than asked for is reported, not used."""
+    fits = L.fit_grid(small_grams(t), ["market"], [("pls", k, {"components": k}) for k in (1, 2, 8)])
+    return fits.select("market", F.col("config_index").alias("components"), "valid", "reason")
+
+
+@query("md14", f"""WITH {TARGETS}, tm AS (SELECT market, entity, avg(y) AS y FROM train GROUP BY 1, 2), {moments_sql('tm', 'market')}, b AS (SELECT *, {ridge_sql('0.0')} FROM mom) SELECT market, {SHOW} FROM b""")
+def md14(t):
+    """Entity-mean training: one row per entity with equal weight."""
+    mean = train_sums(t).select("market", "entity", (F.col("sy") / F.col("n")).alias("m"))
+    rows = mean.join(small(t).select("entity", "x"), "entity").select("market", "x", F.lit(1.0).alias("n"), F.col("m").alias("sy"), (F.col("m") * F.col("m")).alias("syy"))
+    return shown(L.fit_grid(G.accumulate(rows, ["market"]), ["market"], L.grid("ols")), "market")
+
+
+@query("md15", f"""WITH {TARGETS}, {CONDITIONS_SQL}, ctr AS (SELECT condition, t.* FROM train t CROSS JOIN cond WHERE {CONDITION_WHERE}), {moments_sql('ctr', 'condition')}, b AS (SELECT *, {ridge_sql('10.0')} FROM mom),
+ev AS (SELECT e.*, x1, x2, s.sample FROM evaluation e JOIN px USING (entity) CROSS JOIN (VALUES ('all'), ('strict')) s(sample) WHERE sample = 'all' OR (evt <> 'R' AND prior_n >= 40))
+SELECT condition, sample, count(*) AS n, round(sqrt(avg(power(y - (my + (x1 - m1) * b1 + (x2 - m2) * b2), 2))), 6) AS rmse FROM ev CROSS JOIN b GROUP BY 1, 2""")
+def md15(t):
+    """One fixed configuration refitted per cleaning condition, scored on all and strict rows."""
+    rows = t.train.withColumn("condition", F.explode(names_where(conditions())))
+    fits = L.fit_grid(small_grams(t, ("condition",), rows), ["condition"], [("ridge", 3, {"alpha": 10.0})])
+    sample = names_where({"all": F.lit(True), "strict": (F.col("evt") != "R") & (F.col("prior_n") >= 40)})
+    sums = G.entity_targets(t.evaluation.withColumn("sample", F.explode(sample)), ["sample"], "entity", "y")
+    named = fits.select(F.col("condition").alias("family"), F.col("config_index"), "coef", "intercept")
+    scored = L.predict(sums.join(small(t).select("entity", "x"), "entity"), named, [])
+    p = F.col("p")
+    return scored.groupBy(F.col("family").alias("condition"), "sample").agg(
+        F.sum("n").cast("bigint").alias("n"), tidy(F.sqrt(F.sum(F.col("n") * p * p - 2 * p * F.col("sy") + F.col("syy")) / F.sum("n"))).alias("rmse")
+    )
+
+
+def residual_report(t, rows):
+    """Alpha search for a residual correction on embeddings: fit on the first quarters, score the last."""
+    fits = L.fit_grid(fold_grams(t), ["fold"], [("ridge", 2, {"alpha": 1.0})])
+    base = oof(t, fits).join(rows.select("source_row"), "source_row", "left_semi").withColumn("r", F.col("y") - F.col("p"))
+    vec = image_vectors(t)
+    early, last = base.filter("fold <> '1999Q4'"), base.filter("fold = '1999Q4'")
+    grams = G.accumulate(G.entity_targets(early, [], "entity", "r").join(vec, "entity"), [])
+    candidates = L.residual_grid(grams, [])
+    scored = L.predict(G.entity_targets(last, [], "entity", "r").join(vec, "entity"), candidates, [])
+    q = F.col("p")
+    out = scored.groupBy("config_index").agg(
+        F.sum("n").cast("bigint").alias("n"), F.sum("syy").alias("base_sse"), F.sum(F.col("n") * q * q - 2 * q * F.col("sy") + F.col("syy")).alias("sse")
+    )
+    alphas = F.array(*[F.lit(a) for a in L.RESIDUAL_ALPHAS])
+    out = out.withColumn("alpha", F.get(alphas, F.col("config_index").cast("int"))).withColumn("q4_rmse", F.sqrt(F.col("sse") / F.col("n")))
+    best = out.agg(F.min(F.struct(F.round("q4_rmse", 12), "alpha")).alias("b")).select(F.col("b.alpha").alias("best_alpha"))
+    return out.join(F.broadcast(best)).select("alpha", "n", *t6("q4_rmse"), tidy(1 - F.col("sse") / F.col("base_sse")).alias("partial_r2"), (F.col("alpha") == F.col("best_alpha")).alias("chosen"))
+
+
+@query("md11")
+def md11(t):
+    return residual_report(t, t.targets)
+
+
+@query("md16")
+def md16(t):
+    """The same correction when rows are filtered to the strict cohort before the alpha search."""
+    return residual_report(t, t.targets.filter((F.col("evt") != "R") & (F.col("prior_n") >= 40)))
