@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
-from ..session import written
+from ..session import broadcast_if_small, written
 
 
 def cluster_stats(df: DataFrame, by: list[str], cluster: str, y: str, models: list[str], prefix: str = "p_") -> DataFrame:
@@ -34,7 +34,9 @@ def cluster_stats(df: DataFrame, by: list[str], cluster: str, y: str, models: li
 
 def draw_slots(stats: DataFrame, by: list[str], n_draws: int, seed: int) -> DataFrame:
     """(by, draw, idx): one row per slot of every draw."""
-    fours = stats.filter(F.col("idx") % 4 == 0).select(
+    # A small table grows n_draws-fold here, so it is spread over an explicit number of tasks first.
+    spread = int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    fours = stats.filter(F.col("idx") % 4 == 0).repartition(spread, "idx").select(
         *by, "g", F.col("idx").alias("slot"), F.expr("idx div 4").alias("quad"), F.explode(F.sequence(F.lit(0), F.lit(n_draws - 1))).alias("draw")
     )
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col("draw"), F.col("quad")).cast("binary"))
@@ -49,7 +51,7 @@ def replicates(stats: DataFrame, slots: DataFrame, by: list[str], models: list[s
 
     ``slots`` may come from :func:`draw_slots` or be an external draw table with the same columns.
     """
-    j = slots.join(stats.select(*by, "idx", "n", *[f"sse_{m}" for m in models]), [*by, "idx"])
+    j = slots.join(broadcast_if_small(stats.select(*by, "idx", "n", *[f"sse_{m}" for m in models])), [*by, "idx"])
     sums = j.groupBy(*by, "draw").agg(
         F.sum("n").alias("_n"),
         *[F.sum(f"sse_{m}").alias(f"_s_{m}") for m in models],

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _STAGED: dict[tuple[str, str], str] = {}
 _LOCAL_BASE: dict[str, str] = {}
@@ -17,6 +18,7 @@ def local_session(cores: str = "*", app: str = "tradewind", partitions: int = 8)
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
@@ -69,3 +71,17 @@ def staged(spark: SparkSession, key: str, build) -> DataFrame:
         build().write.mode("errorifexists").parquet(path)
         _STAGED[slot] = path
     return spark.read.parquet(_STAGED[slot])
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
+    """Broadcast a written table after counting it; a bigger one is joined by sort-merge instead.
+
+    Used where the other side grows by an explode the optimizer cannot size.
+    """
+    return F.broadcast(df) if df.count() <= max_rows else df.hint("merge")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table stored in a few splits one task per core; a table of many splits is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_US, block_index, epoch_us, in_window, log_relative, moment
 from ..operators import temporal
-from ..session import staged
+from ..session import spread, staged
 
 WINDOW_US = 20 * DAY_US
 TRAIN = ("1997-01-01", "2000-01-01")
@@ -43,7 +43,7 @@ class Tables:
     @cached_property
     def trades(self) -> DataFrame:
         """lineitem with its order and part, as one row per trade."""
-        line, orders, part = self.read("lineitem"), self.read("orders"), self.read("part")
+        line, orders, part = spread(self.read("lineitem")), self.read("orders"), self.read("part")
         joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, part.p_partkey == line.l_partkey)
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
         return joined.select(
