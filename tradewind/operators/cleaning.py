@@ -7,6 +7,8 @@ row per task before the shuffle, and the join back can be split by adaptive exec
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,30 +17,46 @@ from ..functions.scalars import digest
 from .temporal import halo_shards
 
 
-def flag_exact_extras(df: DataFrame, columns: list[str], line: str, name: str = "exact_extra") -> DataFrame:
-    """Flag every copy of a fully equal row but the one with the smallest ``line``."""
-    marked = df.withColumn("_digest", digest(*columns))
-    copies = marked.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(line).alias("_first")).filter("_n > 1")
-    joined = marked.join(copies, "_digest", "left")
-    extra = F.col("_first").isNotNull() & (F.col(line) != F.col("_first"))
-    return joined.withColumn(name, extra).drop("_digest", "_n", "_first")
+def exact_extra_lines(df: DataFrame, columns: list[str], line: str) -> DataFrame:
+    """Lines of every copy of a fully equal row but the one with the smallest ``line``."""
+    narrow = df.select(line, digest(*columns).alias("_digest"))
+    copies = narrow.groupBy("_digest").agg(F.count(F.lit(1)).alias("_n"), F.min(line).alias("_first")).filter("_n > 1")
+    return narrow.join(copies, "_digest").filter(F.col(line) != F.col("_first")).select(line)
 
 
-def flag_shared(df: DataFrame, keys: list[str], name: str, distinct: str | None = None) -> DataFrame:
-    """Flag rows whose key occurs more than once (or with more than one ``distinct`` value)."""
+def shared_key_lines(df: DataFrame, keys: list[str], line: str, distinct: str | None = None) -> DataFrame:
+    """Lines whose key occurs more than once (or with more than one ``distinct`` value)."""
     if distinct is None:
         groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     else:
-        groups = df.groupBy(*keys, distinct).agg(F.lit(1).alias("_one")).groupBy(*keys).agg(F.count(F.col(distinct)).alias("_n"))
-    shared = groups.filter("_n > 1").select(*keys, F.lit(True).alias(name))
-    return df.join(shared, keys, "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        groups = df.select(*keys, distinct).distinct().groupBy(*keys).agg(F.count(distinct).alias("_n"))
+    return df.select(line, *keys).join(groups.filter("_n > 1").select(*keys), keys).select(line)
+
+
+def attach_flags(df: DataFrame, line: str, flagged: dict[str, DataFrame]) -> DataFrame:
+    """Boolean columns from lists of flagged lines.
+
+    The key shuffles behind each list carry only the key and the line; the wide log itself meets all
+    lists in one join on the unique line, which no group size can skew.
+    """
+    named = [lines.withColumn("_flag", F.lit(name)) for name, lines in flagged.items()]
+    every = reduce(lambda a, b: a.unionByName(b), named)
+    wide = every.groupBy(line).agg(*[F.bool_or(F.col("_flag") == n).alias(n) for n in flagged])
+    return df.join(wide, line, "left").withColumns({n: F.coalesce(n, F.lit(False)) for n in flagged})
+
+
+def flag_exact_extras(df: DataFrame, columns: list[str], line: str, name: str = "exact_extra") -> DataFrame:
+    return attach_flags(df, line, {name: exact_extra_lines(df, columns, line)})
+
+
+def flag_shared(df: DataFrame, keys: list[str], line: str, name: str, distinct: str | None = None) -> DataFrame:
+    return attach_flags(df, line, {name: shared_key_lines(df, keys, line, distinct)})
 
 
-def flag_repeated_ids(df: DataFrame, key: str, extra: str, name: str = "bad_id") -> DataFrame:
+def repeated_id(key: str, shared: str, extra: str) -> Column:
     """Missing id, or an id that repeats, on any row that is not already an exact extra."""
-    shared = flag_shared(df, [key], name)
-    blank = F.col(key).isNull() | (F.trim(F.col(key)) == "")
-    return shared.withColumn(name, (blank | F.col(name)) & ~F.col(extra))
+    blank = F.col(key).isNull() | (F.trim(key) == "")
+    return (blank | F.col(shared)) & ~F.col(extra)
 
 
 def waterfall(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:

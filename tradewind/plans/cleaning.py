@@ -79,10 +79,14 @@ def rule_conditions() -> list[tuple[str, F.Column]]:
 
 
 def flagged(t) -> DataFrame:
-    """Raw log with the flags that depend on other rows."""
-    rows = C.flag_exact_extras(t.trades_raw, COPY_COLUMNS, "line_no")
-    rows = C.flag_repeated_ids(rows, "trade_id", "exact_extra")
-    return C.flag_shared(rows, ["tx", "entity"], "ambiguous")
+    """Raw log with the flags that depend on other rows, attached in one join on the line."""
+    raw = t.trades_raw
+    rows = C.attach_flags(raw, "line_no", {
+        "exact_extra": C.exact_extra_lines(raw, COPY_COLUMNS, "line_no"),
+        "shared_id": C.shared_key_lines(raw, ["trade_id"], "line_no"),
+        "ambiguous": C.shared_key_lines(raw, ["tx", "entity"], "line_no"),
+    })
+    return rows.withColumn("bad_id", C.repeated_id("trade_id", "shared_id", "exact_extra"))
 
 
 def clean_ledger(t) -> DataFrame:
@@ -112,8 +116,9 @@ def cln1(t):
 
 @query("cln2", f"WITH {FLAGS} SELECT line_no, bad_id AS flag FROM flags")
 def cln2(t):
-    rows = C.flag_exact_extras(t.trades_raw, COPY_COLUMNS, "line_no")
-    return C.flag_repeated_ids(rows, "trade_id", "exact_extra").select("line_no", F.col("bad_id").alias("flag"))
+    raw = t.trades_raw
+    rows = C.attach_flags(raw, "line_no", {"extra": C.exact_extra_lines(raw, COPY_COLUMNS, "line_no"), "shared": C.shared_key_lines(raw, ["trade_id"], "line_no")})
+    return rows.select("line_no", C.repeated_id("trade_id", "shared", "extra").alias("flag"))
 
 
 for _id, _rule in [("cln3", "wrong_contract"), ("cln4", "bad_entity"), ("cln5", "bad_date"), ("cln6", "outside_cutoff"),
@@ -124,7 +129,7 @@ for _id, _rule in [("cln3", "wrong_contract"), ("cln4", "bad_entity"), ("cln5",
 
 @query("cln12", f"WITH {FLAGS} SELECT line_no, ambiguous AS flag FROM flags")
 def cln12(t):
-    return C.flag_shared(t.trades_raw, ["tx", "entity"], "flag").select("line_no", "flag")
+    return C.flag_shared(t.trades_raw, ["tx", "entity"], "line_no", "flag").select("line_no", "flag")
 
 
 def _flow_sql() -> str:
@@ -156,7 +161,7 @@ pairs AS (
 
 def with_multi(df):
     asset = df.withColumn("_asset", F.concat_ws("/", "market", "entity"))
-    return C.flag_shared(asset, ["tx"], "multi", distinct="_asset").drop("_asset")
+    return C.flag_shared(asset, ["tx"], "line_no", "multi", distinct="_asset").drop("_asset")
 
 
 def with_pairs(clean):

@@ -42,7 +42,10 @@ class Tables:
 
     @cached_property
     def trades(self) -> DataFrame:
-        """lineitem with its order and part, as one row per trade."""
+        """lineitem with its order and part, as one row per trade (stage table)."""
+        return self.stage("trades", self.build_trades)
+
+    def build_trades(self) -> DataFrame:
         line, orders, part = spread(self.read("lineitem")), self.read("orders"), self.read("part")
         joined = line.join(orders, line.l_orderkey == orders.o_orderkey).join(part, part.p_partkey == line.l_partkey)
         cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -74,7 +77,10 @@ class Tables:
 
     @cached_property
     def trades_raw(self) -> DataFrame:
-        """Trades with exact copies, unreadable prices, odd ids and wrong currencies mixed in."""
+        """Trades with exact copies, unreadable prices, odd ids and wrong currencies mixed in (stage table)."""
+        return self.stage("trades_raw", self.build_raw)
+
+    def build_raw(self) -> DataFrame:
         copies = F.when((F.col("order_id") * 7 + F.col("line") + F.col("entity")) % 97 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
         k = F.col("order_id") + F.col("line")
         symbol = F.substring("priority", 1, 1)
