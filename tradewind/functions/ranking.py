@@ -65,11 +65,13 @@ def exact_quantiles(
     """Exact quantiles per group without holding a group in memory.
 
     A quantile sketch brackets every wanted rank; one more pass counts the rows below the bracket
-    and keeps the distinct values inside it (about 4/accuracy of the group); the order statistics
+    and keeps the distinct values inside it (about 8/accuracy of the group); the order statistics
     are then picked by cumulative count. A rank outside its bracket raises, it is never guessed.
     ``nearest`` picks round(p*(n-1)) with halves to even; otherwise values are interpolated linearly.
     """
-    eps = 2.0 / accuracy
+    # One part for the sketch's error, one for a rank's distance from p * n, two in reserve. Groups of
+    # at most ``accuracy`` rows skip the sketch: their bracket is the whole group.
+    eps = 4.0 / accuracy
     names = list(probs)
     rows = df.filter(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("double"))
     whole = not by
@@ -90,8 +92,8 @@ def exact_quantiles(
             F.lit(n).alias("q"),
             F.lit(probs[n]).alias("p"),
             (F.lit(probs[n]) * (F.col("_n") - 1)).alias("at"),
-            F.when(F.lit(low[i] <= 0), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
-            F.when(F.lit(high[i] >= 1), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
+            F.when(F.lit(low[i] <= 0) | (F.col("_n") <= accuracy), F.col("_min")).otherwise(F.col("_lo")[i]).alias("lo"),
+            F.when(F.lit(high[i] >= 1) | (F.col("_n") <= accuracy), F.col("_max")).otherwise(F.col("_hi")[i]).alias("hi"),
         )
         for i, n in enumerate(names)
     ])
