@@ -7,6 +7,10 @@ of earlier shards, so a market holding a third of all trades still spreads over
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,6 +129,41 @@ def past_only_stat(
     return framed.groupBy(market, us).agg(F.first(name).alias(name))
 
 
+def past_only_median_sorted(
+    df: DataFrame, market: str, us: str, value: str, window: int = 20 * DAY_US, name: str = "baseline", shard: int | None = None
+) -> DataFrame:
+    """Same result as ``past_only_stat`` for fine stamps, where a frame is re-read at every moment.
+
+    Each (market, shard) slice keeps its window's values in one sorted list, entered and left by
+    bisection, so a row costs two list updates instead of a visit per moment of its window.
+    """
+    shard = shard or 3 * window
+    types = dict(df.dtypes)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(us)
+        at, values = pdf[us].to_numpy(), pdf[value].to_numpy(dtype=float)
+        moments = np.unique(at[pdf["_core"].to_numpy()])
+        first, last = np.searchsorted(at, moments - window), np.searchsorted(at, moments)
+        held: list[float] = []
+        lo = hi = 0
+        medians = np.full(len(moments), np.nan)
+        for k, (a, b) in enumerate(zip(first, last)):
+            for v in values[hi:b]:
+                insort(held, v)
+            for v in values[lo:a]:
+                del held[bisect_left(held, v)]
+            lo, hi, n = a, b, b - a
+            if n:
+                medians[k] = (held[(n - 1) // 2] + held[n // 2]) / 2
+        out = pd.DataFrame({market: pdf[market].iloc[0], us: moments, name: medians})
+        return out[[market, us, name]]
+
+    slices = halo_shards(df.select(market, us, value), us, window, shard).groupBy(market, "_shard")
+    out = slices.applyInPandas(run, f"{market} {types[market]}, {us} bigint, {name} double")
+    return out.withColumn(name, F.nullif(F.col(name), F.lit(float("nan"))))
+
+
 def past_only_median_by_count(
     df: DataFrame, market: str, us: str, value: str, window: int = 20 * DAY_US, name: str = "baseline", cells: int = 64
 ) -> DataFrame:

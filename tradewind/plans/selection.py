@@ -207,7 +207,7 @@ SELECT market, kind, candidate, round(mse, 6) AS mse FROM (SELECT *, row_number(
 def sel19(t):
     """Late pairs of every metadata family with the image family, pooled only when all folds exist."""
     chosen = S.ordered_choices(t.pooled.withColumn("simple", -F.col("alpha")), ["market", "feature"], "mse", ["simple"]).filter("rank = 1")
-    picked = t.fold_preds.join(F.broadcast(chosen.select("market", "feature", "config")), ["market", "feature"]).select(
+    picked = t.fold_preds.join(chosen.select("market", "feature", "config"), ["market", "feature"]).select(
         "market", "fold", "source_row", "y", "feature", F.array(*[f"p{i}" for i in range(len(ALPHAS))])[F.col("config").cast("int")].alias("p")
     )
     image = picked.filter("feature = 'emb'").select("fold", "source_row", F.col("p").alias("pe"))

@@ -46,6 +46,15 @@ def w1_events(t):
     return out.select("event_id", F.round("baseline", 6).alias("median"), "prior_n", F.col("prior_entities").alias("prior_users"))
 
 
+@query("w1_sorted", """SELECT DISTINCT event_type, us, round(quantile_cont(value, 0.5) OVER w, 6) AS median FROM (SELECT *, epoch_us(ts) AS us FROM events)
+WINDOW w AS (PARTITION BY event_type ORDER BY us RANGE BETWEEN 259200000000 PRECEDING AND 1 PRECEDING)""")
+def w1_sorted(t):
+    """Three-day median of microsecond events from sorted window lists."""
+    from ..functions.scalars import epoch_us
+    e = t.read("events").select("event_type", "value", epoch_us(F.col("ts")).alias("us"))
+    return T.past_only_median_sorted(e, "event_type", "us", "value", 3 * DAY_US, "median").select("event_type", "us", F.round("median", 6).alias("median"))
+
+
 @query("w2", f"WITH {TRADES} SELECT source_row, count(*) OVER w AS prior_n, count(DISTINCT entity) OVER w AS prior_entities FROM trades {FRAME(20)}")
 def w2(t):
     f = T.past_only_support(t.trades, "market", "us", "entity", WINDOW_US)
