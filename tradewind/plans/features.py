@@ -134,7 +134,7 @@ def early_vectors(t):
     return t.stage("early_vectors", lambda: X.concat_blocks(trait_vectors(t), image_vectors(t), "entity"))
 
 
-@query("fe7")
+@query("fe7", """SELECT CAST(max(len(embedding)) AS BIGINT) AS dims, count(*) AS n_rows, CAST(least(max(len(embedding)), least(256, count(*)) - 1) AS BIGINT) AS rank_lower_bound FROM embeddings""")
 def fe7(t):
     """Rank lower bound of the embedding block from 256 evenly spaced rows."""
     rows = dense_index(t.read("embeddings").select("vec_id", "embedding"), "vec_id", "vec_id", "idx")

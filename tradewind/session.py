@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +67,16 @@ def staged(spark: SparkSession, key: str, build) -> DataFrame:
     a scheduled job would read the output of the stage before it.
     """
     slot = (spark.sparkContext.applicationId, key)
-    if slot not in _STAGED:
-        path = fresh_path(spark, "stage")
-        build().write.mode("errorifexists").parquet(path)
-        _STAGED[slot] = path
-    return spark.read.parquet(_STAGED[slot])
+    if slot in _STAGED:
+        try:
+            return spark.read.parquet(_STAGED[slot])
+        except AnalysisException:
+            # The shared folder was cleaned between two queries: build the stage again.
+            del _STAGED[slot]
+    path = fresh_path(spark, "stage")
+    build().write.mode("errorifexists").parquet(path)
+    _STAGED[slot] = path
+    return spark.read.parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
