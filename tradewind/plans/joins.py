@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.ranking import dense_index, exact_quantiles
 from ..functions.scalars import in_window, moment, steady, tidy
 from ..operators import joins as J
+from ..session import written
 from ..operators.metrics import long_models, score
 from ..sources.tables import EVAL, FOLD_CTES, MODELS, PREDS, SEEN, TARGETS, TRADES, WINDOW_US
 from .registry import query
@@ -114,9 +115,9 @@ SELECT probe, count(t.source_row) AS prior_n, count(DISTINCT t.entity) AS prior_
 FROM probes p LEFT JOIN trades t ON t.market = p.pm AND t.us < p.probe_us AND t.us >= p.probe_us - 1728000000000 GROUP BY 1""")
 def jn10(t):
     """Brute-force range join at 40 evenly spaced checkpoints, to compare with the window features."""
-    probes = checkpoints(t).select(F.col("source_row").alias("probe"), "market", "us")
+    probes = written(checkpoints(t).select(F.col("source_row").alias("probe"), "market", "us"), "probes")
     # Forty probes by construction, 21 day buckets each: a fixed bound for the broadcast.
-    past = J.range_lookback(F.broadcast(probes), t.trades, "market", "us", WINDOW_US, ["entity", "price"])
+    past = written(J.range_lookback(F.broadcast(probes), t.trades, "market", "us", WINDOW_US, ["entity", "price"]), "lookback")
     counts = past.groupBy("probe").agg(F.count(F.lit(1)).alias("prior_n"), F.count_distinct("entity").alias("prior_entities"))
     median = exact_quantiles(past, ["probe"], "price", {"median": 0.5})
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
