@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import language_id, pii, quality_classifier, quality_rules, secrets, vector_search
 from .mixing import mix
 from .url_filter import judge_urls, rule_table
 
@@ -27,6 +30,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def joined(spans: Column) -> Column:
+    """Spans as ``kind:start:end`` joined by commas."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def of_kind(spans: Column, kind: str) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
+def number_of(spans: Column, kind: str) -> Column:
+    return F.size(of_kind(spans, kind)).cast("long")
+
+
+def by_kind(spans: Column, kinds: tuple[str, ...]) -> Column:
+    """Spans by kind as listed, then start."""
+    return F.flatten(F.array(*[F.array_sort(of_kind(spans, k)) for k in kinds]))
+
+
+@query("op1_quality_classifier")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return quality_classifier.score(documents, quality_classifier.train(documents, table(spark, sf_dir, "labels")))
+
+
 @query("op2_mixing")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -54,3 +81,49 @@ FROM parts LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (n)
 @query("op6_url_filter", OP6_SQL)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rule_table(spark, URL_RULES))
+
+
+@query("op3_secret_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find(table(spark, sf_dir, "documents"))
+    named = lambda spans: F.transform(spans, lambda s: F.struct(secrets.kind_of(s["rank"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    base, everything = named(F.col("base")), named(secrets.all_spans(F.col("base"), F.col("added")))
+    counts = [number_of(base, k).alias(f"n_{k}") for k in secrets.BASE_KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(everything).alias("spans"))
+
+
+@query("op4_language_id")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    pieces = language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    return language_id.identify(documents, language_id.train(documents, pieces))
+
+
+OP7_SQL = """
+WITH whole AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+ranked AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored)
+SELECT * FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op7_topk_search", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return vector_search.top_k(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
+@query("op8_quality_rules")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.rate(table(spark, sf_dir, "documents"))
+
+
+@query("op10_pii")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = pii.find(documents, pii.train(documents))
+    counts = [number_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    everything = by_kind(F.concat("base", "added"), pii.KINDS)
+    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), joined(everything).alias("spans"))
