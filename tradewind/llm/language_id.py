@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,25 +42,50 @@ def words_of(text: str | None) -> list[str]:
     return words
 
 
-def forward(word: str, table: dict[str, tuple[float, ...]], unknown: tuple[float, ...], most: int) -> list[float]:
-    """Probability of ``word`` under each language: the sum over all its segmentations into pieces.
+@dataclass
+class Model:
+    languages: list[str]
+    table: dict[str, tuple[float, ...]]
+    unknown: tuple[float, ...]
+    most: int
+
 
-    A single character that is no piece is a piece of probability ``unknown``. At most ``PART``
-    characters, so the products stay within doubles.
+class Scorer:
+    """Log-probabilities of words under each language: sums over all their segmentations into pieces.
+
+    A single character that is no piece is a piece of probability ``unknown``. Words have at most
+    ``PART`` characters, so the products stay within doubles.
     """
-    zero, one = [0.0] * len(unknown), [1.0] * len(unknown)
-    alpha = [one]
-    for end in range(1, len(word) + 1):
-        total = zero
-        for start in range(max(0, end - most), end):
-            p = table.get(word[start:end])
-            if p is None:
-                if start < end - 1:
-                    continue
-                p = unknown
-            total = [t + a * q for t, a, q in zip(total, alpha[start], p)]
-        alpha.append(total)
-    return alpha[-1]
+
+    def __init__(self, model: Model):
+        self.most = model.most
+        self.index = {piece: i for i, piece in enumerate(model.table)}
+        self.zero = len(self.index)
+        rows = [*model.table.values(), (0.0,) * len(model.languages), model.unknown]
+        self.p = np.array(rows, dtype=float).reshape(len(rows), len(model.languages))
+
+    def spans(self, length: int) -> list[tuple[int, int]]:
+        return [(start, end) for end in range(1, length + 1) for start in range(max(0, end - self.most), end)]
+
+    def log_probabilities(self, words: list[str]) -> np.ndarray:
+        """One row per word. The forward algorithm runs over all words of one length at a time."""
+        out = np.zeros((len(words), self.p.shape[1]))
+        groups: dict[int, list[int]] = {}
+        for i, word in enumerate(words):
+            groups.setdefault(len(word), []).append(i)
+        find = self.index.get
+        for length, members in groups.items():
+            spans = self.spans(length)
+            missing = [self.zero + (end - start == 1) for start, end in spans]
+            looked = [(start, end, m) for (start, end), m in zip(spans, missing)]
+            for first in range(0, len(members), 20_000):
+                part = members[first : first + 20_000]
+                ids = np.array([[find(w[s:e], m) for s, e, m in looked] for w in (words[i] for i in part)])
+                alpha = [np.ones((len(part), self.p.shape[1]))] + [np.zeros((len(part), self.p.shape[1])) for _ in range(length)]
+                for k, (start, end) in enumerate(spans):
+                    alpha[end] += alpha[start] * self.p[ids[:, k]]
+                out[part] = np.log(np.maximum(alpha[length], 1e-300))
+        return out
 
 
 def expected_counts(words: Counter, table: dict[str, float], unknown: float, most: int) -> Counter:
@@ -85,14 +110,6 @@ def expected_counts(words: Counter, table: dict[str, float], unknown: float, mos
     return out
 
 
-@dataclass
-class Model:
-    languages: list[str]
-    table: dict[str, tuple[float, ...]]
-    unknown: tuple[float, ...]
-    most: int
-
-
 def train(documents: DataFrame, pieces: list[str], doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = 2, smooth: float = 0.05) -> Model:
     """Piece probabilities of every language by expectation maximisation over segmentations.
 
@@ -141,27 +158,28 @@ def identify(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: s
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, cache = shared.value, {}
-        spare = range(len(m.languages))
+        model, scorer = shared.value, Scorer(shared.value)
+        place: dict[str, int] = {}
+        logs = np.empty((0, len(model.languages)))
         for batch in slices(batches, max_bytes=1 << 20):
+            texts = [words_of(t) if model.languages else [] for t in batch.column("text").to_pylist()]
+            if len(place) >= CACHE_WORDS:
+                place, logs = {}, logs[:0]
+            new = list({w for words in texts for w in words if w not in place})
+            place.update(zip(new, range(len(place), len(place) + len(new))))
+            logs = np.concatenate((logs, scorer.log_probabilities(new)))
+            at = np.fromiter((place[w] for words in texts for w in words), dtype=np.int64)
+            doc = np.repeat(np.arange(len(texts)), [len(words) for words in texts])
+            total = np.array([np.bincount(doc, weights=logs[at, k], minlength=len(texts)) for k in range(len(model.languages))]).T
             guesses, scores = [], []
-            for text in batch.column("text").to_pylist():
-                words = words_of(text) if m.languages else []
+            for words, sums in zip(texts, total if len(total) else [None] * len(texts)):
                 if not words:
                     guesses.append("und")
                     scores.append(0.0)
                     continue
-                total = [0.0] * len(m.languages)
-                for word, n in Counter(words).items():
-                    logs = cache.get(word)
-                    if logs is None:
-                        if len(cache) >= CACHE_WORDS:
-                            cache.clear()
-                        logs = cache[word] = [math.log(max(p, 1e-300)) for p in forward(word, m.table, m.unknown, m.most)]
-                    total = [t + n * x for t, x in zip(total, logs)]
-                best = max(spare, key=lambda i: total[i])
-                guesses.append(m.languages[best])
-                scores.append(1.0 / sum(math.exp(x - total[best]) for x in total))
+                best = int(np.argmax(sums))
+                guesses.append(model.languages[best])
+                scores.append(1.0 / np.exp(sums - sums[best]).sum())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(guesses, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text"))
