@@ -79,6 +79,11 @@ def test_expected_counts_split_by_posterior():
     assert {k: round(v, 9) for k, v in got.items()} == {"a": 1.0, "b": 1.0, "ab": 1.0}
 
 
+def test_words_need_letters():
+    assert language_id.words_of("½ ² 12_3 É2a") == ["▁é", "▁a"] and language_id.words_of(None) == []
+    assert [len(w) for w in language_id.words_of("x" * 100)] == [48, 48, 5]
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = language_id.train(docs, language_id.load_pieces(public_tokenizers.path("piece_bpe_32k.model")), per_language=60)

@@ -36,7 +36,8 @@ def load_pieces(path: str, most: int = 8) -> list[str]:
 
 def words_of(text: str | None) -> list[str]:
     """Lower-cased runs of letters, each with the word-start mark, cut into parts of ``PART``."""
-    words = ["▁" + w for w in LETTERS.findall((text or "").lower())]
+    # The class also matches numerals such as fractions; a word needs a letter.
+    words = ["▁" + w for w in LETTERS.findall((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
     if any(len(w) > PART for w in words):
         words = [w[i : i + PART] for w in words for i in range(0, len(w), PART)]
     return words
