@@ -84,3 +84,21 @@ def test_cell_diff_reports_missing_rows_once(spark):
     b = spark.createDataFrame([(1, "x", "z"), (3, "x", "y")], "id bigint, p string, q string")
     got = sorted((r["id"], r["column"]) for r in C.cell_diff(a, b, "id", ["p", "q"]).collect())
     assert got == [(1, "q"), (2, "missing_right"), (3, "missing_left")]
+
+
+def test_csv_goes_by_name(spark, tmp_path):
+    (tmp_path / "b.csv").write_text('\ufeffb,a,extra\n1,"x\ny",z\n,q,\n')
+    assert [tuple(r) for r in R.read_text_csv(spark, str(tmp_path / "b.csv"), ["a", "b"], multi_line=True).collect()] == [("x\ny", "1"), ("q", "")]
+    with pytest.raises(ValueError, match="missing"):
+        R.read_text_csv(spark, str(tmp_path / "b.csv"), ["a", "missing"])
+
+
+def test_amount_rule_exempts_missing_prices_and_other_currencies(spark):
+    from tradewind.plans.cleaning import rule_conditions
+
+    nan = float("nan")
+    rows = [(1, 10.0, 20.0, 2.0, "1", "c1", False), (2, 10.0, 21.0, 2.0, "1", "c1", True), (3, nan, 21.0, 2.0, "1", "c1", False), (4, None, 21.0, 2.0, "1", "c1", False),
+            (5, 10.0, 21.0, 2.0, "1", "c9", False), (6, 10.0, None, 2.0, "1", "c1", True), (7, float("inf"), 1.0, 2.0, "1", "c1", True), (8, 10.0, 21.0, 2.0, None, "c1", False)]
+    df = spark.createDataFrame(rows, "id int, price double, amount_raw double, qty double, symbol string, contract string, want boolean").withColumn("entity_text", F.lit("1"))
+    got = df.select("id", "want", dict(rule_conditions())["amount_mismatch"].alias("flag")).collect()
+    assert all(r["flag"] == r["want"] for r in got), got

@@ -73,6 +73,32 @@ def test_sequential_tolerance(spark):
     assert got == {"b": 1, "a": 2, "c": 3, "d": 4}
 
 
+def test_failed_fits_have_no_place(spark):
+    scores = [("f", "a", None, 0.0), ("f", "b", 2.0, 1.0), ("f", "c", float("nan"), 0.0), ("f", "d", 1.0, 5.0), ("g", "e", None, 0.0)]
+    df = spark.createDataFrame(scores, "family string, name string, mse double, simple double")
+    got = {r["name"]: r["rank"] for r in S.ordered_choices(df, ["family"], "mse", ["simple"]).collect()}
+    assert got == {"d": 1, "b": 2}
+
+
+def test_order_follows_the_rule_step_by_step(spark):
+    rng = np.random.default_rng(4)
+    rows = [("f", str(i), 1.0 + int(rng.integers(0, 12)) * 4e-13, float(rng.integers(0, 5)) + i / 1000) for i in range(60)]
+    df = spark.createDataFrame(rows, "family string, name string, mse double, simple double")
+    left, want = list(rows), []
+    while left:
+        least = min(r[2] for r in left)
+        want.append(min((r for r in left if r[2] <= least + 1e-12), key=lambda r: r[3]))
+        left.remove(want[-1])
+    got = sorted(S.ordered_choices(df, ["family"], "mse", ["simple"]).collect(), key=lambda r: r["rank"])
+    assert [r["name"] for r in got] == [r[1] for r in want]
+
+
+def test_zero_reference_gives_no_improvement(spark):
+    reps = spark.createDataFrame([(0, 0.0, 1.0)], "draw bigint, rmse_a double, rmse_b double")
+    row = B.deltas(reps, [], [("k", "b", "a")], ["rmse"]).first()
+    assert row["delta"] == 1.0 and row["improvement"] is None
+
+
 def test_late_weight_rules(spark):
     y, a, b = Y, PA, Y * 0.9
     df = spark.createDataFrame([("m", float(u), float(v), float(w)) for u, v, w in zip(y, a, b)], "g string, y double, a double, b double")

@@ -44,3 +44,10 @@ def test_dense_index_restarts_per_group(spark):
     df = spark.createDataFrame([(g, i) for g in "ab" for i in range(9)], "g string, id bigint")
     got = dense_index(df, "id", "id", "r", by=["g"]).collect()
     assert all(x["r"] == x["id"] for x in got)
+
+
+@pytest.mark.parametrize("kind, keys", [("double", [2.5, None, float("nan"), float("inf"), -1.0, float("-inf"), 2.5, None, 0.0] * 5), ("string", ["b", None, "a", "aaaaaaab", "aaaaaaaa", "", "é", "z"] * 5)])
+def test_dense_index_orders_nulls_nan_and_text(spark, kind, keys):
+    df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"k {kind}, id bigint").repartition(3)
+    got = [r["k"] for r in sorted(dense_index(df, "k", "id", "r", buckets=6).collect(), key=lambda r: r["r"])]
+    assert list(map(repr, got)) == [repr(r["k"]) for r in df.orderBy("k").collect()]

@@ -18,13 +18,6 @@ def test_stage_is_built_once_and_rebuilt_when_its_folder_is_gone(spark):
     assert S.staged(spark, "t1", build).count() == 5 and len(calls) == 2
 
 
-def test_broadcast_only_below_the_bound(spark):
-    big, small = S.written(spark.range(100).select("id"), "b"), S.written(spark.range(10).select("id"), "s")
-    plan = lambda side: spark.range(1000).join(side, "id")._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan(S.broadcast_if_small(small, 50))
-    assert "SortMergeJoin" in plan(S.broadcast_if_small(big, 50))
-
-
 def test_spread_leaves_wide_tables_alone(spark):
     cores = spark.sparkContext.defaultParallelism
     assert S.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores

@@ -2,56 +2,62 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .scalars import hash_number
 
-_TIES = 16
+#: Rows of one slice, roughly.
+SLICE_ROWS = 250_000
 
 
-def dense_index(
-    df: DataFrame, key: str, tiebreak: str, name: str, buckets: int = 64, by: list[str] | None = None
-) -> DataFrame:
+def _position(df: DataFrame, key: str) -> Column:
+    """A double that never falls as ``key`` rises, for cutting: text by its first six bytes, NaN as the greatest number."""
+    if isinstance(df.schema[key].dataType, T.StringType):
+        return F.conv(F.rpad(F.substring(F.hex(F.col(key).cast("binary")), 1, 12), 12, "0"), 16, 10).cast("double")
+    number = F.col(key).cast("double")
+    return F.when(F.isnan(number), F.lit(float("inf"))).otherwise(number)
+
+
+def dense_index(df: DataFrame, key: str, tiebreak: str, name: str, buckets: int | None = None, by: list[str] | None = None) -> DataFrame:
     """Add the 0-based rank of every row under the order (key, hash of tiebreak, tiebreak).
 
-    With ``by`` the ranks start anew in each group; the slices are the same for all groups.
+    Null keys come first, NaN after all numbers, as Spark sorts; text keys go by their bytes. With
+    ``by`` the ranks start anew in each group; the slices are the same for all groups.
 
     Approximate quantiles only choose where to cut the key range; ranks are exact: row_number in a
-    slice plus the number of rows in earlier slices. Rows equal to a cut value, which may be a
-    third of the table, are sliced again by their hash, so no task sees a whole hot key.
+    slice plus the number of rows in earlier slices. Rows that share a cut value, which may be a
+    third of the table, are sliced again by their hash, as are nulls, so no task sees a whole hot
+    key; only infinite, NaN and long equal text keys are not. Slices grow with the table
+    (``SLICE_ROWS``).
     """
-    k = F.col(key).cast("double")
+    by = by or []
+    placed = df.withColumn("_k", _position(df, key)).withColumn("_h", hash_number(F.col(tiebreak)))
+    if buckets is None:
+        buckets = max(64, -(-df.count() // SLICE_ROWS))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.select(F.percentile_approx(k, probs, 20 * buckets).alias("c")).first()["c"] or []
-    cuts = sorted({float(c) for c in cuts})
+    cuts = placed.select(F.percentile_approx("_k", probs, 20 * buckets).alias("c")).first()["c"] if probs else []
+    cuts = sorted({float(c) for c in cuts or [] if math.isfinite(c)})
     splits = [float("-inf"), *cuts, float("inf")]
-    starts = F.array(*[F.lit(s) for s in splits[:-1]])
-    sliced = Bucketizer(splits=splits, inputCol="_k", outputCol="_b").transform(df.withColumn("_k", k))
-    sliced = (
-        sliced.withColumn("_b", F.col("_b").cast("int"))
-        .withColumn("_h", hash_number(F.col(tiebreak)))
-        .withColumn(
-            "_s",
-            F.when(
-                F.col("_k") == F.element_at(starts, F.col("_b") + 1),
-                F.floor(F.col("_h") * _TIES / F.lit(2**32)),
-            ).otherwise(F.lit(_TIES)).cast("int"),
-        )
-    )
-    by = by or []
+    sliced = Bucketizer(splits=splits, inputCol="_at", outputCol="_b").transform(placed.withColumn("_at", F.coalesce("_k", F.lit(0.0))))
+    # Equal finite numbers at a cut, and nulls, are sliced again by hash. Text that shares six bytes need not be equal.
+    ties, hot = max(16, buckets // 4), F.floor(F.col("_h") * max(16, buckets // 4) / F.lit(2**32))
+    at_cut = F.lit(False) if isinstance(df.schema[key].dataType, T.StringType) else F.col("_k") == F.element_at(F.array(*map(F.lit, splits[:-1])), F.col("_b").cast("int") + 1)
+    finite = F.coalesce(F.abs("_k") != float("inf"), F.lit(False))
+    sliced = sliced.withColumn("_s", F.when(F.col("_k").isNull() | at_cut & finite, hot).otherwise(F.lit(ties)).cast("int"))
+    sliced = sliced.withColumn("_b", F.when(F.col("_k").isNull(), F.lit(-1)).otherwise(F.col("_b").cast("int")))
     sizes = sliced.groupBy(*by, "_b", "_s").agg(F.count(F.lit(1)).alias("_n"))
-    # At most buckets * 17 rows per group: the un-partitioned case runs over this bounded table.
+    # A few rows per slice and group: the un-partitioned case runs over this bounded table.
     earlier = (W.partitionBy(*by) if by else W.partitionBy()).orderBy("_b", "_s").rowsBetween(W.unboundedPreceding, -1)
     before = sizes.select(*by, "_b", "_s", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     inner = W.partitionBy(*by, "_b", "_s").orderBy(key, "_h", tiebreak)
-    return (
-        sliced.join(before if by else F.broadcast(before), [*by, "_b", "_s"])
-        .withColumn(name, F.col("_before") + F.row_number().over(inner) - 1)
-        .drop("_k", "_b", "_h", "_s", "_before")
-    )
+    joined = _null_safe_join(sliced, before if by else F.broadcast(before), [*by, "_b", "_s"])
+    return joined.withColumn(name, F.col("_before") + F.row_number().over(inner) - 1).drop("_k", "_at", "_b", "_h", "_s", "_before")
 
 
 def exact_quantiles(

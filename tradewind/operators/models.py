@@ -1,18 +1,23 @@
 """Regressors fitted from Gram statistics, squared-insensitive SVR, tree presets, residual correction.
 
 Solving happens inside tasks, one group (fold, condition, market) per task, on d x d matrices. Only
-the SVR iterates on the driver, and it exchanges d numbers with Spark per step.
+the SVR iterates on the driver, which gets one d x d matrix from Spark per step.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import gram as G
 
 # The hyper-parameter grids of the linear and tree families.
@@ -30,16 +35,6 @@ TREES = 300
 RESIDUAL_ALPHAS = [0.0, 1e2, 1e3, 1e4, 1e5, 1e6]
 
 
-def complexity(family: str, config: dict) -> tuple:
-    """Simplicity key, smaller is simpler: stronger penalties, fewer components, softer margins."""
-    c = config
-    keys = {
-        "ols": (), "ridge": (-c.get("alpha", 0.0),), "elasticnet": (-c.get("alpha", 0.0), -c.get("l1_ratio", 0.0)),
-        "pls": (c.get("components", 0),), "svr": (c.get("C", 0.0), -c.get("epsilon", 0.0)),
-    }
-    return keys[family]
-
-
 # --- solvers on centred moments -----------------------------------------------------------------
 
 def _min_norm(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,74 +169,96 @@ def predict(vectors: DataFrame, fits: DataFrame, by: list[str], x: str = "x") ->
 
 # --- squared epsilon-insensitive linear SVR ------------------------------------------------------
 
-STEPS = [0.5**k for k in range(12)]
+def svr_cells(rows: DataFrame, vectors: DataFrame, entity: str, y: str) -> DataFrame:
+    """(x, y, k): each distinct target of each entity with the entity's vector and its count.
 
+    Written once; every step of every configuration reads it, so rows and vectors meet in one join.
+    """
+    counted = rows.groupBy(entity, F.col(y).cast("double").alias("_y")).agg(F.count(F.lit(1)).cast("double").alias("k"))
+    joined = vectors.select(entity, F.col("x").cast("array<double>").alias("x")).join(counted, entity)
+    return written(joined.select("x", F.col("_y").alias("y"), "k"), "svr-cells")
 
-def _svr_state(rows: DataFrame, vectors: DataFrame, entity: str, y: str, beta: np.ndarray, epsilon: float) -> DataFrame:
-    """Per entity: counted active rows and residual sums at ``beta`` (intercept last)."""
-    coef, bias = F.array(*[F.lit(float(v)) for v in beta[:-1]]), F.lit(float(beta[-1]))
-    scored = vectors.withColumn("_coef", coef).select(entity, "x", (dot("x", "_coef") + bias).alias("_s"))
-    raw = F.col("_s") - F.col(y)
-    res = F.signum(raw) * F.greatest(F.abs(raw) - F.lit(epsilon), F.lit(0.0))
-    per = rows.join(scored.select(entity, "_s"), entity).groupBy(entity).agg(
-        F.sum((F.abs(raw) > epsilon).cast("double")).alias("n"), F.sum(res).alias("sy"), F.sum(res * res).alias("syy")
-    )
-    return vectors.join(per, entity)
 
+def svr_sums(cells: DataFrame, points: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One pass: the squared loss at every point (rows, intercept last), and for the first point the
+    sums of residual x feature and the Gram of the rows outside the tube.
 
-def svr_certificate(rows: DataFrame, vectors: DataFrame, entity: str, y: str, beta: np.ndarray, C: float, epsilon: float) -> dict:
-    """Objective 0.5 b'b + C sum(residual^2) with its gradient and Hessian, intercept regularised.
-
-    One aggregate: the active rows' Gram is the curvature, residual sums give the gradient. The
-    objective gap of a 1-strongly convex problem is at most half the squared gradient norm.
+    A batch meets all points in one matrix product. Tasks send one (d + 1)-square matrix each, summed
+    row by row; what reaches the driver is one such matrix.
     """
-    state = _svr_state(rows, vectors, entity, y, beta, epsilon)
-    got = G.accumulate(state, []).toPandas().sort_values("i")
-    order = list(range(1, len(beta))) + [0]
-    gram = np.vstack(got["g"].to_numpy())[np.ix_(order, order)]
-    b = got["b"].to_numpy(dtype=float)[order]
-    gradient = beta + 2 * C * b
+    width = points.shape[1]
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram, pull, loss = np.zeros((width, width)), np.zeros(width), np.zeros(len(points))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            z = np.column_stack([x, np.ones(batch.num_rows)])
+            k = batch.column("k").to_numpy()
+            raw = z @ points.T - batch.column("y").to_numpy()[:, None]
+            outside = np.sign(raw) * np.maximum(np.abs(raw) - epsilon, 0.0)
+            loss += k @ (outside * outside)
+            pull += z.T @ (k * outside[:, 0])
+            gram += (z * (k * (np.abs(raw[:, 0]) > epsilon))[:, None]).T @ z
+        rows = [*np.column_stack([gram, pull]), loss]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.float64()))], names=["i", "v"])
+
+    parts = cells.select("x", "y", "k").mapInArrow(partial, "i int, v array<double>")
+    total = parts.groupBy("i").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")).orderBy("i").collect()
+    if not total:
+        return np.zeros(len(points)), np.zeros(width), np.zeros((width, width))
+    matrix = np.array([r["v"] for r in total[:-1]])
+    return np.array(total[-1]["v"]), matrix[:, -1], matrix[:, :-1]
+
+
+def _certificate(beta: np.ndarray, C: float, sums: tuple[np.ndarray, np.ndarray, np.ndarray]) -> dict:
+    loss, pull, gram = sums
+    gradient = beta + 2 * C * pull
     norm = float(np.linalg.norm(gradient))
-    return dict(
-        objective=0.5 * float(beta @ beta) + C * float(got["c"].sum()), gradient=gradient, gradient_norm=norm, gap_bound=norm * norm / 2,
-        hessian=2 * C * gram + np.eye(len(beta)),
-    )
+    return dict(objective=0.5 * float(beta @ beta) + C * float(loss[0]), gradient=gradient, gradient_norm=norm, gap_bound=norm * norm / 2, hessian=2 * C * gram + np.eye(len(beta)))
 
 
-def _step_objectives(rows, vectors, entity, y, beta, direction, C, epsilon) -> list[float]:
-    """Objective along the Newton direction for all candidate step lengths, in one aggregate."""
-    arr = lambda v: F.array(*[F.lit(float(a)) for a in v[:-1]])
-    scored = vectors.withColumn("_c", arr(beta)).withColumn("_d", arr(direction)).select(
-        entity, (dot("x", "_c") + F.lit(float(beta[-1]))).alias("_s"), (dot("x", "_d") + F.lit(float(direction[-1]))).alias("_t")
-    )
-    loss = lambda L: F.sum(F.pow(F.greatest(F.abs(F.col("_s") + F.lit(L) * F.col("_t") - F.col(y)) - F.lit(epsilon), F.lit(0.0)), F.lit(2.0)))
-    row = rows.join(scored, entity).agg(*[loss(L).alias(f"l{i}") for i, L in enumerate(STEPS)]).first()
-    out = []
-    for i, L in enumerate(STEPS):
-        b = beta + L * direction
-        out.append(0.5 * float(b @ b) + C * float(row[f"l{i}"]))
-    return out
+def svr_certificate(rows: DataFrame, vectors: DataFrame, entity: str, y: str, beta: np.ndarray, C: float, epsilon: float) -> dict:
+    """Objective 0.5 b'b + C sum(residual^2) at ``beta``, intercept regularised, with gradient and Hessian.
+
+    The problem is 1-strongly convex, so half the squared gradient norm bounds the objective's gap.
+    """
+    return _certificate(beta, C, svr_sums(svr_cells(rows, vectors, entity, y), beta[None, :], epsilon))
+
 
+def fit_svr(
+    rows: DataFrame, vectors: DataFrame, entity: str, y: str, dims: int, C: float, epsilon: float, tol: float = 1e-6, max_iter: int = 5000, halvings: int = 50, cells: DataFrame | None = None
+) -> dict:
+    """Newton steps until the gradient certificate holds.
 
-def fit_svr(rows: DataFrame, vectors: DataFrame, entity: str, y: str, dims: int, C: float, epsilon: float, tol: float = 1e-6, max_iter: int = 50) -> dict:
-    """Newton with Armijo backtracking until the gradient certificate holds."""
+    The pass that tries a full step also returns the certificate there and the objective at the next
+    three halvings, so a step costs one job unless it must be shortened. A fit without an acceptable
+    step among ``halvings`` or beyond ``max_iter`` comes back as not valid.
+    """
+    cells = svr_cells(rows, vectors, entity, y) if cells is None else cells
     beta = np.zeros(dims + 1)
-    history = []
-    for _ in range(max_iter):
-        at = svr_certificate(rows, vectors, entity, y, beta, C, epsilon)
-        history.append((at["objective"], at["gradient_norm"]))
-        if at["gradient_norm"] <= tol:
-            return dict(beta=beta, valid=True, iterations=len(history) - 1, **at, history=history)
-        direction = -np.linalg.solve(at["hessian"], at["gradient"])
-        slope = float(at["gradient"] @ direction)
-        values = _step_objectives(rows, vectors, entity, y, beta, direction, C, epsilon)
-        slack = 1e-12 * max(1.0, abs(at["objective"]))
-        length = next((L for L, v in zip(STEPS, values) if v <= at["objective"] + 1e-4 * L * slope + slack), None)
-        if length is None:
+    at = _certificate(beta, C, svr_sums(cells, beta[None, :], epsilon))
+    history = [(at["objective"], at["gradient_norm"])]
+    while at["gradient_norm"] > tol and len(history) <= max_iter:
+        move = -np.linalg.solve(at["hessian"], at["gradient"])
+        fall, slack = float(at["gradient"] @ move), 1e-12 * max(1.0, abs(at["objective"]))
+        taken = None
+        for first in range(0, halvings, 4):
+            lengths = 0.5 ** np.arange(first, min(first + 4, halvings))
+            points = beta + lengths[:, None] * move
+            sums = svr_sums(cells, points, epsilon)
+            values = 0.5 * (points * points).sum(axis=1) + C * sums[0]
+            good = np.flatnonzero(values <= at["objective"] + 1e-4 * lengths * fall + slack)
+            if len(good):
+                taken = points[good[0]]
+                after = _certificate(taken, C, sums if good[0] == 0 else svr_sums(cells, taken[None, :], epsilon))
+                break
+        if taken is None or np.array_equal(taken, beta):
             break
-        beta = beta + length * direction
-    at = svr_certificate(rows, vectors, entity, y, beta, C, epsilon)
-    return dict(beta=beta, valid=at["gradient_norm"] <= tol, iterations=len(history), **at, history=history)
+        beta, at = taken, after
+        history.append((at["objective"], at["gradient_norm"]))
+    return dict(beta=beta, valid=at["gradient_norm"] <= tol, iterations=len(history) - 1, **at, history=history)
 
 
 # --- trees ---------------------------------------------------------------------------------------
@@ -260,7 +277,7 @@ def tree_settings(family: str, config: dict, trees: int = TREES) -> dict:
     return {"maxIter": trees, "stepSize": config["learning_rate"], "maxDepth": depth, "minInstancesPerNode": config["l2"], **extra}
 
 
-def fit_tree(train: DataFrame, family: str, config: dict, features: str = "features", label: str = "z", weight: str | None = None, seed: int = 20260908, trees: int = TREES):
+def fit_tree(train: DataFrame, family: str, config: dict, features: str = "features", label: str = "z", weight: str | None = None, seed: int = 1729, trees: int = TREES):
     """Gradient-boosted trees or a forest from Spark ML for one tree configuration."""
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 

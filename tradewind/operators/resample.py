@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import dense_index
-from ..session import broadcast_if_small, written
+from ..session import written
 
 
 def cluster_stats(df: DataFrame, by: list[str], cluster: str, y: str, models: list[str], prefix: str = "p_") -> DataFrame:
@@ -51,7 +51,8 @@ def replicates(stats: DataFrame, slots: DataFrame, by: list[str], models: list[s
 
     ``slots`` may come from :func:`draw_slots` or be an external draw table with the same columns.
     """
-    j = slots.join(broadcast_if_small(stats.select(*by, "idx", "n", *[f"sse_{m}" for m in models])), [*by, "idx"])
+    # The sums are a written table of known size, so Spark chooses the join by bytes.
+    j = slots.join(stats.select(*by, "idx", "n", *[f"sse_{m}" for m in models]), [*by, "idx"])
     sums = j.groupBy(*by, "draw").agg(
         F.sum("n").alias("_n"),
         *[F.sum(f"sse_{m}").alias(f"_s_{m}") for m in models],
@@ -77,7 +78,7 @@ def deltas(reps: DataFrame, keep: list[str], contrasts: list[tuple[str, str, str
         F.struct(
             F.lit(kind).alias("kind"), F.lit(cand).alias("candidate"), F.lit(ref).alias("reference"), F.lit(k).alias("metric"),
             (F.col(f"{k}_{cand}") - F.col(f"{k}_{ref}")).alias("delta"),
-            (100 * (F.col(f"{k}_{ref}") - F.col(f"{k}_{cand}")) / F.col(f"{k}_{ref}")).alias("improvement"),
+            F.try_divide(100 * (F.col(f"{k}_{ref}") - F.col(f"{k}_{cand}")), F.col(f"{k}_{ref}")).alias("improvement"),
         )
         for kind, cand, ref in contrasts for k in metrics
     ])
@@ -129,10 +130,13 @@ def threshold_label(low: Column, high: Column, percent: float) -> Column:
 
 
 def row_expansion(df: DataFrame, stats: DataFrame, slots: DataFrame, by: list[str], cluster: str, y: str, models: list[str], n_draws: int) -> DataFrame:
-    """The first draws recomputed from expanded rows instead of cluster sums."""
+    """The first draws recomputed from expanded rows instead of cluster sums: both metrics, each from the rows alone."""
     first = slots.filter(F.col("draw") < n_draws).join(stats.select(*by, "idx", F.col("cluster").alias(cluster)), [*by, "idx"])
     # A cluster drawn k times weighs its rows k times; one row per (draw, cluster) keeps the join flat.
     times = first.groupBy(*by, "draw", cluster).agg(F.count(F.lit(1)).alias("k"))
     rows = df.join(times, [*by, cluster])
     e = {m: F.col(y) - F.col(f"p_{m}") for m in models}
-    return rows.groupBy(*by, "draw").agg(*[F.sqrt(F.sum(F.col("k") * e[m] * e[m]) / F.sum("k")).alias(f"direct_{m}") for m in models])
+    each = rows.groupBy(*by, "draw", cluster, "k").agg(*[F.avg(e[m] * e[m]).alias(f"_{m}") for m in models])
+    equal = each.groupBy(*by, "draw").agg(*[F.sqrt(F.sum(F.col("k") * F.col(f"_{m}")) / F.sum("k")).alias(f"direct_entity_{m}") for m in models])
+    direct = rows.groupBy(*by, "draw").agg(*[F.sqrt(F.sum(F.col("k") * e[m] * e[m]) / F.sum("k")).alias(f"direct_{m}") for m in models])
+    return direct.join(equal, [*by, "draw"])

@@ -6,6 +6,8 @@ grouped pandas below therefore see at most a grid's worth of rows per group.
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -40,25 +42,36 @@ def best(scores: DataFrame, by: list[str], order: list) -> DataFrame:
 
 
 def ordered_choices(scores: DataFrame, by: list[str], mse: str, simplicity: list[str]) -> DataFrame:
-    """Fall-through order with the sequential tolerance rule: among the candidates within 1e-12 of
-    the best remaining error take the simplest, remove it, repeat. Adds a 1-based ``rank``.
+    """Fall-through order of the valid candidates of each group, as a 1-based ``rank``.
+
+    Place k goes to the simplest of those not yet placed whose error is at most 1e-12 over the least
+    error not yet placed. Candidates without an error (null or NaN: a fit failed) have no place and
+    are left out. ``simplicity`` columns are compared ascending, smaller is simpler.
 
-    ``simplicity`` columns are compared ascending, smaller is simpler.
+    Errors only move up as places are given, so one pass over the candidates in order of error with
+    a heap of those within tolerance, keyed by simplicity, is enough.
     """
     schema = T.StructType([*scores.schema.fields, T.StructField("rank", T.LongType())])
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, taken = pdf.copy(), []
-        while len(left):
-            near = left[left[mse] <= left[mse].min() + TOLERANCE]
-            pick = near.sort_values(simplicity).index[0]
-            taken.append(pick)
-            left = left.drop(index=pick)
-        out = pdf.loc[taken].copy()
-        out["rank"] = range(1, len(out) + 1)
-        return out
-
-    return scores.groupBy(*by).applyInPandas(order, schema)
+        rows = pdf.sort_values(mse, kind="stable").reset_index(drop=True)
+        error = rows[mse].tolist()
+        simple = list(rows[simplicity].itertuples(index=False, name=None))
+        placed = [False] * len(rows)
+        open_, result, low, high = [], [], 0, 0
+        while low < len(rows):
+            while high < len(rows) and error[high] <= error[low] + TOLERANCE:
+                heapq.heappush(open_, (simple[high], high))
+                high += 1
+            _, i = heapq.heappop(open_)
+            placed[i] = True
+            result.append(i)
+            while low < len(rows) and placed[low]:
+                low += 1
+        return rows.iloc[result].assign(rank=range(1, len(result) + 1))
+
+    valid = scores.filter(F.col(mse).isNotNull() & ~F.isnan(mse))
+    return valid.groupBy(*by).applyInPandas(order, schema)
 
 
 def grid_rounded_choices(scores: DataFrame, by: list[str], mse: str, simplicity: list[str]) -> DataFrame:

@@ -15,6 +15,10 @@ BAD_BRAND = "brand#13"
 CUTOFF = "2001-06-01"
 SYMBOLS = {"1": "c1", "2": "c2", "3": "c3", "4": "c4", "5": "c5"}
 RTOL, ATOL = 1e-9, 1e-10
+ADDRESS = r"\A0x[0-9a-f]{40}\z"
+BURNT = ("0x" + "0" * 40, "0x" + "0" * 36 + "dead")
+#: Parts of this size or more have traits that count for a candidate.
+LEAST_SIZE = 3
 RULES = [
     "exact_extra", "bad_id", "wrong_contract", "bad_entity", "bad_date", "outside_cutoff",
     "not_single_sale", "bad_party", "bad_price", "bad_currency", "amount_mismatch", "ambiguous",
@@ -37,13 +41,17 @@ flags AS (
   SELECT *, (trade_id IS NULL OR trim(trade_id) = '' OR shared_id) AND NOT exact_extra AS bad_id,
     lower(brand) = 'brand#13' AS wrong_contract,
     token IS NULL OR token < 0 OR token <> floor(token) AS bad_entity,
-    ship IS NULL OR ship < ts - INTERVAL 1000 DAY AS bad_date,
+    ts IS NULL OR trade_date IS NULL OR CAST(ts AS DATE) <> trade_date AS bad_date,
     ts >= TIMESTAMP '2001-06-01' AS outside_cutoff,
     (evt = 'R' AND status = 'F') OR qty IS NULL OR qty > 49 AS not_single_sale,
-    buyer = seller AS bad_party,
+    NOT (regexp_full_match(lower(buyer_address), '0x[0-9a-f]{40}') AND regexp_full_match(lower(seller_address), '0x[0-9a-f]{40}'))
+      OR lower(buyer_address) IN (concat('0x', repeat('0', 40)), concat('0x', repeat('0', 36), 'dead'))
+      OR lower(seller_address) IN (concat('0x', repeat('0', 40)), concat('0x', repeat('0', 36), 'dead'))
+      OR lower(buyer_address) = lower(seller_address) AS bad_party,
     price IS NULL OR isnan(price) OR isinf(price) OR price <= 0 AS bad_price,
     NOT (symbol IN ('1', '2', '3', '4', '5') AND contract = concat('c', symbol)) AS bad_currency,
-    coalesce(isnan(price) OR NOT (abs(amount_raw - price * qty) <= 1e-10 + 1e-9 * abs(price * qty)), true) AS amount_mismatch
+    coalesce(symbol IN ('1', '2', '3', '4', '5') AND contract = concat('c', symbol), false) AND price IS NOT NULL AND NOT isnan(price)
+      AND NOT coalesce(NOT isinf(price * qty) AND abs(amount_raw - price * qty) <= 1e-10 + 1e-9 * abs(price * qty), false) AS amount_mismatch
   FROM marked)"""
 
 CLEAN = FLAGS + """,
@@ -59,20 +67,22 @@ ledger AS (
 def rule_conditions() -> list[tuple[str, F.Column]]:
     token, price, qty = F.col("entity_text").try_cast("double"), F.col("price"), F.col("qty")
     implied = price * qty
+    buyer, seller = F.lower(F.coalesce("buyer_address", F.lit(""))), F.lower(F.coalesce("seller_address", F.lit("")))
     mapped = any_of([(F.col("symbol") == s) & (F.col("contract") == c) for s, c in SYMBOLS.items()])
-    close = F.abs(F.col("amount_raw") - implied) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(implied)
+    close = (F.abs(implied) < float("inf")) & (F.abs(F.col("amount_raw") - implied) <= F.lit(ATOL) + F.lit(RTOL) * F.abs(implied))
     conditions = {
         "exact_extra": F.col("exact_extra"),
         "bad_id": F.col("bad_id"),
         "wrong_contract": F.lower("brand") == BAD_BRAND,
         "bad_entity": token.isNull() | (token < 0) | (token != F.floor(token)),
-        "bad_date": F.col("ship").isNull() | (F.col("ship") < F.col("ts") - F.expr("INTERVAL 1000 DAYS")),
+        "bad_date": F.col("ts").isNull() | F.col("trade_date").isNull() | (F.to_date("ts") != F.col("trade_date")),
         "outside_cutoff": F.col("ts") >= moment(CUTOFF),
         "not_single_sale": ((F.col("evt") == "R") & (F.col("status") == "F")) | qty.isNull() | (qty > 49),
-        "bad_party": F.col("buyer") == F.col("seller"),
+        "bad_party": ~(buyer.rlike(ADDRESS) & seller.rlike(ADDRESS)) | buyer.isin(*BURNT) | seller.isin(*BURNT) | (buyer == seller),
         "bad_price": price.isNull() | F.isnan(price) | (F.abs(price) == float("inf")) | (price <= 0),
         "bad_currency": ~mapped,
-        "amount_mismatch": F.coalesce(F.isnan(price) | ~close, F.lit(True)),
+        # Only a supported currency and a present price can disagree with the raw amount.
+        "amount_mismatch": F.coalesce(mapped, F.lit(False)) & price.isNotNull() & ~F.isnan(price) & ~F.coalesce(close, F.lit(False)),
         "ambiguous": F.col("ambiguous"),
     }
     return [(r, conditions[r]) for r in RULES]
@@ -193,18 +203,19 @@ pool AS (
   SELECT line_no, entity, word1, count(*) OVER w AS pn, count(DISTINCT entity) OVER w AS pe FROM ledger WHERE base_clean
   WINDOW w AS (PARTITION BY market ORDER BY us RANGE BETWEEN 1728000000000 PRECEDING AND 1 PRECEDING)),
 j AS (SELECT l.line_no, l.base_clean, coalesce(p.pn, 0) AS prior_n, coalesce(p.pe, 0) AS prior_entities,
-   l.entity IN (SELECT vec_id FROM embeddings) AS asset_ready FROM ledger l LEFT JOIN pool p ON p.line_no = l.line_no)
-SELECT line_no, prior_n, prior_entities, base_clean AND prior_n >= 20 AND prior_entities >= 10 AS candidate,
-  base_clean AND prior_n >= 20 AND prior_entities >= 10 AND asset_ready AS runnable FROM j""")
+   l.entity IN (SELECT p_partkey FROM part WHERE p_size >= 3) AS traits, l.entity IN (SELECT vec_id FROM embeddings) AS asset_ready FROM ledger l LEFT JOIN pool p ON p.line_no = l.line_no)
+SELECT line_no, prior_n, prior_entities, base_clean AND prior_n >= 20 AND prior_entities >= 10 AND traits AS candidate,
+  base_clean AND prior_n >= 20 AND prior_entities >= 10 AND traits AND asset_ready AS runnable FROM j""")
 def cln17(t):
     from ..operators import temporal
     ledger = ledger_stage(t)
     clean = ledger.filter("base_clean")
     support = temporal.past_only_support(clean, "market", "us", "entity").withColumn("base_clean", F.lit(True))
     ready = t.labels_by_entity.select("entity").distinct().withColumn("ready", F.lit(True))
-    rows = ledger.join(support, ["market", "us", "base_clean"], "left").join(ready, "entity", "left")
+    traits = t.read("part").where(F.col("p_size") >= LEAST_SIZE).select(F.col("p_partkey").alias("entity")).distinct().withColumn("traits", F.lit(True))
+    rows = ledger.join(support, ["market", "us", "base_clean"], "left").join(ready, "entity", "left").join(traits, "entity", "left")
     rows = rows.withColumn("prior_n", F.coalesce("prior_n", F.lit(0))).withColumn("prior_entities", F.coalesce("prior_entities", F.lit(0)))
-    candidate = F.col("base_clean") & (F.col("prior_n") >= 20) & (F.col("prior_entities") >= 10)
+    candidate = F.col("base_clean") & (F.col("prior_n") >= 20) & (F.col("prior_entities") >= 10) & F.coalesce("traits", F.lit(False))
     return rows.select("line_no", "prior_n", "prior_entities", candidate.alias("candidate"), (candidate & F.coalesce("ready", F.lit(False))).alias("runnable"))
 
 

@@ -29,13 +29,13 @@ def entities(t):
 
 def trained(t):
     """Training entities with their trade counts; the training window is a strict prefix of time."""
-    return t.stage("trained", lambda: t.train.filter("ts < timestamp_ntz'1997-02-01'").groupBy("entity").agg(F.count(F.lit(1)).alias("w")))
+    return t.stage("trained", lambda: t.train.groupBy("entity").agg(F.count(F.lit(1)).alias("w")))
 
 
 ENT = """ent AS (SELECT p_partkey AS entity, p_brand AS brand, split_part(p_name, ' ', 1) AS word1, split_part(p_name, ' ', 2) AS word2, p_size // 10 AS size_band FROM part),
 tok AS (SELECT entity, concat('brand=', brand) AS feature FROM ent UNION ALL SELECT entity, concat('word1=', word1) FROM ent UNION ALL SELECT entity, concat('word2=', word2) FROM ent
   UNION ALL SELECT entity, concat('size_band=', size_band) FROM ent UNION ALL SELECT entity, 'unit=each' FROM ent),
-trained AS (SELECT entity, count(*) AS w FROM train WHERE ts < '1997-02-01' GROUP BY 1),
+trained AS (SELECT entity, count(*) AS w FROM train GROUP BY 1),
 vocab AS (SELECT feature, count(*) AS df FROM tok WHERE entity IN (SELECT entity FROM trained) GROUP BY 1),
 oh AS (SELECT t.entity, t.feature, 1.0::DOUBLE AS value FROM tok t JOIN vocab v ON v.feature = t.feature),
 idf AS (SELECT feature, df, ln((1 + (SELECT count(*) FROM trained)) / (1 + df)::DOUBLE) + 1 AS idf FROM vocab),

@@ -36,7 +36,7 @@ framed AS (
   SELECT *, count(*) OVER w AS pn, count(DISTINCT entity) OVER w AS pe, quantile_cont(price, 0.5) OVER w AS b
   FROM ledger WHERE base_clean
   WINDOW w AS (PARTITION BY market ORDER BY us RANGE BETWEEN 1728000000000 PRECEDING AND 1 PRECEDING)),
-y AS (SELECT market, entity, ln(price / b) AS y FROM framed WHERE pn >= 3 AND pe >= 2),
+y AS (SELECT market, entity, ln(price / b) AS y FROM framed WHERE pn >= 20 AND pe >= 10),
 ent AS (SELECT market, entity, avg(y * y) AS m FROM y GROUP BY 1, 2),
 tot AS (SELECT market, count(*) AS n, count(DISTINCT entity) AS n_entities, sqrt(avg(y * y)) AS rmse, avg(abs(y)) AS mae,
           1 - sum(y * y) / (count(*) * var_pop(y)) AS r2 FROM y GROUP BY 1)
@@ -47,4 +47,4 @@ FROM tot t"""
 
 @query("flagship", FLAGSHIP_SQL)
 def flagship(t):
-    return metrics_from(t, 3, 2)
+    return metrics_from(t, t.min_n, t.min_entities)

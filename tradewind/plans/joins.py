@@ -80,12 +80,12 @@ def jn7(t):
     return seen.unionByName(unseen).groupBy("market", "seen").agg(F.count(F.lit(1)).alias("n_trades"), F.count_distinct("entity").alias("n_entities"))
 
 
-@query("jn8", f"""WITH {PREDS}, dev AS (SELECT DISTINCT entity FROM targets WHERE ts < '1996-01-01'),
+@query("jn8", f"""WITH {PREDS}, dev AS (SELECT DISTINCT entity FROM targets WHERE ts < '2000-01-01'),
 f AS (SELECT market, entity, seen, entity IN (SELECT entity FROM dev) AS seen_any FROM preds)
 SELECT market, seen, seen_any, count(*) AS n_trades, count(DISTINCT entity) AS n_entities FROM f GROUP BY 1, 2, 3""")
 def jn8(t):
     """Two definitions of a seen entity and how often they disagree."""
-    early = t.targets.filter(F.col("ts") < moment("1996-01-01"))
+    early = t.targets.filter(F.col("ts") < moment(EVAL[0]))
     window = t.targets.filter(in_window(F.col("ts"), *SEEN))
     per = t.evaluation.groupBy("market", "entity").agg(F.count(F.lit(1)).alias("n"))
     both = J.membership(J.membership(per, window, ["entity"], "seen"), early, ["entity"], "seen_any")

@@ -117,7 +117,8 @@ def svr_inputs(t):
 def md5(t):
     """Squared epsilon-insensitive SVR by Newton steps; the certificate is part of the result."""
     rows, vec = svr_inputs(t)
-    out = [(i, c, L.fit_svr(rows, vec, "entity", "y", 2, **c)) for i, c in enumerate(L.GRID["svr"])]
+    cells = L.svr_cells(rows, vec, "entity", "y")
+    out = [(i, c, L.fit_svr(rows, vec, "entity", "y", 2, cells=cells, **c)) for i, c in enumerate(L.GRID["svr"])]
     data = [(i, c["C"], c["epsilon"], float(f["beta"][0]), float(f["beta"][1]), float(f["beta"][2]), f["objective"], f["gradient_norm"], f["gap_bound"], bool(f["valid"])) for i, c, f in out]
     return t.spark.createDataFrame(data, "config_index bigint, C double, epsilon double, b1 double, b2 double, intercept double, objective double, gradient_norm double, gap_bound double, valid boolean")
 

@@ -7,7 +7,6 @@ import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _STAGED: dict[tuple[str, str], str] = {}
 _LOCAL_BASE: dict[str, str] = {}
@@ -35,11 +34,14 @@ def local_session(cores: str = "*", app: str = "tradewind", partitions: int = 8)
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a session that names none (a bare test session) falls back to a fresh local folder.
+    Only a local session that names none (as in tests) falls back to a fresh folder of this machine; on
+    a cluster, where executors could not see it, the setting is required.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_BASE:
         _LOCAL_BASE[app] = tempfile.mkdtemp(prefix="tradewind-")
@@ -79,14 +81,6 @@ def staged(spark: SparkSession, key: str, build) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
-    """Broadcast a written table after counting it; a bigger one is joined by sort-merge instead.
-
-    Used where the other side grows by an explode the optimizer cannot size.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df.hint("merge")
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give a table stored in a few splits one task per core; a table of many splits is left alone."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -7,13 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def read_text_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """CSV as text columns, nothing inferred; blanks stay '' and never become null.
+def read_text_csv(spark: SparkSession, path: str, columns: list[str], multi_line: bool = False) -> DataFrame:
+    """CSV as text columns chosen by header name, nothing inferred; blanks stay '' and never become null.
 
-    The schema is enforced by position, so a byte-order mark in the header is harmless.
+    Files may hold further columns in any order; a missing one raises, and so does a file whose header
+    differs from the first one's. A byte-order mark in the header is dropped. ``multi_line`` accepts
+    line ends inside quotes, at the price of one task per file.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-    raw = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').csv(path)
+    reader = spark.read.option("header", True).option("inferSchema", False).option("enforceSchema", False).option("escape", '"')
+    raw = reader.option("multiLine", multi_line).csv(path)
+    raw = raw.toDF(*[c.removeprefix("\ufeff").strip() for c in raw.columns])
+    if lost := [c for c in columns if c not in raw.columns]:
+        raise ValueError(f"columns {lost} are not in the header {raw.columns}")
     return raw.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_US, block_index, epoch_us, in_window, log_relative, moment
@@ -17,7 +17,7 @@ from ..session import spread, staged
 WINDOW_US = 20 * DAY_US
 TRAIN = ("1997-01-01", "2000-01-01")
 EVAL = ("2000-01-01", "2001-08-02")
-SEEN = ("1999-09-01", "2000-01-01")
+SEEN = TRAIN
 FOLDS = (
     ("1999Q2", "1997-01-01", "1999-04-01", "1999-07-01"),
     ("1999Q3", "1997-01-01", "1999-07-01", "1999-10-01"),
@@ -29,6 +29,13 @@ ALPHAS = [0.0, 1.0, 10.0, 100.0]
 EVAL_ANCHOR_US = 946_684_800_000_000
 
 
+def _address(party: str, upper: Column) -> Column:
+    """An account number as 0x and 40 hex digits, in upper case where told."""
+    digits = F.md5(F.col(party).cast("string").cast("binary"))
+    digits = F.concat(digits, F.substring(digits, 1, 8))
+    return F.concat(F.lit("0x"), F.when(upper, F.upper(digits)).otherwise(digits))
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str, min_n: int = 20, min_entities: int = 10):
         self.spark, self.dir = spark, sf_dir.rstrip("/")
@@ -92,6 +99,9 @@ class Tables:
             .withColumn("entity_text", F.when(k % 50 == 0, F.concat(F.col("entity").cast("string"), F.lit(".5"))).when(k % 51 == 0, F.concat(F.lit("-1"), F.col("entity").cast("string"))).otherwise(F.col("entity").cast("string")))
             .withColumn("amount_raw", F.when(F.col("supp") % 43 == 0, F.col("amount_raw") * 1.01).otherwise(F.col("amount_raw")))
             .withColumn("symbol", symbol)
+            .withColumn("trade_date", F.when(k % 113 != 0, F.date_add(F.to_date("ts"), F.when(k % 109 == 0, 1).otherwise(0))))
+            .withColumn("buyer_address", F.when(F.col("supp") % 37 == 0, F.lit("0x" + "0" * 40)).when(F.col("supp") % 53 == 0, F.lit("0x12ab")).otherwise(_address("buyer", F.col("order_id") % 2 == 0)))
+            .withColumn("seller_address", F.when(F.col("supp") % 59 == 0, F.lit("0x" + "0" * 36 + "dead")).otherwise(_address("seller", F.lit(False))))
             .withColumn("contract", F.concat(F.lit("c"), F.when(F.col("supp") % 41 == 0, F.lit("9")).otherwise(symbol)))
         )
 
@@ -250,6 +260,12 @@ raw AS (
          ELSE CAST(entity AS VARCHAR) END AS entity_text,
     CASE WHEN supp % 43 = 0 THEN amount_raw * CAST(1.01 AS DOUBLE) ELSE amount_raw END AS amount_raw,
     substr(priority, 1, 1) AS symbol,
+    CASE WHEN (order_id + line) % 113 <> 0 THEN CAST(ts AS DATE) + CASE WHEN (order_id + line) % 109 = 0 THEN 1 ELSE 0 END END AS trade_date,
+    CASE WHEN supp % 37 = 0 THEN concat('0x', repeat('0', 40)) WHEN supp % 53 = 0 THEN '0x12ab'
+         WHEN order_id % 2 = 0 THEN concat('0x', upper(concat(md5(CAST(buyer AS VARCHAR)), substr(md5(CAST(buyer AS VARCHAR)), 1, 8))))
+         ELSE concat('0x', md5(CAST(buyer AS VARCHAR)), substr(md5(CAST(buyer AS VARCHAR)), 1, 8)) END AS buyer_address,
+    CASE WHEN supp % 59 = 0 THEN concat('0x', repeat('0', 36), 'dead')
+         ELSE concat('0x', md5(CAST(seller AS VARCHAR)), substr(md5(CAST(seller AS VARCHAR)), 1, 8)) END AS seller_address,
     concat('c', CASE WHEN supp % 41 = 0 THEN '9' ELSE substr(priority, 1, 1) END) AS contract
   FROM trades t JOIN (VALUES (1), (2)) c(copy) ON c.copy = 1 OR (order_id * 7 + line + entity) % 97 = 0)"""
 
@@ -271,7 +287,7 @@ tl AS (SELECT t.*, e.label AS emb_label FROM train t LEFT JOIN embeddings e ON e
 pm AS (SELECT market, avg(y) AS m FROM tl GROUP BY 1),
 pb AS (SELECT market, brand, avg(y) AS m FROM tl GROUP BY 1, 2),
 pe AS (SELECT market, emb_label, avg(y) AS m FROM tl GROUP BY 1, 2),
-seen_entities AS (SELECT DISTINCT entity FROM targets WHERE ts >= '1999-09-01' AND ts < '2000-01-01'),
+seen_entities AS (SELECT DISTINCT entity FROM targets WHERE ts >= '1997-01-01' AND ts < '2000-01-01'),
 preds0 AS (
   SELECT v.*, x.label AS emb_label, v.entity IN (SELECT entity FROM seen_entities) AS seen,
          CAST(0 AS DOUBLE) AS p_zero, pm.m AS p_market, coalesce(pb.m, pm.m) AS p_brand, coalesce(pe.m, pm.m) AS p_emb

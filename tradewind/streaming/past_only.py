@@ -2,9 +2,9 @@
 
 Past-only values need every trade before a moment and none at it. A trade therefore waits until the
 watermark has passed its millisecond; then all its same-time peers are known, and all of them are
-answered from strictly earlier trades. Trades behind the watermark are dropped by Spark and show up
-in its progress metrics. State is keyed by (market, time shard) with halo copies, so a market's
-history is spread over shards and a finished shard's state is cleared.
+answered from strictly earlier trades. Trades behind the watermark are dropped by Spark, and
+``run_available`` returns how many. State is keyed by (market, time shard) with halo copies, so a
+market's history is spread over shards; a timer at a shard's end clears all its state.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ _ROW = StructType([
 class PastOnlyProcessor(StatefulProcessor):
     """Buffers a shard's trades in time order and releases those the watermark has passed."""
 
-    def __init__(self, window: int):
-        self.window = window
+    def __init__(self, window: int, shard: int):
+        self.window, self.shard = window, shard
 
     def init(self, handle) -> None:
         self.handle = handle
@@ -46,14 +46,22 @@ class PastOnlyProcessor(StatefulProcessor):
             first = min(r[0] for r in fresh)
             self.pending.appendList(fresh)
             self.handle.registerTimer(first // 1000 + 1)
+            self.handle.registerTimer(self._end(key))
         return iter([])
 
+    def _end(self, key) -> int:
+        """The millisecond after which a shard can neither get nor answer a trade."""
+        return (int(key[1]) + 1) * self.shard // 1000 + 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         limit = timerValues.getCurrentWatermarkInMs()
         waiting = sorted(self.pending.get()) if self.pending.exists() else []
         done = [r for r in waiting if r[0] // 1000 < limit]
         left = waiting[len(done):]
         if not done:
+            if limit >= self._end(key):
+                self.history.clear()
+                self.pending.clear()
             return iter([])
         past = list(self.history.get()) if self.history.exists() else []
         known = past + done
@@ -66,7 +74,10 @@ class PastOnlyProcessor(StatefulProcessor):
             row = (at, len(seen), len({r[2] for r in seen}), median)
             out += [(r[1], key[0], *row) for r in done[bisect_left([d[0] for d in done], at):] if r[0] == at and r[4]]
         keep = [r for r in known if r[0] >= done[-1][0] - self.window]
-        self.history.put(keep)
+        if limit >= self._end(key):
+            self.history.clear()
+        else:
+            self.history.put(keep)
         if left:
             self.pending.put(left)
             self.handle.registerTimer(left[0][0] // 1000 + 1)
@@ -80,10 +91,11 @@ class PastOnlyProcessor(StatefulProcessor):
 
 def past_only_stream(stream: DataFrame, window: int, delay: str, shard: int | None = None) -> DataFrame:
     """Past-only median and support of a stream with columns id, market, entity, value, ts, us."""
-    spread = halo_shards(stream.withWatermark("ts", delay), "us", window, shard or 3 * window)
+    shard = shard or 3 * window
+    spread = halo_shards(stream.withWatermark("ts", delay), "us", window, shard)
     slim = spread.select("market", F.col("_shard").alias("shard"), "ts", "us", "id", "entity", F.col("value").cast("double").alias("value"), F.col("_core").alias("core"))
     return slim.groupBy("market", "shard").transformWithStateInPandas(
-        statefulProcessor=PastOnlyProcessor(window), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Append", timeMode="EventTime"
+        statefulProcessor=PastOnlyProcessor(window, shard), outputStructType=StructType.fromDDL(OUTPUT), outputMode="Append", timeMode="EventTime"
     )
 
 
@@ -97,8 +109,11 @@ def block_metrics_stream(stream: DataFrame, delay: str, anchor_us: int, y: str,
     )
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
-    """Drain what the source holds into a file sink, exactly once per checkpoint, then stop."""
+def run_available(stream: DataFrame, out: str, checkpoint: str) -> int:
+    """Drain what the source holds into a file sink, exactly once per checkpoint, then stop.
+
+    Returns how many rows came too late for a stateful operator and were dropped.
+    """
     spark = stream.sparkSession
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key, None)
@@ -106,6 +121,7 @@ def run_available(stream: DataFrame, out: str, checkpoint: str) -> None:
     try:
         q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()
+        return sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
     finally:
         if before is None:
             spark.conf.unset(key)
