@@ -20,6 +20,8 @@ _U = np.uint64
 ROWS, TILES = 4, 64
 #: 64-bit words of the parity bitmap.
 BITMAP_WORDS = 8
+#: Turns of checks against drawn members before all that is left is checked, and partners of a class in each.
+STAR_TURNS, STAR_PARTNERS = 3, 4
 #: Bits (as a power of two) of the fixed-size sieve that spares texts of unlinked documents a second look.
 SIEVE_BITS = 22
 
@@ -175,16 +177,26 @@ def _verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     return written(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(meet, "a long, b long"), "ngram-links")
 
 
+def _open_tiles(members: DataFrame, known: DataFrame, turn: int) -> DataFrame:
+    """Members (tile, cls, comp) of the tiles that hold several components, with the tile's largest
+    component and a member of it, drawn anew by a hash at each turn."""
+    placed = members.join(known, F.col("cls") == F.col("node"), "left").select("tile", "cls", F.coalesce("label", "cls").alias("comp"))
+    draw = F.struct(F.xxhash64(F.lit(turn), "tile", "cls").alias("h"), F.col("cls").alias("center"))
+    sizes = placed.groupBy("tile", "comp").agg(F.count("*").alias("k"), F.min(draw).alias("d"))
+    top = sizes.groupBy("tile").agg(F.max(F.struct("k", "d", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    return placed.join(top.select("tile", F.col("top.comp").alias("largest"), F.col("top.d.center").alias("center")), "tile")
+
+
 def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``documents``: doc_id, n_shingles, class_id, component_id.
 
     Shingles are 5 words of the text with A-Z lower-cased. Documents of one set form a class; classes
     link when 100 x intersection >= 80 x union, checked exactly on sorted arrays; ``component_id`` is
     the least doc_id reachable. Tiles (size band and minima) only propose: no pair is proposed by less
-    than a shared tile, and a linked pair shares one except with probability 3e-15. A tile first links
-    its members to their least class; once components are known, only pairs of different components
-    that the sizes and bitmaps leave possible are checked, every one of them. So a group of near copies
-    costs its size, not its square, and no tile is capped.
+    than a shared tile, and a linked pair shares one except with probability 3e-15. In a few turns,
+    members outside a tile's largest component are checked against members of it drawn by hash; then
+    only pairs of different components that the sizes and bitmaps leave possible are checked, every one
+    of them. So a group of near copies costs about its size, not its square, and no tile is capped.
 
     Null texts and texts without words have no shingles, class null and their own id as component.
     Null ids are never the least; a component of null ids only has component null. Repeated rows stay;
@@ -196,7 +208,7 @@ def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     tiled = prepared.where("keys is not null").select(F.explode("keys").alias("key"), "cls")
     lists = written(tiled.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(_tiles, "members array<long>").distinct(), "ngram-tiles")
 
-    members = lists.select(F.xxhash64("members").alias("tile"), F.element_at("members", 1).alias("head"), F.posexplode("members").alias("pos", "cls"))
+    members = lists.select(F.xxhash64("members").alias("tile"), F.explode("members").alias("cls"))
     classes = prepared.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.max("bits").alias("bits"))
     involved = written(members.select("cls").distinct().join(classes, "cls"), "ngram-classes")
 
@@ -217,23 +229,28 @@ def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     arrays = written(looked.join(involved.select("cls"), "cls", "left_semi").dropDuplicates(["cls"]), "ngram-arrays")
 
     info = lambda cls, value: involved.select(F.col("cls").alias(cls), F.struct("n", "bits").alias(value))
-    stars = members.where("pos > 0").groupBy(F.col("cls").alias("b")).agg(F.min("head").alias("a")).join(info("a", "u"), "a").join(info("b", "v"), "b")
-    first = _verified(stars.where(_bounded(F.col("u"), F.col("v"))).select("a", "b"), arrays)
-    known = components(first)
+
+    def candidates(pairs: DataFrame) -> DataFrame:
+        ordered = pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+        return ordered.join(info("a", "u"), "a").join(info("b", "v"), "b").where(_bounded(F.col("u"), F.col("v"))).select("a", "b")
+
+    links = spark.createDataFrame([], "a long, b long")
+    known = spark.createDataFrame([], "node long, label long")
+    for turn in range(STAR_TURNS):
+        opened = _open_tiles(members, known, turn)
+        stars = opened.where("comp <> largest").groupBy(F.col("cls").alias("p")).agg(F.sort_array(F.collect_set(F.struct(F.xxhash64(F.lit(turn), "center").alias("h"), "center"))).alias("c"))
+        links = links.unionByName(_verified(candidates(stars.select("p", F.explode(F.slice(F.col("c.center"), 1, STAR_PARTNERS)).alias("q"))), arrays))
+        known = components(links)
 
     # What is left: tiles that still hold several components. In each, the members outside its largest
     # component meet all members of other components.
-    placed = members.select("tile", "cls").join(known, F.col("cls") == F.col("node"), "left").select("tile", "cls", F.coalesce("label", "cls").alias("comp"))
-    sizes = placed.groupBy("tile", "comp").agg(F.count("*").alias("k"))
-    open_ = sizes.groupBy("tile").agg(F.max(F.struct("k", "comp"))["comp"].alias("largest"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
-    placed = written(placed.join(open_, "tile").join(involved, "cls").select("tile", "cls", "comp", "largest", F.struct("n", "bits").alias("v")), "ngram-open")
+    placed = written(_open_tiles(members, known, STAR_TURNS).join(info("cls", "v"), "cls"), "ngram-open")
     left = placed.where("comp <> largest").select("tile", F.col("cls").alias("p"), F.col("comp").alias("c"), F.col("v").alias("u"))
     crossed = left.join(placed.select("tile", F.col("cls").alias("q"), F.col("comp").alias("d"), "v"), "tile")
     crossed = crossed.where((F.col("c") != F.col("d")) & _bounded(F.col("u"), F.col("v")))
     crossed = crossed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    second = _verified(crossed, arrays)
 
-    found = components(first.unionByName(second))
+    found = components(links.unionByName(_verified(crossed, arrays)))
     least = involved.join(found, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("label", "cls").alias("comp"))
     per_component = least.groupBy("comp").agg(F.min("least").alias("component"))
     linked = least.join(per_component, "comp").select("cls", "component")
