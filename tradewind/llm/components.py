@@ -12,9 +12,9 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the least node reachable, for every node of ``links`` (columns a, b; any direction, repeats allowed).
 
     Each round takes the least label among neighbours and then the label's own label, and writes the
-    result, so a lost executor repeats one round at most. Two one-row counts per round reach the driver.
+    result, so a lost executor repeats one round at most; ``links`` are read each round, so give a written table. Two one-row counts per round reach the driver.
     """
-    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
