@@ -94,14 +94,14 @@ def references(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     return out | {POOLED: sum(out.values(), np.zeros(width, dtype=np.int64))}
 
 
-def rate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_class: float = 0.3, max_word: float = 0.55, min_chars: int = 100, min_words: int = 40) -> DataFrame:
+def rate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_class: float = 0.3, max_word: float = 0.33, min_chars: int = 300, min_words: int = 150) -> DataFrame:
     """One row per row of ``documents`` with counted defects, distances and ``kept``.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated 8-word windows. Else the
     method decides: the text goes when its character classes lie further than ``max_class``, or its
     common words further than ``max_word``, from its language's histogram (Jensen-Shannon distance).
     Texts under ``min_chars`` characters, respectively ``min_words`` words, are not held against a
-    histogram. A null or unseen language uses the histogram of all documents. Null texts have no
+    histogram, as short ones stray by chance. A null or unseen language uses the histogram of all documents. Null texts have no
     words. Repeated rows stay; an empty table gives an empty result; extra columns are not read.
     """
     reference = references(documents, text, lang)
