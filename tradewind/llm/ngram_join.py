@@ -243,11 +243,13 @@ def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
         links = links.unionByName(_verified(candidates(stars.select("p", F.explode(F.slice(F.col("c.center"), 1, STAR_PARTNERS)).alias("q"))), arrays))
         known = components(links)
 
-    # What is left: tiles that still hold several components. In each, the members outside its largest
-    # component meet all members of other components.
-    placed = written(_open_tiles(members, known, STAR_TURNS).join(info("cls", "v"), "cls"), "ngram-open")
-    left = placed.where("comp <> largest").select("tile", F.col("cls").alias("p"), F.col("comp").alias("c"), F.col("v").alias("u"))
-    crossed = left.join(placed.select("tile", F.col("cls").alias("q"), F.col("comp").alias("d"), "v"), "tile")
+    # What is left: tiles that still hold several components. Members outside a tile's largest component
+    # meet all members of other components in their tiles, each once however many tiles they share.
+    state = written(involved.join(known, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("label", "cls").alias("comp"), F.struct("n", "bits").alias("v")), "ngram-states")
+    side = lambda cls, comp, value: state.select(F.col("cls").alias(cls), F.col("comp").alias(comp), F.col("v").alias(value))
+    outside = _open_tiles(members, known, STAR_TURNS).where("comp <> largest").select("tile", F.col("cls").alias("p"))
+    met = outside.join(lists.select(F.xxhash64("members").alias("tile"), "members"), "tile").groupBy("p").agg(F.array_distinct(F.flatten(F.collect_set("members"))).alias("others"))
+    crossed = met.select("p", F.explode("others").alias("q")).join(side("p", "c", "u"), "p").join(side("q", "d", "v"), "q")
     crossed = crossed.where((F.col("c") != F.col("d")) & _bounded(F.col("u"), F.col("v")))
     crossed = crossed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
 
