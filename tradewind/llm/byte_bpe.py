@@ -53,38 +53,42 @@ class Merges:
         self.table = F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<bigint>,v:array<int>>>")
         self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
-    def _ranked(self, left: Column, right: Column) -> Column:
+    def apply(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+        """``body`` of the fold of one word. The literals stand in the plan once, bound around the body."""
+        return _bind(self.table, lambda table: _bind(self.bytes, lambda first: body(lambda word: self._fold(word, table, first))))
+
+    def _ranked(self, table: Column, left: Column, right: Column) -> Column:
         """``left`` with the rank of the pair (left, right) above it; no such piece: ``NO_MERGE``."""
-        entry = lambda key: _bind(F.get(self.table, (key % BUCKETS).cast("int")), lambda e: F.get(e["v"], F.array_position(e["k"], key).cast("int") - 1))
+        entry = lambda key: _bind(F.get(table, (key % BUCKETS).cast("int")), lambda e: F.get(e["v"], F.array_position(e["k"], key).cast("int") - 1))
         return F.coalesce(_bind(left * WIDTH + right, entry).cast("long") * WIDTH, F.lit(NO_MERGE)) + left
 
-    def _merged(self, state: Column, least: Column, at: Column) -> Column:
+    def _merged(self, table: Column, state: Column, least: Column, at: Column) -> Column:
         """State after the pair at ``at`` became one piece; only the pairs beside it get new ranks."""
         piece, after = F.shiftright(least, SHIFT), F.get(state, at + 1)
-        before = F.when(at > 1, F.array(self._ranked(F.get(state, at - 2) % WIDTH, piece))).otherwise(F.array().cast("array<bigint>"))
-        here = F.when(after.isNull(), piece + NO_MERGE).otherwise(self._ranked(piece, after % WIDTH))
+        before = F.when(at > 1, F.array(self._ranked(table, F.get(state, at - 2) % WIDTH, piece))).otherwise(F.array().cast("array<bigint>"))
+        here = F.when(after.isNull(), piece + NO_MERGE).otherwise(self._ranked(table, piece, after % WIDTH))
         return F.concat(F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(state, at + 2, F.size(state)))
 
-    def fold(self, word: Column) -> Column:
+    def _fold(self, word: Column, table: Column, first: Column) -> Column:
         """Ids of a word: from its bytes, the adjacent pair of least rank merges (leftmost first) until none can.
 
         The state is one array: each element is a piece's id below the rank of its pair with the next.
         """
         digits = F.hex(word.cast("binary"))
         size = F.octet_length(word)
-        start = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(self.bytes, F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
+        start = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(first, F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
         def run(ids: Column) -> Column:
             n = F.size(ids)
-            ranked = F.transform(ids, lambda a, i: F.when(i < n - 1, self._ranked(a, F.get(ids, i + 1))).otherwise(a + NO_MERGE))
-            step = lambda s, _: _bind(F.array_min(s), lambda m: F.when(m >= NO_MERGE, s).otherwise(_bind(F.array_position(s, m).cast("int"), lambda i: self._merged(s, m, i))))
+            ranked = F.transform(ids, lambda a, i: F.when(i < n - 1, self._ranked(table, a, F.get(ids, i + 1))).otherwise(a + NO_MERGE))
+            step = lambda s, _: _bind(F.array_min(s), lambda m: F.when(m >= NO_MERGE, s).otherwise(_bind(F.array_position(s, m).cast("int"), lambda i: self._merged(table, s, m, i))))
             return F.aggregate(F.sequence(F.lit(1), n), ranked, step, lambda s: F.transform(s, lambda x: (x % WIDTH).cast("int")))
 
         return _bind(start, run)
 
 
-def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, words: int, sample: int) -> list[tuple[str, list[int]]]:
-    """Frequent words of a hash sample with their ids, folded by Spark."""
+def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, words: int, sample: int) -> tuple[list[str], list[bytes]]:
+    """Frequent words of a hash sample and their ids as bytes, folded by Spark."""
     rows = documents.select(F.col(text).alias("text"))
     share = min(1.0, sample / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(F.lit("ready"), "text"), F.lit(1 << 30)) / float(1 << 30)
@@ -99,7 +103,8 @@ def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, words:
 
     counted = rows.where(draw < share).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(48)
-    return [(r["word"], list(r["ids"])) for r in top.select("word", merges.fold(F.col("word")).alias("ids")).collect()]
+    found = top.select("word", merges.apply(lambda fold: fold(F.col("word"))).alias("ids")).toArrow().combine_chunks()
+    return found.column("word").to_pylist(), [x for chunk in found.column("ids").chunks for x in _rows_of(chunk)]
 
 
 class _Codes(dict):
@@ -125,13 +130,14 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
     word (one match of the pattern).
     """
     spark, merges = documents.sparkSession, Merges(ranks)
-    ready = {t: [r] for p, r in ranks.items() if (t := p.decode("utf-8", "ignore")).encode() == p}
-    for word, ids in _ready(documents, text, pattern, merges, ready_words, ready_documents):
+    ready = {t: r.to_bytes(4, "little") for p, r in ranks.items() if (t := p.decode("utf-8", "ignore")).encode() == p}
+    for word, ids in zip(*_ready(documents, text, pattern, merges, ready_words, ready_documents)):
         ready.setdefault(word, ids)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    shared = spark.sparkContext.broadcast((list(ready), [np.array(ids, dtype="<u4").tobytes() for ids in ready.values()], pieces))
+    shared = spark.sparkContext.broadcast((list(ready), list(ready.values()), pieces))
+    del ready
     document = pa.struct([("doc_id", pa.int64()), ("codes", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +179,7 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     blocks = rows.mapInArrow(split, "words array<string>, documents array<struct<doc_id:long,codes:binary>>")
-    folded = blocks.select(F.transform("words", merges.fold).alias("ids"), "documents")
+    folded = blocks.select(merges.apply(lambda fold: F.transform("words", fold)).alias("ids"), "documents")
     return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else RESULT)
 
 

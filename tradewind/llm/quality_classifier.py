@@ -53,7 +53,8 @@ def fit(texts: list[str | None], labels: np.ndarray, dim: int = 8, bits: int = 1
     bags = []
     for text in texts:
         _, bucket, _ = features([text], bits, grams)
-        bags.append(np.unique(bucket, return_counts=True))
+        ids, counts = np.unique(bucket, return_counts=True)
+        bags.append((ids.astype(np.int32), counts.astype(np.float32)))
     vectors = rng.uniform(-1.0 / dim, 1.0 / dim, (1 << bits, dim)).astype(np.float32)
     out, bias = np.zeros((dim, 2)), np.zeros(2)
     steps, done = max(1, epochs * len(bags)), 0
@@ -64,7 +65,7 @@ def fit(texts: list[str | None], labels: np.ndarray, dim: int = 8, bits: int = 1
             done += 1
             if not len(ids):
                 continue
-            share = (counts / counts.sum()).astype(np.float32)
+            share = counts / counts.sum()
             mean = share @ vectors[ids]
             z = mean @ out + bias
             e = np.exp(z - z.max())
