@@ -144,3 +144,24 @@ def test_rules_verdict(spark, nothing):
 def test_js_distance():
     p = np.array([[1, 0], [1, 1], [0, 0]])
     assert np.allclose(quality_rules.js_distance(p, np.array([[0, 1], [2, 2], [1, 1]])), [1, 0, 0])
+
+
+def test_rules_hold_short_texts_against_their_length(spark):
+    rng = np.random.default_rng(3)
+    common = quality_rules.COMMON_WORDS["en"][:12]
+    said = lambda n: " ".join(str(w) if w in common else f"word{chr(97 + i % 26)}" for i, w in enumerate(rng.choice([*common, *["x"] * 12], n)))
+    listed = " | ".join(f"item{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(30))
+    docs = spark.createDataFrame([*((i, said(400), "en") for i in range(40)), *((100 + i, said(25), "en") for i in range(100)), (200, listed, "en")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality_rules.rate(docs).collect()}
+    assert not got[200]["kept"] and not got[200]["base_failed"] and got[200]["n_words"] == 59 and got[200]["class_distance"] <= 0.3
+    short = [got[100 + i] for i in range(100)]
+    assert sum(r["word_distance"] > 0.33 for r in short) > 10 and sum(r["kept"] for r in short) > 90
+    sizes, limits = quality_rules.chance_limits(quality_rules.references(docs)["en"][quality_rules.CLASSES :], 0.33, 0.99)
+    assert all(np.diff(sizes) > 0) and limits[-1] == 0.33 and limits[0] > np.interp(25, sizes, limits) > 0.33
+
+
+def test_short_pipe_lists_of_the_given_table(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rows = quality_rules.rate(docs).join(labels.where("quality is not null"), "doc_id").where("n_words between 40 and 149 and not base_failed").collect()
+    kept = lambda y: np.mean([r["kept"] for r in rows if r["quality"] == y])
+    assert kept(1) > 0.95 and kept(0) < 0.5

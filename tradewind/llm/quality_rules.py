@@ -71,6 +71,24 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.where((p.sum(axis=1) > 0) & (q.sum(axis=1) > 0), d, 0.0)
 
 
+def chance_limits(counts: np.ndarray, limit: float, share: float, draws: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes, and per size the limit of the distance of a text of that many items to the histogram ``counts``.
+
+    It is the distance that a share of ``share`` of texts drawn at random from the histogram itself stays
+    under (estimated from seeded draws), and at least ``limit``; larger texts than listed have ``limit``.
+    """
+    sizes, limits = [], []
+    if counts.sum():
+        p = counts / counts.sum()
+        for n in sorted({round(2 ** (k / 2)) for k in range(28)}):
+            x = np.random.default_rng(n).multinomial(n, p, size=draws)
+            sizes.append(n)
+            limits.append(max(limit, float(np.quantile(js_distance(x, np.broadcast_to(counts, x.shape)), share))))
+            if limits[-1] == limit:
+                break
+    return np.array(sizes or [1], dtype=np.int64), np.array(limits or [limit])
+
+
 def references(documents: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Summed histograms of every language over all documents, and of all together under ``POOLED``.
 
@@ -94,22 +112,23 @@ def references(documents: DataFrame, text: str = "text", lang: str = "lang") ->
     return out | {POOLED: sum(out.values(), np.zeros(width, dtype=np.int64))}
 
 
-def rate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_class: float = 0.3, max_word: float = 0.33, min_chars: int = 300, min_words: int = 150) -> DataFrame:
+def rate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", max_class: float = 0.3, max_word: float = 0.33, chance: float = 0.99) -> DataFrame:
     """One row per row of ``documents`` with counted defects, distances and ``kept``.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated 8-word windows. Else the
     method decides: the text goes when its character classes lie further than ``max_class``, or its
     common words further than ``max_word``, from its language's histogram (Jensen-Shannon distance).
-    Texts under ``min_chars`` characters, respectively ``min_words`` words, are not held against a
-    histogram, as short ones stray by chance. A null or unseen language uses the histogram of all documents. Null texts have no
-    words. Repeated rows stay; an empty table gives an empty result; extra columns are not read.
+    Short texts stray by chance: where ``chance`` of the texts drawn from the histogram with as many
+    characters, respectively words, only stay under a larger distance, that one is the limit. A null or
+    unseen language uses the histogram of all documents. Null texts have no words. Repeated rows stay; an empty table gives an empty result; extra columns are not read.
     """
     reference = references(documents, text, lang)
-    shared = documents.sparkSession.sparkContext.broadcast(reference)
+    limits = {x: (chance_limits(c[:CLASSES], max_class, chance), chance_limits(c[CLASSES:], max_word, chance)) for x, c in reference.items()}
+    shared = documents.sparkSession.sparkContext.broadcast((reference, limits))
     symbols = np.array(sorted(map(ord, SYMBOLS)), dtype=np.uint32)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, (vocabulary, order), known = _class_table(), _vocabulary(), shared.value
+        table, (vocabulary, order), (known, limits) = _class_table(), _vocabulary(), shared.value
         for batch in slices(batches, max_bytes=1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             t, low = Texts(texts), Texts(texts, fold=True)
@@ -126,13 +145,18 @@ def rate(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", lang:
             np.add.at(cover, first[twice] + 8, -1)
             repeated = np.bincount(t.word_doc[np.cumsum(cover)[:-1] > 0], minlength=t.count)
             h = _histograms(t, table, vocabulary, order, low)
-            ref = np.array([known.get(x or POOLED, known[POOLED]) for x in batch.column("lang").to_pylist()])
-            by_class = np.where(t.end - t.start >= min_chars, js_distance(h[:, :CLASSES], ref[:, :CLASSES]), 0.0)
-            by_word = np.where(n_words >= min_words, js_distance(h[:, CLASSES:], ref[:, CLASSES:]), 0.0)
+            langs = np.array([x if x and x in known else POOLED for x in batch.column("lang").to_pylist()], dtype=object)
+            ref = np.array([known[x] for x in langs])
+            by_class, by_word = js_distance(h[:, :CLASSES], ref[:, :CLASSES]), js_distance(h[:, CLASSES:], ref[:, CLASSES:])
+            near = np.ones(t.count, dtype=bool)
+            for x in set(langs.tolist()):
+                at = langs == x
+                for d, n, (sizes, most) in zip((by_class, by_word), (t.end - t.start, n_words), limits[x]):
+                    near[at] &= d[at] <= np.interp(n[at], sizes, most)
             failed = (n_words < 20) | (100 * repeated > 30 * n_words)
             columns = [
                 n_words, t.per_text(~t.space), t.per_text(np.isin(t.code, symbols)), np.array([len(x) - len(set(x)) for x in lines], dtype=np.int64), repeated,
-                failed, by_class, by_word, ~failed & (by_class <= max_class) & (by_word <= max_word),
+                failed, by_class, by_word, ~failed & near,
             ]
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept"]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, columns)], names=["doc_id", *names])
