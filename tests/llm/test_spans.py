@@ -126,3 +126,25 @@ def test_added_spans(spark, awkward, nothing):
     assert len(pii.find(awkward, model).collect()) == 12
     assert pii.find(nothing, model).count() == 0 and pii.train(nothing).threshold > 1
     assert pii.scan("call 12 34", Boosted(threshold=1.1)) == ([], [])
+
+
+def test_loose_forms_are_added_and_plain_ones_are_not(spark):
+    model = pii.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert sorted(model.kinds) == sorted(pii.KINDS) and all(m.threshold <= 1 for m in model.kinds.values())
+    loose = {
+        "email": ["jo.smith (at) host (dot) org", "jo.smith[at]mail3[dot]example[dot]net"], "phone": ["(743) 555-3824", "001 (521) 555-6210"],
+        "card": ["4111.1111.1111.1111"], "ip": ["108:51:216:133"],
+    }
+    for kind, forms in loose.items():
+        for form in forms:
+            base, added = pii.scan(f"the enterer of this {form} and the other", model)
+            assert base == [] and added == [(kind, 20, 20 + len(form))], form
+    for form in ["2024-01-15", "15.01.2024", "12:30:45", "1.2.3", "1998-2003", "12.50", "4111.1111.1111.1112", "8646308210557563", "items @ 12.50", "12 34", "12.345.678", "120-135"]:
+        assert pii.scan(f"the enterer of this {form} and the other", model) == ([], []), form
+
+
+def test_candidates_without_detector_stay_unlabelled():
+    assert pii.examples("write to jo (at) host (dot) org or call 743 555 3824") == []
+    assert {(k, y) for k, y, _, _ in pii.examples("number 8646308210557563 of the list")} == {("card", 0)}
+    rows = pii.examples("write to jo@host.org about the matter of this and that")
+    assert sum(y for k, y, _, _ in rows if k == "email") == 4 and any(not y for k, y, _, _ in rows if k == "email")

@@ -66,8 +66,8 @@ def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, ridge: float)
     return np.array(feature, dtype=np.int64), np.array(cut), np.array(left, dtype=np.int64), np.array(right, dtype=np.int64), np.array(value)
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, ridge: float = 1.0, precision: float = 0.98, folds: int = 4) -> Boosted:
-    """Fit on three of four rows; calibrate (Platt) and choose the threshold on the fourth.
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, ridge: float = 1.0, precision: float = 0.98, folds: int = 4, aside: np.ndarray | None = None) -> Boosted:
+    """Fit on three of four rows; calibrate (Platt) and choose the threshold on the fourth, or on the rows marked ``aside``.
 
     The threshold is the lowest probability from which on the calibration rows reach ``precision``;
     with one label only, or no rows, it is above 1 and nothing is selected.
@@ -75,7 +75,9 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = 30, depth: int = 3, ridge:
     model = Boosted(threshold=1.1)
     if len(y) < 20 or y.min() == y.max():
         return model
-    aside = np.arange(len(y)) % folds == folds - 1
+    aside = np.arange(len(y)) % folds == folds - 1 if aside is None else aside
+    if aside.all() or not aside.any():
+        return model
     fx, fy = x[~aside], y[~aside].astype(float)
     mean = min(max(fy.mean(), 1e-3), 1 - 1e-3)
     model.start = float(np.log(mean / (1 - mean)))
