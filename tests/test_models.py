@@ -138,3 +138,37 @@ def test_projection_matches_svd(spark):
     u, s, vt = np.linalg.svd(XS - XS.mean(axis=0), full_matrices=False)
     assert np.allclose(np.abs(np.array([got[i] for i in range(60)])), np.abs(u[:, :3] * s[:3])) and np.allclose(var, s[:3] ** 2 / 59)
     assert X.rank_lower_bound(vec, "x") == 5
+
+
+def test_tree_queries_search_the_whole_grid_on_every_fold(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    name, family, calls = "md9", "forest", []
+
+    class Flat:
+        def __init__(self, value):
+            self.value = value
+
+        def transform(self, rows):
+            return rows.withColumn("p", F.lit(self.value))
+
+    def fit(train, family, config, trees=L.TREES, **_):
+        r = train.select("features").first()
+        calls.append((family, config, trees, len(r["features"])))
+        # One configuration alone predicts the centre; it must win and be the one refitted.
+        return Flat(0.0 if config == L.TREE_GRID[family][2] else 3.0)
+
+    monkeypatch.setattr(L, "fit_tree", fit)
+    rows = entry.queries()[name](spark, "/root/testdata/sf0.01").collect()
+    grid = L.TREE_GRID[family]
+    assert [c[1] for c in calls] == grid * 3 + [grid[2]]
+    assert all(c[0] == family and c[2] == 300 and c[3] > 2 for c in calls) and {c[3] for c in calls} == {calls[0][3]}
+    assert {r["config_index"] for r in rows} == {2} and {r["model"] for r in rows} == {"zero", "tree"}
+
+
+def test_tree_search_with_real_trees(spark):
+    from tradewind.plans.models import tree_search
+    from tradewind.sources.tables import Tables
+
+    got = tree_search(Tables(spark, "/root/testdata/sf0.01"), "hist_gradient", L.BOOSTED[:1], 2).collect()
+    assert len(got) == 1 and got[0]["folds"] == 3 and got[0]["n"] > 0 and got[0]["mse"] > 0
