@@ -42,7 +42,8 @@ def dense_index(df: DataFrame, key: str, tiebreak: str, name: str, buckets: int
         buckets = max(64, -(-df.count() // SLICE_ROWS))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = placed.select(F.percentile_approx("_k", probs, 20 * buckets).alias("c")).first()["c"] if probs else []
-    cuts = sorted({float(c) for c in cuts or [] if math.isfinite(c)})
+    # At least one cut, also for an empty table or one of nulls.
+    cuts = sorted({float(c) for c in cuts or [] if math.isfinite(c)}) or [0.0]
     splits = [float("-inf"), *cuts, float("inf")]
     sliced = Bucketizer(splits=splits, inputCol="_at", outputCol="_b").transform(placed.withColumn("_at", F.coalesce("_k", F.lit(0.0))))
     # Equal finite numbers at a cut, and nulls, are sliced again by hash. Text that shares six bytes need not be equal.
