@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -16,55 +17,91 @@ from tokenizers import Tokenizer
 
 from .text import slices
 
-#: Words whose ids a task keeps; when full it starts anew, which costs time only.
-CACHE_WORDS = 400_000
+#: Pieces of text whose ids a worker keeps; when full they start anew, which costs time only.
+CACHE = 400_000
 #: A control character that stands between words given to the library together. Words that hold it are given alone.
 BREAK = "\x01"
+# How the tokenizer's pattern parts lower-case text of ASCII and the letters U+00C0 to U+00FF.
+LETTER = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
+PARTS = re.compile(rb"(?:[a-z]|" + LETTER + rb")+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:(?!" + LETTER + rb")[^\sa-z0-9])+")
+PLAIN = re.compile(rb"(?:" + LETTER + rb")*")
+ASCII = bytes(range(128))
 
 COLUMNS = "doc_id long, part int, before long, n_tokens int, ids array<int>"
 
 
-class WordIds(dict):
-    """Words (UTF-8 bytes without ASCII white space) to their ids as little-endian 32-bit integers.
+class PieceIds(dict):
+    """Pieces of text (as UTF-8) to their ids as little-endian 32-bit integers.
 
     The tokenizer normalises character by character, drops white space and never joins what white space
-    parts, so a text's ids are those of its words in order; ``check`` confirms this for a tokenizer.
+    parts, so a text's ids are those of its words in order. Plain words, of ASCII and the letters U+00C0 to
+    U+00FF, no character of which combines with its neighbours, are parted further, as the tokenizer parts
+    them; each part ends with the one id that ends a word. Ids always come from the library, many pieces a
+    call; ``check`` confirms these properties for a tokenizer, and every call the number of pieces.
     """
 
     def __init__(self, model: str):
         super().__init__()
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = True
+        vocabulary = self.library.get_vocab()
+        self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.closing[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.mark = self._ids(BREAK)
 
     def _ids(self, text: str) -> list[int]:
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    @staticmethod
+    def split(text: bytes) -> list[bytes]:
+        """The pieces of a text in order: parts of plain words, other words whole."""
+        if PLAIN.fullmatch(text.translate(None, ASCII)):
+            return PARTS.findall(text.lower())
+        words = [(w, PLAIN.fullmatch(w.translate(None, ASCII))) for w in text.split()]
+        return [p for w, plain in words for p in (PARTS.findall(w.lower()) if plain else (w,))]
+
     def check(self) -> None:
-        """Raises if this tokenizer joins what white space parts, or has no single id for the break."""
-        parted = ["don't", "́a", "a b", "12", "!?", "ᄀ", "ᅡ", "It's", "\x1c", "e", "̧"]
+        """Raises if this tokenizer joins what white space parts, parts words otherwise, or has no single id for the break."""
+        parted = ["don't", "\u0301a", "a\u00a0b", "12", "!?", "\u1100", "\u1161", "It's", "\x1c", "e", "\u0327"]
         for space in " \t\n\v\f\r":
             if self._ids(space.join(parted)) != [i for w in parted for i in self._ids(w)]:
                 raise ValueError("this tokenizer does not treat words apart; encode whole texts instead")
-        if len(self.mark) != 1:
-            raise ValueError("the break between words is not one id")
-
-    def learn(self, words: set[bytes]) -> None:
-        """Adds the words not known yet, all in one call of the library."""
-        texts = {w: w.decode("utf-8") for w in words if w not in self}
-        together = [w for w, t in texts.items() if BREAK not in t]
-        flat = np.array(self._ids(f" {BREAK} ".join(texts[w] for w in together)), dtype="<u4")
-        cuts = np.flatnonzero(flat == self.mark[0])
-        edges = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(flat)]
-        if len(edges[0]) != max(1, len(together)):
-            raise ValueError("the break between words was lost")
-        for word, start, end in zip(together, *edges):
-            self[word] = flat[start:end].tobytes()
-        for word, text in texts.items():
+        tried = "don't 'stuff I'LL'd x1y22 a--b 'RE'x \x1ca\x7f $5,00 _a_ ''s the_end. \u00c0\u00ff\u00df'M,\u00e9"
+        if len(self.mark) != 1 or self._ids(tried) != [i for p in self.split(tried.encode()) for i in self._ids(p.decode())]:
+            raise ValueError("this tokenizer parts words in another way; encode whole texts instead")
+
+    def _put(self, pieces: list[bytes], flat: np.ndarray, last: np.ndarray, drop: int) -> None:
+        """Each piece gets the ids up to its place in ``last``, without the final ``drop``."""
+        if len(last) != len(pieces):
+            raise ValueError("the tokenizer parted words in another way")
+        data, start = flat.tobytes(), 0
+        for piece, end in zip(pieces, ((last + 1) * 4).tolist()):
+            self[piece] = data[start : end - 4 * drop]
+            start = end
+
+    def learn(self, pieces: set[bytes]) -> None:
+        """Adds the pieces not known yet, in two calls of the library and one for each that holds the break."""
+        if len(self) > CACHE:
+            self.clear()
+        plain: list[bytes] = []
+        whole: list[bytes] = []
+        for piece in pieces.difference(self):
+            (plain if piece.isascii() or PLAIN.fullmatch(piece.translate(None, ASCII)) else whole).append(piece)
+        flat = np.array(self._ids(b" ".join(plain).decode()), dtype="<u4")
+        self._put(plain, flat, np.flatnonzero(self.closing[flat]), 0)
+        texts = [(w, w.decode()) for w in whole]
+        together = [(w, t) for w, t in texts if BREAK not in t]
+        flat = np.array(self._ids("".join(f"{t} {BREAK} " for _, t in together)), dtype="<u4")
+        self._put([w for w, _ in together], flat, np.flatnonzero(flat == self.mark[0]), 1)
+        for word, text in texts:
             if BREAK in text:
                 self[word] = np.array(self._ids(text), dtype="<u4").tobytes()
 
 
+#: The pieces a Python worker has learned, by tokenizer, for its next task.
+_LEARNED: dict[str, PieceIds] = {}
+
+
 def write(documents: DataFrame, folder: str, model_path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", stripe_mb: int = 16, index_rows: int = 1000) -> None:
     """Write the ids of every whole text to ORC files under ``folder``, in ascending order of ``doc_id``.
 
@@ -79,17 +116,19 @@ def write(documents: DataFrame, folder: str, model_path: str, end_id: int = 1, d
     beside its batch). Extra columns, whatever their names, are not read. ``folder`` must be new.
     """
     model, rows = Path(model_path).read_text(encoding="utf-8"), documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    WordIds(model).check()
+    PieceIds(model).check()
     shared, end = documents.sparkSession.sparkContext.broadcast(model), np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, before, known = TaskContext.get().partitionId(), 0, WordIds(shared.value)
+        part, before = TaskContext.get().partitionId(), 0
+        if shared.value not in _LEARNED:
+            _LEARNED.clear()
+            _LEARNED[shared.value] = PieceIds(shared.value)
+        known = _LEARNED[shared.value]
         for batch in slices(batches):
-            texts = [(t or b"").split() for t in batch.column("text").to_pylist()]
-            if len(known) > CACHE_WORDS:
-                known.clear()
+            texts = [PieceIds.split(t or b"") for t in batch.column("text").to_pylist()]
             known.learn(set().union(*texts))
-            ids = [b"".join(map(known.__getitem__, words)) + end for words in texts]
+            ids = [b"".join(map(known.__getitem__, pieces)) + end for pieces in texts]
             counts = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
             ends = np.concatenate(([0], np.cumsum(counts)))
             flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
