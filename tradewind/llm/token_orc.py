@@ -22,16 +22,15 @@ CACHE = 400_000
 #: A control character that stands between words given to the library together. Words that hold it are given alone.
 BREAK = "\x01"
 # How the tokenizer's pattern parts lower-case text of ASCII and the letters U+00C0 to U+00FF.
-LETTER = rb"\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]"
-PARTS = re.compile(rb"(?:[a-z]|" + LETTER + rb")+|[0-9]|'(?:s|t|re|ve|m|ll|d)|(?:(?!" + LETTER + rb")[^\sa-z0-9])+")
-PLAIN = re.compile(rb"(?:" + LETTER + rb")*")
+PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9À-ÖØ-öø-ÿ]+", re.ASCII)
+PLAIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
 ASCII = bytes(range(128))
 
 COLUMNS = "doc_id long, part int, before long, n_tokens int, ids array<int>"
 
 
 class PieceIds(dict):
-    """Pieces of text (as UTF-8) to their ids as little-endian 32-bit integers.
+    """Pieces of text to their ids as little-endian 32-bit integers.
 
     The tokenizer normalises character by character, drops white space and never joins what white space
     parts, so a text's ids are those of its words in order. Plain words, of ASCII and the letters U+00C0 to
@@ -53,12 +52,12 @@ class PieceIds(dict):
         return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     @staticmethod
-    def split(text: bytes) -> list[bytes]:
+    def split(text: bytes) -> list[str]:
         """The pieces of a text in order: parts of plain words, other words whole."""
-        if PLAIN.fullmatch(text.translate(None, ASCII)):
-            return PARTS.findall(text.lower())
-        words = [(w, PLAIN.fullmatch(w.translate(None, ASCII))) for w in text.split()]
-        return [p for w, plain in words for p in (PARTS.findall(w.lower()) if plain else (w,))]
+        plain = lambda t: PLAIN.fullmatch(t.translate(None, ASCII)) is not None
+        if plain(text):
+            return PARTS.findall(text.decode().lower())
+        return [p for w in text.split() for p in (PARTS.findall(w.decode().lower()) if plain(w) else (w.decode(),))]
 
     def check(self) -> None:
         """Raises if this tokenizer joins what white space parts, parts words otherwise, or has no single id for the break."""
@@ -67,10 +66,10 @@ class PieceIds(dict):
             if self._ids(space.join(parted)) != [i for w in parted for i in self._ids(w)]:
                 raise ValueError("this tokenizer does not treat words apart; encode whole texts instead")
         tried = "don't 'stuff I'LL'd x1y22 a--b 'RE'x \x1ca\x7f $5,00 _a_ ''s the_end. \u00c0\u00ff\u00df'M,\u00e9"
-        if len(self.mark) != 1 or self._ids(tried) != [i for p in self.split(tried.encode()) for i in self._ids(p.decode())]:
+        if len(self.mark) != 1 or self._ids(tried) != [i for p in self.split(tried.encode()) for i in self._ids(p)]:
             raise ValueError("this tokenizer parts words in another way; encode whole texts instead")
 
-    def _put(self, pieces: list[bytes], flat: np.ndarray, last: np.ndarray, drop: int) -> None:
+    def _put(self, pieces: list[str], flat: np.ndarray, last: np.ndarray, drop: int) -> None:
         """Each piece gets the ids up to its place in ``last``, without the final ``drop``."""
         if len(last) != len(pieces):
             raise ValueError("the tokenizer parted words in another way")
@@ -79,23 +78,22 @@ class PieceIds(dict):
             self[piece] = data[start : end - 4 * drop]
             start = end
 
-    def learn(self, pieces: set[bytes]) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Adds the pieces not known yet, in two calls of the library and one for each that holds the break."""
         if len(self) > CACHE:
             self.clear()
-        plain: list[bytes] = []
-        whole: list[bytes] = []
+        plain: list[str] = []
+        whole: list[str] = []
         for piece in pieces.difference(self):
-            (plain if piece.isascii() or PLAIN.fullmatch(piece.translate(None, ASCII)) else whole).append(piece)
-        flat = np.array(self._ids(b" ".join(plain).decode()), dtype="<u4")
+            (plain if piece.isascii() or PLAIN.fullmatch(piece.encode().translate(None, ASCII)) else whole).append(piece)
+        flat = np.array(self._ids(" ".join(plain)), dtype="<u4")
         self._put(plain, flat, np.flatnonzero(self.closing[flat]), 0)
-        texts = [(w, w.decode()) for w in whole]
-        together = [(w, t) for w, t in texts if BREAK not in t]
-        flat = np.array(self._ids("".join(f"{t} {BREAK} " for _, t in together)), dtype="<u4")
-        self._put([w for w, _ in together], flat, np.flatnonzero(flat == self.mark[0]), 1)
-        for word, text in texts:
-            if BREAK in text:
-                self[word] = np.array(self._ids(text), dtype="<u4").tobytes()
+        together = [w for w in whole if BREAK not in w]
+        flat = np.array(self._ids("".join(f"{w} {BREAK} " for w in together)), dtype="<u4")
+        self._put(together, flat, np.flatnonzero(flat == self.mark[0]), 1)
+        for word in whole:
+            if BREAK in word:
+                self[word] = np.array(self._ids(word), dtype="<u4").tobytes()
 
 
 #: The pieces a Python worker has learned, by tokenizer, for its next task.
