@@ -114,3 +114,17 @@ def test_fold_roles_are_half_open(spark):
     got = {r["d"]: [(x["fold"], x["role"]) for x in r["f"]] for r in df.withColumn("f", S.fold_roles(F.col("ts"), [("q", "1999-01-01", "1999-04-01", "1999-07-01")])).collect()}
     assert got == {"1999-03-31": [("q", "train")], "1999-04-01": [("q", "valid")], "1999-07-01": []}
     assert S.inner_quarters("D", "1997-01-01", "2000-01-01")[-1] == ("D/2", "1997-01-01", "1999-10-01", "2000-01-01")
+
+
+def test_bootstrap_equals_slot_rows_in_any_blocks(spark, rows):
+    grouped = rows.withColumn("half", F.col("entity") % 2)
+    stats = B.cluster_stats(grouped, ["half"], "entity", "y", ["a", "b"])
+    stats = stats.withColumn("sse_b", F.when(F.col("idx") != 1, F.col("sse_b")))
+    want = {(r["half"], r["draw"]): r for r in B.replicates(stats, B.draw_slots(stats, ["half"], 7, 5), ["half"], ["a", "b"]).collect()}
+    for limits in ({}, {"block_clusters": 3, "task_slots": 1}):
+        got = {(r["half"], r["draw"]): r for r in B.bootstrap(stats, ["half"], ["a", "b"], 7, 5, **limits).collect()}
+        assert set(got) == set(want) and len(want) == 14
+        for k, r in want.items():
+            for c in ("rmse_a", "rmse_b", "entity_rmse_a", "entity_rmse_b"):
+                assert (r[c] is None and got[k][c] is None) or abs(r[c] - got[k][c]) < 1e-12
+    assert B.bootstrap(stats.limit(0), ["half"], ["a"], 3, 5).count() == 0

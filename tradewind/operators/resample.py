@@ -5,14 +5,21 @@ A draw takes as many clusters as there are, with replacement. Slot ``s`` of draw
 for every model, which is what makes the comparison paired. The modulo bias is at most G / 2**32.
 Cluster numbers are 0-based ranks of the cluster key, so the order of the key is part of the draw.
 
-Size is G * B slots. They are generated from the cluster rows themselves, so no driver loop, range
-or counted action is involved, and each replicate sums with map-side combine.
+Size is G * B slots, and none of them is ever a row: ``bootstrap`` deals blocks of sums (by index) times
+blocks of draws to tasks; a task makes the slots of one draw at a time, counts those that fall into its
+block and adds up the block's sums by these counts. Only partial sums of (draw, block) are shuffled.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ranking import dense_index
 from ..session import written
@@ -32,6 +39,76 @@ def cluster_stats(df: DataFrame, by: list[str], cluster: str, y: str, models: li
     return written(sized, "numbered_stats")
 
 
+#: Clusters in one block of sums (a few MB); slots a task makes; draws it makes at least, as its block must travel once a task.
+BLOCK_CLUSTERS, TASK_SLOTS, TASK_DRAWS = 1 << 18, 1 << 21, 16
+
+
+def picks(g: int, draw: int, seed: int, quads: list[bytes]) -> np.ndarray:
+    """Cluster numbers of all ``g`` slots of one draw; ``quads`` are the numbers of their groups of four as text."""
+    head, md5 = b"%d:%d:" % (seed, draw), hashlib.md5
+    return np.frombuffer(b"".join([md5(head + q).digest() for q in quads]), dtype=">u4")[:g].astype(np.int64) % g
+
+
+def bootstrap(stats: DataFrame, by: list[str], models: list[str], n_draws: int, seed: int, block_clusters: int = BLOCK_CLUSTERS, task_slots: int = TASK_SLOTS) -> DataFrame:
+    """Per (by, draw) and model: transaction RMSE and equal-entity RMSE of the drawn clusters.
+
+    The same as :func:`replicates` of :func:`draw_slots`, without a row per slot. Memory of a task is one
+    block of sums and the slots of one draw; a draw of more clusters than a block holds is made once for
+    each block. A cluster whose sum is null for a model does not count for it. No groups, no rows.
+    """
+    sums = [f"sse_{m}" for m in models]
+    key = [f for f in stats.schema.fields if f.name in by]
+    block = T.StructType([*key, T.StructField("g", T.LongType()), T.StructField("first", T.LongType()), T.StructField("packed", T.BinaryType())])
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        out = rows.iloc[:1][[*by, "g"]].copy()
+        out["first"] = int(rows["idx"].iloc[0])
+        out["packed"] = [np.ascontiguousarray(rows[["n", *sums]].to_numpy(dtype=np.float64)).tobytes()]
+        return out
+
+    partial = [f"{x}_{m}" for m in models for x in ("_s", "_e", "_k")]
+    result = T.StructType([*key, T.StructField("draw", T.LongType()), T.StructField("_n", T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in partial]])
+
+    def draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.itertuples(index=False):
+                g, first = int(row.g), int(row.first)
+                table = np.frombuffer(row.packed, dtype=np.float64).reshape(-1, 1 + len(models))
+                n, sse = table[:, :1], table[:, 1:]
+                known = ~np.isnan(sse)
+                each = np.stack((np.where(known, sse, 0), np.where(known, sse / n, 0), known.astype(np.float64)), axis=2)
+                wide = np.concatenate((n, each.reshape(len(table), -1)), axis=1)
+                quads = [b"%d" % q for q in range(-(-g // 4))]
+                found = []
+                for draw in range(int(row.low), int(row.high)):
+                    at = picks(g, draw, seed, quads) - first
+                    times = np.bincount(at[(at >= 0) & (at < len(table))], minlength=len(table))
+                    found.append(times @ wide)
+                out = pd.DataFrame(np.array(found), columns=["_n", *partial])
+                out.insert(0, "draw", np.arange(int(row.low), int(row.high)))
+                for i, c in enumerate(by):
+                    out.insert(i, c, [getattr(row, c)] * len(out))
+                yield out
+
+    grouped = stats.select(*by, "idx", "g", "n", *sums).groupBy(*by, F.expr(f"idx div {block_clusters}").alias("_block"))
+    blocks = written(grouped.applyInPandas(pack, block), "sum_blocks")
+    a_task = F.greatest(F.expr(f"{task_slots} div greatest(g, 1)"), F.lit(TASK_DRAWS)).cast("long")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_draws - 1).cast("long"), a_task)).alias("low")
+    tasks = blocks.select("*", a_task.alias("_a"), starts).withColumn("high", F.least(F.col("low") + F.col("_a"), F.lit(n_draws))).drop("_a")
+    # Rows are few and each is seconds of work, so they are dealt over more partitions than there are cores.
+    width = max(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * stats.sparkSession.sparkContext.defaultParallelism)
+    parts = tasks.repartition(width, *by, "first", "low").mapInPandas(draws, result)
+    added = parts.groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in ("_n", *partial)])
+    root = lambda top, under: F.when(F.col(under) > 0, F.sqrt(F.col(top) / F.col(under)))
+    some = lambda m, c: F.when(F.col(f"_k_{m}") > 0, c)
+    return added.select(
+        *by, "draw",
+        *[some(m, root(f"_s_{m}", "_n")).alias(f"rmse_{m}") for m in models],
+        *[root(f"_e_{m}", f"_k_{m}").alias(f"entity_rmse_{m}") for m in models],
+    )
+
+
 def draw_slots(stats: DataFrame, by: list[str], n_draws: int, seed: int) -> DataFrame:
     """(by, draw, idx): one row per slot of every draw."""
     # A small table grows n_draws-fold here, so it is spread over an explicit number of tasks first.
@@ -49,10 +126,11 @@ def draw_slots(stats: DataFrame, by: list[str], n_draws: int, seed: int) -> Data
 def replicates(stats: DataFrame, slots: DataFrame, by: list[str], models: list[str]) -> DataFrame:
     """Per (by, draw) and model: transaction RMSE and equal-entity RMSE of the drawn clusters.
 
-    ``slots`` may come from :func:`draw_slots` or be an external draw table with the same columns.
+    ``slots`` is a draw table, supplied or from :func:`draw_slots`; for generated draws :func:`bootstrap`
+    gives the same without the table.
     """
-    # The sums are a written table of known size, so Spark chooses the join by bytes.
-    j = slots.join(stats.select(*by, "idx", "n", *[f"sse_{m}" for m in models]), [*by, "idx"])
+    # Slots are made rows whose number Spark underestimates, so neither side may become a broadcast.
+    j = slots.join(stats.select(*by, "idx", "n", *[f"sse_{m}" for m in models]).hint("merge"), [*by, "idx"])
     sums = j.groupBy(*by, "draw").agg(
         F.sum("n").alias("_n"),
         *[F.sum(f"sse_{m}").alias(f"_s_{m}") for m in models],

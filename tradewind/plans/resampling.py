@@ -54,7 +54,7 @@ def stats(t, cluster="entity", by=(), source=None, key=""):
 def reps(t, cluster="entity", by=(), source=None, key="", draws=DRAWS):
     def build():
         s = stats(t, cluster, by, source, key)
-        return B.replicates(s, B.draw_slots(s, list(by), draws, SEED), list(by), MODELS)
+        return B.bootstrap(s, list(by), MODELS, draws, SEED)
 
     return t.stage(f"reps|{cluster}|{by}|{key}|{draws}", build)
 
@@ -62,7 +62,7 @@ def reps(t, cluster="entity", by=(), source=None, key="", draws=DRAWS):
 def fresh_reps(t, cluster="entity", draws=DRAWS):
     """Replicates computed anew (no stage table): what the benchmark measures."""
     s = B.cluster_stats(t.preds, [], cluster, "y", MODELS)
-    return B.replicates(s, B.draw_slots(s, [], draws, SEED), [], MODELS)
+    return B.bootstrap(s, [], MODELS, draws, SEED)
 
 
 @query("bs1", f"""WITH {PREDS} SELECT entity, model, count(*) AS n, round(sum(power(y - p, 2)), 6) + 0.0 AS sse FROM long GROUP BY 1, 2""")
@@ -182,7 +182,7 @@ def bs10(t):
     def scheme(cluster):
         s = stats(t, cluster)
         slots = written(B.draw_slots(s, [], 8, SEED), "slots")
-        fast = B.replicates(s, slots, [], MODELS)
+        fast = B.bootstrap(s, [], MODELS, 8, SEED)
         direct = B.row_expansion(t.preds, s, slots, [], cluster, "y", MODELS, 8)
         gap = F.greatest(*[F.abs(F.col(f"{k}rmse_{m}") - F.col(f"direct_{k}{m}")) for m in MODELS for k in ("", "entity_")])
         return fast.join(direct, "draw").select(
