@@ -3,6 +3,8 @@ the wide traits and embeddings run through the same code without one."""
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from ..operators import gram as G
 from ..operators import metrics as M
 from ..operators import models as L
 from ..operators import select as S
+from ..operators import trees as T
 from ..operators.features import robust_parameters
 from ..sources.tables import EVAL, FOLD_CTES, FOLDS, PREDS, TARGETS, TRAIN
 from .features import early_vectors, entities, image_vectors, trait_vectors, vectors
@@ -138,56 +141,121 @@ def md17(t):
     return out.select(F.round("objective", 4).alias("objective"), F.round("gradient_norm", 4).alias("gradient_norm"))
 
 
-def tree_rows(t, rows, parameters):
-    """Trades with their entity's fused trait vector and the target transformed by ``parameters`` of each market."""
-    vec = t.stage("tree_vectors", lambda: trait_vectors(t)).select("entity", array_to_vector("x").alias("features"))
+FITS = [*(name for name, *_ in FOLDS), "all"]
+
+
+def tree_parameters(t):
+    """Centre and scale of the target per (fit, market): the three folds and the whole training window."""
+    folds = robust_parameters(t.fold_rows.filter("role = 'train'"), ["fold", "market"], "y").select("fold", "market", "center", "scale")
+    return t.stage("tree_asinh", lambda: folds.unionByName(asinh_parameters(t).select(F.lit("all").alias("fold"), "market", "center", "scale")))
+
+
+def tree_entities(t):
+    """Every entity with its trait vector and, per fit, how many training trades it has and the sum of their targets."""
+    train = t.fold_rows.filter("role = 'train'").select("fold", "market", "entity", "y").unionByName(t.train.select(F.lit("all").alias("fold"), "market", "entity", "y"))
     z = robust_asinh(F.col("y"), F.col("center"), F.col("scale"))
-    return rows.join(parameters, "market").join(vec, "entity").select("source_row", "market", "entity", "y", "center", "scale", z.alias("z"), "features")
+    sums = train.join(tree_parameters(t), ["fold", "market"]).groupBy("entity").agg(*[
+        f(F.when(F.col("fold") == fold, v)).alias(f"{name}{i}") for i, fold in enumerate(FITS) for name, f, v in (("n", F.count, F.lit(1)), ("s", F.sum, z))
+    ])
+    packed = lambda c: F.array(*[F.coalesce(F.col(f"{c}{i}"), F.lit(0)).cast("double") for i in range(len(FITS))]).alias(c)
+    return t.stage("tree_entities", lambda: trait_vectors(t).join(sums, "entity", "left").select("entity", "x", packed("n"), packed("s")))
+
+
+def boosted(t, family, trees):
+    """(entity, fold, config_index, z): predictions of all folds' and configurations' trees, trained together."""
+    grid = L.TREE_GRID[family]
+    growth = [T.Growth(c["learning_rate"], c["max_leaf_nodes"], float(c["l2"]), **TREE_GROWTH[family]) for c in grid]
+    p = T.boost(tree_entities(t).repartition(TREE_PARTS, "entity"), "entity", "x", "n", "s", growth, trees)
+    out = p.select(F.col("key").alias("entity"), F.posexplode("p").alias("model", "z"))
+    fold = F.get(F.array(*map(F.lit, FITS)), F.expr(f"model div {len(grid)}").cast("int"))
+    return out.select("entity", fold.alias("fold"), (F.col("model") % len(grid)).cast("bigint").alias("config_index"), "z")
+
+
+def forest(t, family, trees, fits):
+    """The same of bagged forests for the given (fold, configuration) pairs, four fits at a time, on entities weighted by their trades."""
+    grid, rows = L.TREE_GRID[family], tree_entities(t).withColumn("features", array_to_vector("x"))
+
+    def one(of):
+        fold, c = of
+        n, s = F.col("n")[FITS.index(fold)], F.col("s")[FITS.index(fold)]
+        train = rows.withColumn("w", n).filter("w > 0").withColumn("label", s / F.col("w"))
+        model = L.fit_tree(train, family, grid[c], label="label", weight="w", trees=trees)
+        return model.transform(rows).select("entity", F.lit(fold).alias("fold"), F.lit(c).cast("bigint").alias("config_index"), F.col("p").alias("z"))
 
+    with ThreadPool(4) as pool:
+        out = pool.map(one, fits)
+    for more in out[1:]:
+        out[0] = out[0].unionAll(more)
+    return out[0]
 
-def tree_scored(model, rows):
-    return model.transform(rows).withColumn("p_tree", robust_sinh(F.col("p"), F.col("center"), F.col("scale")))
 
+#: What tells the boosted families apart: XGBoost's default grows whole levels with any leaf size, the others the best leaf of at least 20 rows.
+TREE_GROWTH = {"hist_gradient": {}, "lgbm_like": {}, "xgb_like": {"by_depth": True, "min_rows": 1.0}}
+TREE_PARTS = 8
 
-def tree_search(t, family, grid, trees):
-    """Every configuration fitted on the training rows of each fold and scored on its validation rows, pooled.
 
-    A fold without validation rows says nothing about a configuration and is left out.
-    """
-    found = []
-    for fold, *_ in FOLDS:
-        of = lambda role: t.fold_rows.filter((F.col("fold") == fold) & (F.col("role") == role))  # noqa: B023, E731
-        parameters = t.stage(f"tree_asinh_{fold}", lambda: robust_parameters(of("train"), ["market"], "y"))  # noqa: B023
-        train, valid = (t.stage(f"tree_{role}_{fold}", lambda: tree_rows(t, of(role), parameters)) for role in ("train", "valid"))  # noqa: B023
-        if valid.isEmpty():
-            continue
-        for i, config in enumerate(grid):
-            e = F.col("y") - F.col("p_tree")
-            at = tree_scored(L.fit_tree(train, family, config, trees=trees), valid).agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse")).first()
-            found.append((fold, i, at["n"], at["sse"], at["sse"] is not None))
-    if not found:
-        raise ValueError("no fold has validation rows")
-    return S.pool(t.spark.createDataFrame(found, "fold string, config_index int, n bigint, sse double, valid boolean"), ["config_index"])
+def tree_scores(t, predicted):
+    """Pooled validation error of each configuration: squared errors of an entity's trades from their sums."""
+    valid = t.fold_rows.filter("role = 'valid'").groupBy("fold", "market", "entity").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+    p = robust_sinh(F.col("z"), F.col("center"), F.col("scale"))
+    e = valid.join(tree_parameters(t), ["fold", "market"]).join(predicted, ["fold", "entity"]).select("fold", "config_index", "n", (F.col("n") * p * p - 2 * p * F.col("sy") + F.col("syy")).alias("sse"))
+    per = e.groupBy("fold", "config_index").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.lit(True).alias("valid"))
+    return S.pool(per, ["config_index"])
+
+
+def tree_best(t, predicted):
+    """The configuration best on the folds; ties within 1e-12 go to the earlier, simpler one."""
+    return tree_scores(t, predicted).filter("valid").agg(F.min(F.struct(F.round("mse", 12), "config_index")).alias("b")).first()["b"]["config_index"]
+
+
+def boosted_stage(t, family, trees):
+    # Families of equal growth have equal trees, which are grown once.
+    return t.stage(f"trees_{sorted(TREE_GROWTH[family].items())}_{trees}", lambda: boosted(t, family, trees))
 
 
 def tree_query(family, trees=L.TREES):
+    """The whole grid on every fold; the best configuration, fitted on all training rows, is scored on the evaluation rows."""
+    def run(t):
+        if family == "forest":
+            folds = [(fold, c) for fold in FITS[:-1] for c in range(len(L.TREE_GRID[family]))]
+            best = tree_best(t, t.stage(f"trees_{family}_{trees}", lambda: forest(t, family, trees, folds)))
+            predicted = forest(t, family, trees, [("all", best)])
+        else:
+            predicted = boosted_stage(t, family, trees)
+            best = tree_best(t, predicted)
+        chosen = predicted.filter((F.col("fold") == "all") & (F.col("config_index") == best))
+        rows = t.evaluation.join(asinh_parameters(t), "market").join(chosen, "entity")
+        rows = rows.withColumn("p_tree", robust_sinh(F.col("z"), F.col("center"), F.col("scale"))).withColumn("p_zero", F.lit(0.0))
+        return M.score(rows, ["market"], "entity", "y", ["zero", "tree"]).select("market", "model", "n", *t6("rmse", "mae", "entity_rmse"), F.lit(best).cast("bigint").alias("config_index"))
+
+    return run
+
+
+def tree_properties(family, trees=L.TREES):
+    """Per configuration of the refit: the trades it learned from, whether it beats their mean, and whether its squared error from sums is that from trades."""
     def run(t):
-        grid = L.TREE_GRID[family]
-        chosen = tree_search(t, family, grid, trees).filter("valid").orderBy(F.round("mse", 9), "config_index").first()["config_index"]
-        train = t.stage("tree_train", lambda: tree_rows(t, t.train, asinh_parameters(t)))
-        model = L.fit_tree(train, family, grid[chosen], trees=trees)
-        rows = tree_scored(model, tree_rows(t, t.evaluation, asinh_parameters(t))).withColumn("p_zero", F.lit(0.0))
-        return M.score(rows, ["market"], "entity", "y", ["zero", "tree"]).select("market", "model", "n", *t6("rmse", "mae", "entity_rmse"), F.lit(chosen).cast("bigint").alias("config_index"))
+        fitted = boosted_stage(t, family, trees).filter("fold = 'all'")
+        z = robust_asinh(F.col("y"), F.col("center"), F.col("scale"))
+        train = t.train.join(asinh_parameters(t), "market").select("entity", z.alias("y"))
+        sums = train.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+        from_sums = sums.join(fitted, "entity").groupBy("config_index").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("z") * F.col("z") - 2 * F.col("z") * F.col("sy") + F.col("syy")).alias("sse"))
+        e = F.col("y") - F.col("z")
+        from_rows = train.join(fitted, "entity").groupBy("config_index").agg(F.sum(e * e).alias("direct"), (F.count(F.lit(1)) * F.var_pop("y")).alias("sst"))
+        return from_sums.join(from_rows, "config_index").select("config_index", "n", (F.col("direct") < F.col("sst")).alias("beats_mean"), (F.abs(F.col("sse") - F.col("direct")) <= 1e-9 * F.col("sst")).alias("errors_agree"))
 
     return run
 
 
-# The full ensemble and the family's whole grid on every fold, then one refit of the best on all training rows.
+# The full ensemble and the family's whole grid on every fold and on all training rows.
 query("md6")(tree_query("hist_gradient"))
 query("md7")(tree_query("xgb_like"))
 query("md8")(tree_query("lgbm_like"))
 query("md9")(tree_query("forest"))
 
+PROPERTIES_SQL = f"WITH {TARGETS} SELECT c.i AS config_index, count(*) AS n, true AS beats_mean, true AS errors_agree FROM train CROSS JOIN range({len(L.BOOSTED)}) c(i) GROUP BY 1"
+query("md6_properties", PROPERTIES_SQL)(tree_properties("hist_gradient"))
+query("md7_properties", PROPERTIES_SQL)(tree_properties("xgb_like"))
+
 
 @query("md10", f"""WITH {TARGETS} SELECT market, family, true AS identical FROM (SELECT DISTINCT market FROM train) CROSS JOIN (VALUES ('ols'), ('ridge'), ('elasticnet')) v(family)""")
 def md10(t):
