@@ -1,10 +1,12 @@
 """Byte-level BPE and the pipeline."""
 
 import hashlib
+import random
 
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 
 import __spark_entry__ as entry
@@ -27,6 +29,14 @@ def test_encoding_equals_library_and_round_trips(spark, awkward, documents, read
     assert all(ids == PLAIN.encode_ordinary(t) for _, t, ids in rows)
 
 
+def test_fast_pattern_finds_the_same():
+    draw, letters = random.Random(2), ["a", "Z", "é", "ÿ", "×", " ", "  ", "\t", "\n", "\x0b", "\x1c", "'s", "'", "'ll", "'LL", "1", "½", "!", "-", "_", "\x00", "\x7f", "\xa0", "中"]
+    find = byte_bpe._finder(public_tokenizers.PATTERN)
+    for n in range(20000):
+        text = "".join(draw.choices(letters[: 15 + n % 10], k=draw.randint(0, 12)))
+        assert find(text) == regex.findall(public_tokenizers.PATTERN, text), repr(text)
+
+
 def test_blocks_and_empty_table(spark, awkward, nothing, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK_BYTES", 1)
     rows = byte_bpe.encode(awkward, RANKS, public_tokenizers.PATTERN, digests=True, ready_words=10).collect()
