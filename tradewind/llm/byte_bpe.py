@@ -21,7 +21,7 @@ from .text import slices
 BUCKETS, SHIFT = 16381, 16
 WIDTH, NO_MERGE = 1 << SHIFT, 1 << 40
 #: Frequent words kept ready in every task, and the documents (by hash) they are counted on. Both only save time.
-READY_WORDS, READY_DOCUMENTS = 200_000, 20_000
+READY_WORDS, READY_DOCUMENTS = 100_000, 20_000
 #: Text of one block, whose distinct words are folded together, and new words after which it ends sooner.
 BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 80_000
 # The letters of ASCII and U+00C0 to U+00FF, as a class of characters.
