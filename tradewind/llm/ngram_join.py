@@ -197,7 +197,7 @@ def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
     than a shared tile, and a linked pair shares one except with probability 3e-15. First,
     members outside a tile's largest component are checked against members of it drawn by hash; then
     only pairs of different components that the sizes and bitmaps leave possible are checked, every one
-    of them. So a group of near copies costs about its size, not its square, and no tile is capped.
+    of them, once: in the first tile both lie in. So a group of near copies costs about its size, not its square, and no tile is capped.
 
     Null texts and texts without words have no shingles, class null and their own id as component.
     Null ids are never the least; a component of null ids only has component null. Repeated rows stay;
@@ -244,12 +244,17 @@ def near_copies(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
         known = components(links)
 
     # What is left: tiles that still hold several components. In each, the members outside its largest
-    # component meet all members of other components.
-    placed = written(_open_tiles(members, known, STAR_TURNS).join(info("cls", "v"), "cls"), "ngram-open")
-    left = placed.where("comp <> largest").select("tile", F.col("cls").alias("p"), F.col("comp").alias("c"), F.col("v").alias("u"))
-    crossed = left.join(placed.select("tile", F.col("cls").alias("q"), F.col("comp").alias("d"), "v"), "tile")
-    crossed = crossed.where((F.col("c") != F.col("d")) & _bounded(F.col("u"), F.col("v")))
-    crossed = crossed.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
+    # component meet the members of other components, in the first tile a pair has in common only.
+    # Tiles of two components are all open, so the tiles listed here hold every common one.
+    placed = written(_open_tiles(members, known, STAR_TURNS), "ngram-open")
+    lying = placed.groupBy("cls").agg(F.sort_array(F.collect_set("tile")).alias("tiles")).join(involved.select("cls", "n", "bits"), "cls")
+    met = written(placed.join(lying.select("cls", F.struct("n", "bits", "tiles").alias("v")), "cls"), "ngram-met")
+    outside = F.col("comp") != F.col("largest")
+    left = met.where(outside).select("tile", F.col("cls").alias("p"), F.col("comp").alias("c"), F.col("v").alias("u"))
+    crossed = left.join(met.select("tile", F.col("cls").alias("q"), F.col("comp").alias("d"), outside.alias("out"), "v"), "tile")
+    once = (F.col("c") != F.col("d")) & (~F.col("out") | (F.col("p") < F.col("q")))
+    first = F.array_min(F.array_intersect("u.tiles", "v.tiles")) == F.col("tile")
+    crossed = crossed.where(once & _bounded(F.col("u"), F.col("v")) & first).select(F.col("p").alias("a"), F.col("q").alias("b"))
 
     found = components(links.unionByName(_verified(crossed, arrays)))
     least = involved.join(found, F.col("cls") == F.col("node"), "left").select("cls", "least", F.coalesce("label", "cls").alias("comp"))
