@@ -143,6 +143,28 @@ def fit_grid(grams: DataFrame, by: list[str], grid: list[tuple[str, int, dict]])
     return keyed.repartition(tasks, *by, "_family").groupBy(*by, "_family").applyInPandas(run, ddl)
 
 
+def fit_choices(grams: DataFrame, choices: DataFrame, by: list[str]) -> DataFrame:
+    """One fit per row of ``choices`` (by, candidate, family, config as JSON, columns), from the group's Gram cut to those columns.
+
+    Returns by, candidate, coef (as wide as the Gram, zero where a column is not used), intercept, valid
+    and reason. A choice whose group has no Gram, and an empty table, give no row.
+    """
+    types = {f.name: f.dataType for f in grams.schema.fields}
+    ddl = ", ".join([*(f"{c} {types[c].simpleString()}" for c in by), "candidate bigint, coef array<double>, intercept double, valid boolean, reason string"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        m, first = G.unpack(pdf), pdf.iloc[0]
+        use = np.array(first["columns"], dtype=int)
+        beta, ok, why = solve({**m, "sxx": m["sxx"][np.ix_(use, use)], "sxy": m["sxy"][use]}, first["family"], json.loads(first["config"]))
+        coef = np.zeros(len(m["sxy"]))
+        coef[use] = beta
+        row = {"candidate": first["candidate"], "coef": coef.tolist(), "intercept": float(m["my"] - m["mx"] @ coef), "valid": bool(ok), "reason": why}
+        return pd.DataFrame([{**{c: first[c] for c in by}, **row}])
+
+    wanted = choices.select(*by, "candidate", "family", "config", "columns")
+    return grams.join(wanted, by).groupBy(*by, "candidate").applyInPandas(run, ddl)
+
+
 def grid(*families: str) -> list[tuple[str, int, dict]]:
     return [(f, i, c) for f in families for i, c in enumerate(GRID[f])]
 

@@ -7,13 +7,17 @@ grouped pandas below therefore see at most a grid's worth of rows per group.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import written
+
 TOLERANCE = 1e-12
 
 
@@ -162,7 +166,61 @@ def first_valid(ranked: DataFrame, by: list[str]) -> DataFrame:
     return best(ranked.filter("valid"), by, [F.col("rank")])
 
 
+class NotFrozen(RuntimeError):
+    """Choices were not recorded, or are no longer those recorded."""
+
+
+def digest(table: DataFrame) -> DataFrame:
+    """One row (n, digest) that tells tables of different rows apart, in any order of rows and columns."""
+    sha = F.sha2(F.to_json(F.struct(*sorted(table.columns)), {"ignoreNullFields": "false"}), 256)
+    part = lambda at: F.sum(F.conv(F.substring(sha, at, 15), 16, 10).cast("decimal(38,0)"))
+    return table.agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", part(1), part(16), part(31)).alias("digest"))
+
+
 def freeze(choices: DataFrame, path: str) -> DataFrame:
-    """Record the choices in a write-once table and hand back the recorded ones."""
+    """Record the choices in a write-once table with a manifest beside it, and hand back the recorded ones."""
     choices.write.mode("errorifexists").parquet(path)
-    return choices.sparkSession.read.parquet(path)
+    stored = choices.sparkSession.read.schema(choices.schema).parquet(path)
+    digest(stored).write.mode("errorifexists").parquet(f"{path}-manifest")
+    return stored
+
+
+def read_frozen(spark: SparkSession, path: str) -> DataFrame:
+    """The choices frozen at ``path``; ``NotFrozen`` if there is no manifest or the table differs from it."""
+    try:
+        manifest = spark.read.parquet(f"{path}-manifest").collect()
+        stored = spark.read.parquet(path)
+        found = digest(stored).collect()
+    except AnalysisException as missing:
+        raise NotFrozen(f"nothing is frozen at {path}") from missing
+    if [r.asDict() for r in manifest] != [r.asDict() for r in found]:
+        raise NotFrozen(f"the choices at {path} are not those that were frozen")
+    return stored
+
+
+def read_after_freeze(spark: SparkSession, path: str, read: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """The frozen choices and the evaluation rows; ``read`` is not called unless the choices are frozen and unchanged."""
+    choices = read_frozen(spark, path)
+    return choices, read()
+
+
+def fall_through(ranked: DataFrame, by: list[str], candidate: str, refit: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The best-ranked candidate of each group whose final fit is valid: by, candidate, rank and the columns of its fit.
+
+    ``ranked`` is a frozen ranking with ``rank`` 1, 2, ... in each group. ``refit`` gets the rows of it that
+    are to be fitted and returns by, candidate, ``valid`` and columns of its own. Each round refits
+    only the groups whose last candidate failed, at their next rank. Groups without a valid candidate,
+    and those with a null key, are left out. There are as many rounds as the longest run of failures has
+    fits; each writes its fits, and whether any group is still open is all that reaches the driver.
+    """
+    rank, found = 1, None
+    turn = ranked.filter("rank = 1")
+    while True:
+        fits = written(refit(turn).join(turn.select(*by, candidate, "rank"), [*by, candidate]), "fall-through")
+        good = fits.filter("valid").drop("valid")
+        found = good if found is None else found.unionByName(good)
+        failed = fits.filter("NOT valid").select(*by)
+        if failed.isEmpty():
+            return found
+        rank += 1
+        turn = ranked.filter(F.col("rank") == rank).join(failed, by, "left_semi")

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_window, moment, names_where, tidy
+from ..operators import gram as G
 from ..operators import metrics as M
+from ..operators import models as L
 from ..operators import select as S
 from ..session import fresh_path
 from ..sources.tables import ALPHAS, FEATURES, FOLD_CTES, FOLDS, MODELS, PREDS, SCORES, TARGETS
+from .features import entities
 from .joins import WINNERS, condition_winners
+from .models import X2
 from .registry import query
 from .scans import CONDITION_WHERE, CONDITIONS_SQL, conditions
 
@@ -114,26 +119,80 @@ def sel10(t):
     return S.late_weight(grid, ["market"], "smallest").select("market", "weight")
 
 
-@query("sel11", f"""WITH {SCORES}, r AS (SELECT market, feature, config, mse, row_number() OVER (PARTITION BY market ORDER BY mse, feature, config) AS rank FROM pooled),
-ok AS (SELECT * FROM r WHERE NOT (feature = 'brand' AND config = 0) AND (rank % 2) = 0)
-SELECT market, feature, config, rank, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY rank) AS rn FROM ok) WHERE rn = 1""")
-def sel11(t):
-    """Next-ranked candidate whose final fit is valid; odd ranks stand for failed fits here."""
-    from pyspark.sql import Window as W
-    ranked = t.pooled.withColumn("rank", F.row_number().over(W.partitionBy("market").orderBy("mse", "feature", "config")).cast("bigint"))
-    fits = ranked.withColumn("valid", ~((F.col("feature") == "brand") & (F.col("config") == 0)) & (F.col("rank") % 2 == 0))
-    return S.first_valid(fits, ["market"]).select("market", "feature", "config", "rank", F.round("mse", 6).alias("mse"))
+# Candidates of the fall-through: components asked for and the columns of (x1, x2, 2 * x1) they are taken
+# from. Candidates 2 and 4 are planted: they ask for more components than their columns have rank.
+CANDIDATES = [(1, [0, 1]), (2, [0, 1]), (2, [0, 2]), (1, [0]), (2, [1]), (1, [1])]
+
+_ONE = "(w1 * t1 + w2 * t2) / (w1 * w1 * s11 + 2 * w1 * w2 * s12 + w2 * w2 * s22)"
+_DET = "(s11 * s22 - s12 * s12)"
+
+
+def betas_sql(moments: str) -> str:
+    """Coefficients of all candidates in closed form from centred moments of (x1, x2, y)."""
+    return f"""SELECT *, CASE candidate WHEN 0 THEN w1 * {_ONE} WHEN 1 THEN (t1 * s22 - s12 * t2) / {_DET} WHEN 2 THEN t1 / s11 WHEN 3 THEN t1 / s11 ELSE 0.0::DOUBLE END AS b1,
+  CASE candidate WHEN 0 THEN w2 * {_ONE} WHEN 1 THEN (s11 * t2 - s12 * t1) / {_DET} WHEN 4 THEN t2 / s22 WHEN 5 THEN t2 / s22 ELSE 0.0::DOUBLE END AS b2
+  FROM (SELECT *, t1 / sqrt(t1 * t1 + t2 * t2) AS w1, t2 / sqrt(t1 * t1 + t2 * t2) AS w2 FROM {moments}) CROSS JOIN (VALUES (0::BIGINT, 1), (1, 2), (2, 2), (3, 1), (4, 2), (5, 1)) c(candidate, components)"""
 
 
-@query("sel12", f"""WITH {SCORES}, w AS (SELECT market, feature, config FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY mse, feature, config) AS rn FROM pooled) WHERE rn = 1),
-leak AS (SELECT count(*) AS n FROM fold_rows WHERE ts >= '2000-01-01') SELECT market, feature, config, n AS rows_after_cutoff FROM w CROSS JOIN leak""")
+MOMENTS = "avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12, covar_pop(x2, x2) AS s22, covar_pop(x1, y) AS t1, covar_pop(x2, y) AS t2"
+
+
+@query("sel11", f"""WITH {FOLD_CTES}, {X2}, fm AS (SELECT market, fold, {MOMENTS} FROM fold_rows JOIN px USING (entity) WHERE role = 'train' GROUP BY 1, 2), fb AS ({betas_sql('fm')}),
+tm AS (SELECT market, {MOMENTS} FROM train JOIN px USING (entity) GROUP BY 1), tb AS ({betas_sql('tm')}),
+err AS (SELECT r.market, candidate, round(avg(power(r.y - (my + (x1 - m1) * b1 + (x2 - m2) * b2), 2)), 9) AS mse FROM fold_rows r JOIN px USING (entity) JOIN fb ON fb.market = r.market AND fb.fold = r.fold WHERE role = 'valid' GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY market ORDER BY mse, candidate) AS rank FROM err),
+ok AS (SELECT market, candidate, rank, mse, b1, b2, my - m1 * b1 - m2 * b2 AS intercept, row_number() OVER (PARTITION BY market ORDER BY rank) AS k FROM ranked JOIN tb USING (market, candidate)
+  WHERE components <= CASE WHEN candidate < 2 AND {_DET} > 1e-9 * s11 * s22 THEN 2 ELSE 1 END)
+SELECT market, candidate, rank, round(mse, 6) AS mse, round(b1, 6) + 0.0 AS b1, round(b2, 6) + 0.0 AS b2, round(intercept, 6) + 0.0 AS intercept FROM ok WHERE k = 1""")
+def sel11(t):
+    """Candidates ranked by their errors on the folds; a final fit that lacks components gives way to the next rank, which is fitted then."""
+    vec = t.stage("sel11_vectors", lambda: entities(t).select("entity", F.array("x1", "x2", 2 * F.col("x1")).alias("x")))
+    offered = F.explode(F.array(*[
+        F.struct(F.lit(i).cast("bigint").alias("candidate"), F.lit("pls").alias("family"), F.lit(f'{{"components": {k}}}').alias("config"), F.array(*map(F.lit, use)).alias("columns"))
+        for i, (k, use) in enumerate(CANDIDATES)
+    ]))
+    grams = lambda rows, by: G.accumulate(G.entity_targets(rows, by, "entity", "y").join(vec, "entity"), by)
+    on_folds = t.stage("sel11_folds", lambda: grams(t.fold_rows.filter("role = 'train'"), ["market", "fold"]))
+    every = on_folds.select("market", "fold").distinct().select("market", "fold", offered.alias("o")).select("market", "fold", "o.*")
+    fits = L.fit_choices(on_folds, every, ["market", "fold"]).select("market", "fold", F.lit("pls").alias("family"), F.col("candidate").alias("config_index"), "coef", "intercept")
+    sums = G.entity_targets(t.fold_rows.filter("role = 'valid'"), ["market", "fold"], "entity", "y")
+    scored, p = L.predict(sums.join(vec, "entity"), fits, ["market", "fold"]), F.col("p")
+    errors = scored.groupBy("market", F.col("config_index").alias("candidate")).agg(F.round(F.sum(F.col("n") * p * p - 2 * p * F.col("sy") + F.col("syy")) / F.sum("n"), 9).alias("mse"))
+    ranked = errors.withColumn("rank", F.row_number().over(W.partitionBy("market").orderBy("mse", "candidate")).cast("bigint"))
+    frozen = S.freeze(ranked, fresh_path(t.spark, "ranking"))
+    on_train = t.stage("sel11_train", lambda: grams(t.train, ["market"]))
+    choices = lambda turn: turn.select("market", "candidate", offered.alias("o")).filter("o.candidate = candidate").select("market", "o.*")
+    out = S.fall_through(frozen, ["market"], "candidate", lambda turn: L.fit_choices(on_train, choices(turn), ["market"]))
+    out = out.join(frozen.select("market", "candidate", "mse"), ["market", "candidate"])
+    return out.select("market", "candidate", "rank", F.round("mse", 6).alias("mse"), tidy(F.col("coef")[0]).alias("b1"), tidy(F.col("coef")[1]).alias("b2"), tidy(F.col("intercept")).alias("intercept"))
+
+
+@query("sel12", f"""WITH {SCORES}, w AS (SELECT market, feature, config, alpha FROM (SELECT *, row_number() OVER (PARTITION BY market ORDER BY mse, feature, config) AS rn FROM pooled) WHERE rn = 1),
+chosen AS (SELECT t.market, t.ts, t.y, w.feature, w.config, w.alpha, coalesce(CASE w.feature WHEN 'brand' THEN brand WHEN 'size' THEN CAST(size_band AS VARCHAR) WHEN 'word' THEN word1 ELSE CAST(e.label AS VARCHAR) END, '?') AS value
+  FROM targets t JOIN w ON w.market = t.market LEFT JOIN embeddings e ON e.vec_id = t.entity),
+learned AS (SELECT market, value, sum(y) AS s, count(*) AS n FROM chosen WHERE ts >= '1997-01-01' AND ts < '2000-01-01' GROUP BY 1, 2), whole AS (SELECT market, sum(s) / sum(n) AS m FROM learned GROUP BY 1)
+SELECT c.market, feature, config, count(*) AS n, round(sqrt(avg(power(y - CASE WHEN l.n IS NULL THEN m ELSE (s + alpha * m) / (l.n + alpha) END, 2))), 6) AS rmse
+FROM chosen c JOIN whole ON whole.market = c.market LEFT JOIN learned l ON l.market = c.market AND l.value = c.value WHERE ts >= '2000-01-01' AND ts < '2001-08-02' GROUP BY 1, 2, 3""")
 def sel12(t):
-    """Choices made on development rows only and frozen in a write-once table before evaluation."""
-    frozen = S.freeze(
-        S.best(t.pooled, ["market"], [F.col("mse"), F.col("feature"), F.col("config")]).select("market", "feature", "config"), fresh_path(t.spark, "frozen")
-    )
-    used = t.fold_rows.agg(F.count_if(F.col("us") >= 946_684_800_000_000).alias("rows_after_cutoff"))
-    return frozen.join(F.broadcast(used))
+    """Choices made on development rows are frozen with a manifest; evaluation rows are read through it only, and scored by them."""
+    path = fresh_path(t.spark, "frozen")
+    S.freeze(S.best(t.pooled, ["market"], [F.col("mse"), F.col("feature"), F.col("config")]).select("market", "feature", "config"), path)
+    choices, evaluation = S.read_after_freeze(t.spark, path, lambda: t.evaluation)
+    traits = dict(zip(FEATURES, ["brand", "size_band", "word1", "emb_label"]))
+
+    def cells(rows):
+        """Counted sums by the traits, then by the value of the market's chosen one, so that few rows meet the choices."""
+        fine = rows.join(t.labels_by_entity, "entity", "left").groupBy("market", *traits.values()).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
+        value = F.coalesce(*[F.when(F.col("feature") == f, F.col(c).cast("string")) for f, c in traits.items()], F.lit("?"))
+        return fine.join(choices, "market").withColumn("value", value).groupBy("market", "feature", "config", "value").agg(*[F.sum(c).alias(c) for c in ("n", "sy", "syy")])
+
+    learned = cells(t.train)
+    level = learned.groupBy("market").agg((F.sum("sy") / F.sum("n")).alias("m"))
+    alpha = F.array(*[F.lit(float(a)) for a in ALPHAS])[F.col("config").cast("int")]
+    rows = cells(evaluation).join(level, "market").join(learned.select("market", "value", F.col("n").alias("ln"), F.col("sy").alias("ls")), ["market", "value"], "left")
+    p = F.when(F.col("ln").isNull(), F.col("m")).otherwise((F.col("ls") + alpha * F.col("m")) / (F.col("ln") + alpha))
+    rows = rows.withColumn("p", p).withColumn("sse", F.col("n") * F.col("p") * F.col("p") - 2 * F.col("p") * F.col("sy") + F.col("syy"))
+    return rows.groupBy("market", "feature", "config").agg(F.sum("n").alias("n"), tidy(F.sqrt(F.sum("sse") / F.sum("n"))).alias("rmse"))
 
 
 @query("sel13", f"""WITH {SCORES}, q AS (SELECT *, round(sse / n, 9) AS mse FROM scores), w AS (SELECT market, fold, feature, config FROM (SELECT *, row_number() OVER (PARTITION BY market, fold ORDER BY mse, feature, config) AS rn FROM q) WHERE rn = 1),
