@@ -13,6 +13,7 @@ from ..functions.scalars import in_window, moment, names_where, robust_asinh, ro
 from ..operators import gram as G
 from ..operators import metrics as M
 from ..operators import models as L
+from ..operators import resample as B
 from ..operators import select as S
 from ..operators import trees as T
 from ..operators.features import robust_parameters
@@ -346,31 +347,126 @@ def md15(t):
     )
 
 
-def residual_report(t, rows):
-    """Alpha search for a residual correction on embeddings: fit on the first quarters, score the last."""
-    fits = L.fit_grid(fold_grams(t), ["fold"], [("ridge", 2, {"alpha": 1.0})])
-    base = oof(t, fits).join(rows.select("source_row"), "source_row", "left_semi").withColumn("r", F.col("y") - F.col("p"))
-    vec = image_vectors(t)
-    early, last = base.filter("fold <> '1999Q4'"), base.filter("fold = '1999Q4'")
-    grams = G.accumulate(G.entity_targets(early, [], "entity", "r").join(vec, "entity"), [])
-    candidates = L.residual_grid(grams, [])
-    scored = L.predict(G.entity_targets(last, [], "entity", "r").join(vec, "entity"), candidates, [])
-    q = F.col("p")
-    out = scored.groupBy("config_index").agg(
+#: Cohorts of the residual correction, by the masks their rows pass before anything is learned from them.
+COHORTS = {"all": "true", "no_event": "evt <> 'R'", "strict": "evt <> 'R' AND prior_n >= 40"}
+LAST_QUARTER = "1999Q4"
+
+
+def by_cohort(rows):
+    return rows.withColumn("cohort", F.explode(names_where({name: F.expr(mask) for name, mask in COHORTS.items()})))
+
+
+def residual_sums(t):
+    """Counted sums of the out-of-fold residuals by (cohort, fold, entity): all that the correction learns from."""
+
+    def build():
+        base = oof(t, L.fit_grid(fold_grams(t), ["fold"], [("ridge", 2, {"alpha": 1.0})])).withColumn("r", F.col("y") - F.col("p"))
+        rows = by_cohort(base.join(t.targets.select("source_row", "evt", "prior_n"), "source_row"))
+        return G.entity_targets(rows, ["cohort", "fold"], "entity", "r")
+
+    return t.stage("residual_sums", build)
+
+
+def alpha_search(t, vec):
+    """Per cohort and alpha: errors in the last quarter of the correction fitted on the quarters before it."""
+    sums = residual_sums(t)
+    grams = G.accumulate(sums.filter(F.col("fold") != LAST_QUARTER).join(vec, "entity"), ["cohort"])
+    scored, q = L.predict(sums.filter(F.col("fold") == LAST_QUARTER).join(vec, "entity"), L.residual_grid(grams, ["cohort"]), ["cohort"]), F.col("p")
+    out = scored.groupBy("cohort", "config_index").agg(
         F.sum("n").cast("bigint").alias("n"), F.sum("syy").alias("base_sse"), F.sum(F.col("n") * q * q - 2 * q * F.col("sy") + F.col("syy")).alias("sse")
     )
     alphas = F.array(*[F.lit(a) for a in L.RESIDUAL_ALPHAS])
-    out = out.withColumn("alpha", F.get(alphas, F.col("config_index").cast("int"))).withColumn("q4_rmse", F.sqrt(F.col("sse") / F.col("n")))
-    best = out.agg(F.min(F.struct(F.round("q4_rmse", 12), "alpha")).alias("b")).select(F.col("b.alpha").alias("best_alpha"))
-    return out.join(F.broadcast(best)).select("alpha", "n", *t6("q4_rmse"), tidy(1 - F.col("sse") / F.col("base_sse")).alias("partial_r2"), (F.col("alpha") == F.col("best_alpha")).alias("chosen"))
+    return out.withColumn("alpha", F.get(alphas, F.col("config_index").cast("int"))).withColumn("q4_rmse", F.sqrt(F.col("sse") / F.col("n")))
+
+
+def best_alpha(searched):
+    """The alpha of least error in each cohort; equal errors go to the smaller alpha."""
+    return S.best(searched, ["cohort"], [F.round("q4_rmse", 12), F.col("alpha")]).select("cohort", "config_index", "alpha")
+
+
+def corrected(t, vec, kind):
+    """Evaluation trades of every cohort with the base prediction and the corrected one.
+
+    The correction is fitted again on the residuals of all quarters with the cohort's best alpha. An
+    entity without a vector gets no correction.
+    """
+
+    def build():
+        best = best_alpha(alpha_search(t, vec))
+        fits = L.residual_grid(G.accumulate(residual_sums(t).join(vec, "entity"), ["cohort"]), ["cohort"])
+        fits = fits.join(best.select("cohort", "config_index"), ["cohort", "config_index"])
+        base = L.fit_grid(small_grams(t, ()), [], [("ridge", 2, {"alpha": 1.0})])
+        rows = by_cohort(t.evaluation).select("cohort", "source_row", "entity", "y")
+        pairs = rows.select("cohort", "entity").distinct()
+        first = L.predict(pairs.select("entity").distinct().join(small(t).select("entity", "x"), "entity"), base, []).select("entity", F.col("p").alias("p_base"))
+        more = L.predict(pairs.join(vec, "entity"), fits, ["cohort"]).select("cohort", "entity", F.col("p").alias("q"))
+        rows = rows.join(first, "entity").join(more, ["cohort", "entity"], "left").join(best.select("cohort", "alpha"), "cohort")
+        return rows.withColumn("p_corrected", F.col("p_base") + F.coalesce("q", F.lit(0.0))).drop("q")
+
+    return t.stage(f"corrected_{kind}", build)
+
+
+CORRECTION = ["base", "corrected"]
+DRAWS, SEED = 2000, 1729
+
+
+def correction_report(t, cohorts):
+    """Evaluation errors of base and corrected predictions by cohort, with the paired entity-bootstrap interval of their difference."""
+    rows = corrected(t, image_vectors(t), "image").filter(F.col("cohort").isin(cohorts))
+    stats = B.cluster_stats(rows, ["cohort"], "entity", "y", CORRECTION)
+    changes = B.deltas(B.bootstrap(stats, ["cohort"], CORRECTION, DRAWS, SEED), ["cohort"], [("correction", "corrected", "base")], ["rmse", "entity_rmse"])
+    interval = B.intervals(changes, ["cohort", "metric"], {"95": 95.0})
+    rmse = {m: (F.sqrt(F.sum(f"sse_{m}") / F.sum("n")), F.sqrt(F.avg(F.col(f"sse_{m}") / F.col("n")))) for m in CORRECTION}
+    wide = stats.groupBy("cohort").agg(F.sum("n").alias("n"), *[rmse[m][i].alias(f"{m}{i}") for m in CORRECTION for i in range(2)])
+    points = wide.select("cohort", "n", F.inline(F.array(*[F.struct(F.lit(name).alias("metric"), F.col(f"base{i}").alias("base"), F.col(f"corrected{i}").alias("corrected")) for i, name in enumerate(("rmse", "entity_rmse"))])))
+    alphas = rows.groupBy("cohort").agg(F.max("alpha").alias("alpha"))
+    out = points.join(interval, ["cohort", "metric"]).join(alphas, "cohort")
+    return out.select("cohort", "metric", "alpha", "n", *t6("base", "corrected", "ci95_low", "ci95_high"), tidy(F.col("corrected") - F.col("base")).alias("delta"))
 
 
 @query("md11")
 def md11(t):
-    return residual_report(t, t.targets)
+    """Correction on embeddings: searched, refitted on all residuals, scored on the evaluation with its interval."""
+    return correction_report(t, ["all"])
 
 
 @query("md16")
 def md16(t):
-    """The same correction when rows are filtered to the strict cohort before the alpha search."""
-    return residual_report(t, t.targets.filter((F.col("evt") != "R") & (F.col("prior_n") >= 40)))
+    """The same when rows are filtered to a strict cohort before the alpha search."""
+    return correction_report(t, ["no_event", "strict"])
+
+
+@query("md11_search")
+def md11_search(t):
+    """The alpha search itself for every cohort, on embeddings."""
+    found = alpha_search(t, image_vectors(t))
+    out = found.join(best_alpha(found).select("cohort", F.col("alpha").alias("best")), "cohort")
+    return out.select("cohort", "alpha", "n", *t6("q4_rmse"), tidy(1 - F.col("sse") / F.col("base_sse")).alias("partial_r2"), (F.col("alpha") == F.col("best")).alias("chosen"))
+
+
+def centred_sql(y: str) -> str:
+    c = lambda a, b: f"count(*) * covar_pop({a}, {b})"
+    return f"avg(x1) AS m1, avg(x2) AS m2, avg({y}) AS my, {c('x1', 'x1')} AS s11, {c('x1', 'x2')} AS s12, {c('x2', 'x2')} AS s22, {c('x1', y)} AS t1, {c('x2', y)} AS t2"
+
+
+COHORTS_SQL = "(VALUES ('all'), ('no_event'), ('strict')) c(cohort) WHERE cohort = 'all' OR (evt <> 'R' AND (cohort = 'no_event' OR prior_n >= 40))"
+LINE_SQL = "(my + (x1 - m1) * b1 + (x2 - m2) * b2)"
+
+
+@query("md11_traits", f"""WITH {FOLD_CTES}, {X2}, fm AS (SELECT fold, {centred_sql('y')} FROM fold_rows JOIN px USING (entity) WHERE role = 'train' GROUP BY 1), fb AS (SELECT *, {ridge_sql('1.0')} FROM fm),
+res AS (SELECT v.fold, v.evt, v.prior_n, x1, x2, y - {LINE_SQL} AS r FROM fold_rows v JOIN px USING (entity) JOIN fb ON fb.fold = v.fold WHERE role = 'valid'),
+co AS (SELECT cohort, res.* FROM res CROSS JOIN {COHORTS_SQL}),
+em AS (SELECT cohort, {centred_sql('r')} FROM co WHERE fold <> '{LAST_QUARTER}' GROUP BY 1), am AS (SELECT cohort, {centred_sql('r')} FROM co GROUP BY 1),
+al(alpha) AS (VALUES (0.0::DOUBLE), (1e2), (1e3), (1e4), (1e5), (1e6)),
+eb AS (SELECT *, {ridge_sql('alpha')} FROM em CROSS JOIN al), ab AS (SELECT *, {ridge_sql('alpha')} FROM am CROSS JOIN al),
+q4 AS (SELECT cohort, alpha, round(sqrt(avg(power(r - CASE WHEN alpha = 0 THEN 0 ELSE {LINE_SQL} END, 2))), 12) AS e FROM co JOIN eb USING (cohort) WHERE fold = '{LAST_QUARTER}' GROUP BY 1, 2),
+best AS (SELECT cohort, alpha FROM (SELECT *, row_number() OVER (PARTITION BY cohort ORDER BY e, alpha) AS k FROM q4) WHERE k = 1),
+tb AS (SELECT *, {ridge_sql('1.0')} FROM (SELECT {centred_sql('y')} FROM train JOIN px USING (entity))),
+ev AS (SELECT cohort, y, x1, x2, {LINE_SQL} AS p FROM evaluation JOIN px USING (entity) CROSS JOIN tb CROSS JOIN {COHORTS_SQL})
+SELECT ev.cohort, alpha, count(*) AS n, round(sqrt(avg(power(y - p, 2))), 6) AS base, round(sqrt(avg(power(y - p - CASE WHEN alpha = 0 THEN 0 ELSE {LINE_SQL} END, 2))), 6) AS corrected
+FROM ev JOIN best USING (cohort) JOIN ab USING (cohort, alpha) GROUP BY 1, 2""")
+def md11_traits(t):
+    """The whole correction on two traits, where every fit has a closed form."""
+    rows = corrected(t, small(t).select("entity", "x"), "traits")
+    e = lambda m: F.sqrt(F.avg((F.col("y") - F.col(f"p_{m}")) * (F.col("y") - F.col(f"p_{m}"))))
+    return rows.groupBy("cohort", "alpha").agg(F.count(F.lit(1)).alias("n"), *[tidy(e(m)).alias(m) for m in CORRECTION])
