@@ -80,3 +80,15 @@ def test_digest_sees_values_and_repeats_but_no_order(spark):
     assert one([(1, "x"), (2, None)]) == one([(2, None), (1, "x")])
     assert len({one([(1, "x"), (2, None)]), one([(1, "x"), (2, "")]), one([(1, "x"), (2, None), (2, None)]), one([(1, "x")])}) == 4
     assert one([])[0] == 0
+
+
+def test_grams_before_each_quarter_are_those_of_its_earlier_rows(spark):
+    rng = np.random.default_rng(8)
+    data = [(k, f"Q{q}", [float(v) for v in rng.normal(size=3)], 1.0, float(y := rng.normal()), float(y * y)) for k in ("a", "b") for q in (1, 2, 4) for _ in range(6)]
+    rows = spark.createDataFrame(data, "k string, quarter string, x array<double>, n double, sy double, syy double")
+    got = {(r.k, r.quarter, r.i): r for r in G.before(G.accumulate(rows, ["k", "quarter"]), ["k"], "quarter").collect()}
+    assert {(k, q) for k, q, _ in got} == {(k, q) for k in ("a", "b") for q in ("Q2", "Q4")}
+    for (k, q) in {(k, q) for k, q, _ in got}:
+        plain = G.accumulate(rows.filter((F.col("k") == k) & (F.col("quarter") < q)), ["k"]).collect()
+        for r in plain:
+            np.testing.assert_allclose([*got[k, q, r.i].g, got[k, q, r.i].b, got[k, q, r.i].c], [*r.g, r.b, r.c], atol=1e-12)

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,6 +86,19 @@ def accumulate_columns(df: DataFrame, by: list[str], xs: list[str], n: str = "n"
     return wide.select(*by, F.inline(rows))
 
 
+def before(grams: DataFrame, by: list[str], order: str) -> DataFrame:
+    """Grams of everything strictly before each value of ``order``: prefix sums of every cell, so no row is read again.
+
+    Cells are summed by (by, i, place), one number per value of ``order`` each; the first value, with
+    nothing before it, has no Gram.
+    """
+    cells = grams.select(*by, order, "i", F.posexplode(F.concat("g", F.array("b", "c"))).alias("at", "v"))
+    earlier = W.partitionBy(*by, "i", "at").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    sums = cells.withColumn("v", F.sum("v").over(earlier)).filter("v IS NOT NULL")
+    rows = sums.groupBy(*by, order, "i").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda s: s["v"]).alias("v"))
+    return rows.select(*by, order, "i", F.slice("v", F.lit(1), F.size("v") - 2).alias("g"), F.element_at("v", -2).alias("b"), F.element_at("v", -1).alias("c"))
+
+
 def unpack(pdf) -> dict:
     """Centred moments of one group from its Gram rows."""
     pdf = pdf.sort_values("i")

@@ -14,7 +14,7 @@ from ..session import fresh_path
 from ..sources.tables import ALPHAS, FEATURES, FOLD_CTES, FOLDS, MODELS, PREDS, SCORES, TARGETS
 from .features import entities
 from .joins import WINNERS, condition_winners
-from .models import X2
+from .models import LINE_SQL, X2, centred_sql, ridge_sql, small, small_grams
 from .registry import query
 from .scans import CONDITION_WHERE, CONDITIONS_SQL, conditions
 
@@ -248,32 +248,72 @@ def sel17(t):
     return parts.drop("_one")
 
 
-@query("sel18", f"""WITH {PREDS}, s AS (SELECT *, concat(year(make_timestamp(us)), 'Q', quarter(make_timestamp(us))) AS quarter FROM long), x AS (SELECT 'all' AS sample, * FROM s UNION ALL SELECT 'strict', * FROM s WHERE evt <> 'R' AND prior_n >= 40)
-SELECT quarter, sample, model, count(*) AS n, round(sqrt(avg(power(y - p, 2))), 6) AS rmse FROM x GROUP BY 1, 2, 3""")
+@query("sel18", f"""WITH {PREDS}, {X2}, s AS (SELECT *, concat(year(make_timestamp(us)), 'Q', quarter(make_timestamp(us))) AS quarter FROM long), x AS (SELECT 'all' AS sample, * FROM s UNION ALL SELECT 'strict', * FROM s WHERE evt <> 'R' AND prior_n >= 40),
+tq AS (SELECT targets.*, x1, x2, concat(year(ts), 'Q', quarter(ts)) AS quarter FROM targets JOIN px USING (entity)), qs AS (SELECT DISTINCT quarter FROM tq),
+pm2 AS (SELECT qs.quarter, {centred_sql('y')} FROM qs JOIN tq ON tq.quarter < qs.quarter GROUP BY 1), pb2 AS (SELECT *, {ridge_sql('1.0')} FROM pm2),
+ev AS (SELECT t.quarter, t.evt, t.prior_n, y - {LINE_SQL} AS e FROM tq t JOIN pb2 ON pb2.quarter = t.quarter WHERE ts >= '2000-01-01' AND ts < '2001-08-02'),
+xe AS (SELECT 'all' AS sample, * FROM ev UNION ALL SELECT 'strict', * FROM ev WHERE evt <> 'R' AND prior_n >= 40)
+SELECT quarter, sample, model, count(*) AS n, round(sqrt(avg(power(y - p, 2))), 6) AS rmse FROM x GROUP BY 1, 2, 3
+UNION ALL SELECT quarter, sample, 'refit', count(*), round(sqrt(avg(e * e)), 6) FROM xe GROUP BY 1, 2""")
 def sel18(t):
+    """Errors by quarter of models fixed before the evaluation, next to a fit on all that lies before each quarter."""
     quarter = F.concat(F.year("ts").cast("string"), F.lit("Q"), F.quarter("ts").cast("string"))
     sample = names_where({"all": F.lit(True), "strict": (F.col("evt") != "R") & (F.col("prior_n") >= 40)})
     rows = t.preds.withColumn("quarter", quarter).withColumn("sample", F.explode(sample))
-    return M.score(rows, ["quarter", "sample"], "entity", "y", MODELS).select("quarter", "sample", "model", "n", F.round("rmse", 6).alias("rmse"))
-
-
-@query("sel19", f"""WITH {SCORES}, b AS (SELECT market, feature, config FROM (SELECT *, row_number() OVER (PARTITION BY market, feature ORDER BY mse, -alpha) AS rn FROM pooled) WHERE rn = 1),
-bp AS (SELECT p.* FROM fold_preds p JOIN b ON b.market = p.market AND b.feature = p.feature AND b.config = p.config),
-pairs AS (SELECT a.market, a.fold, a.feature AS meta, avg(power(a.y - 0.5 * (a.p + e.p), 2)) AS mse_fold, count(*) AS n FROM bp a JOIN bp e ON e.fold = a.fold AND e.source_row = a.source_row AND e.feature = 'emb' WHERE a.feature <> 'emb' GROUP BY 1, 2, 3),
-cand AS (SELECT market, 'augmented' AS kind, meta AS candidate, round(sum(mse_fold * n) / sum(n), 9) AS mse FROM pairs GROUP BY 1, 2, 3 HAVING count(*) = 3
-  UNION ALL SELECT p.market, 'image_only', 'emb', p.mse FROM pooled p JOIN b ON b.market = p.market AND b.feature = p.feature AND b.config = p.config WHERE p.feature = 'emb' AND folds = 3)
-SELECT market, kind, candidate, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market, kind ORDER BY mse, candidate) AS rn FROM cand) WHERE rn = 1""")
+    fixed = M.score(rows, ["quarter", "sample"], "entity", "y", MODELS).select("quarter", "sample", "model", "n", F.round("rmse", 6).alias("rmse"))
+    fits = L.fit_grid(G.before(small_grams(t, ("quarter",), t.targets.withColumn("quarter", quarter)), [], "quarter"), ["quarter"], [("ridge", 2, {"alpha": 1.0})])
+    later = t.evaluation.withColumn("quarter", quarter).withColumn("sample", F.explode(sample))
+    scored, p = L.predict(G.entity_targets(later, ["quarter", "sample"], "entity", "y").join(small(t).select("entity", "x"), "entity"), fits, ["quarter"]), F.col("p")
+    refit = scored.groupBy("quarter", "sample").agg(F.sum("n").cast("bigint").alias("n"), tidy(F.sqrt(F.sum(F.col("n") * p * p - 2 * p * F.col("sy") + F.col("syy")) / F.sum("n"))).alias("rmse"))
+    return fixed.unionByName(refit.withColumn("model", F.lit("refit")))
+
+
+IMAGES = ["emb", "signs"]
+
+
+def sign_preds(t):
+    """Fold predictions of a second image family: the signs of an embedding's first three components, shrunken as the others are."""
+    sign = lambda i: F.when(F.col("embedding")[i] >= 0, "+").otherwise("-")
+    signs = t.read("embeddings").select(F.col("vec_id").alias("entity"), F.concat(*[sign(i) for i in range(3)]).alias("signs"))
+    rows = t.fold_rows.join(signs, "entity", "left").withColumn("value", F.coalesce("signs", F.lit("?")))
+    train, valid = rows.filter("role = 'train'"), rows.filter("role = 'valid'")
+    cells = train.groupBy("fold", "market", "value").agg(F.sum("y").alias("s"), F.count(F.lit(1)).alias("n"))
+    level = cells.groupBy("fold", "market").agg((F.sum("s") / F.sum("n")).alias("m"))
+    p = lambda a: F.when(F.col("n").isNull(), F.col("m")).otherwise((F.col("s") + F.lit(a) * F.col("m")) / (F.col("n") + F.lit(a)))
+    out = valid.select("fold", "source_row", "market", "y", "value").join(level, ["fold", "market"]).join(cells, ["fold", "market", "value"], "left")
+    return out.select("fold", "source_row", "market", "y", F.lit("signs").alias("feature"), *[p(a).alias(f"p{i}") for i, a in enumerate(ALPHAS)])
+
+
+@query("sel19", f"""WITH {SCORES}, sg AS (SELECT vec_id, concat(CASE WHEN embedding[1] >= 0 THEN '+' ELSE '-' END, CASE WHEN embedding[2] >= 0 THEN '+' ELSE '-' END, CASE WHEN embedding[3] >= 0 THEN '+' ELSE '-' END) AS signs FROM embeddings),
+gx AS (SELECT r.*, coalesce(signs, '?') AS value FROM fold_rows r LEFT JOIN sg ON vec_id = r.entity),
+gc AS (SELECT fold, market, value, sum(y) AS s, count(*) AS n FROM gx WHERE role = 'train' GROUP BY 1, 2, 3),
+every AS (SELECT fold, source_row, market, y, feature, config, alpha, p FROM fold_preds UNION ALL
+  SELECT x.fold, x.source_row, x.market, x.y, 'signs', config, alpha, CASE WHEN c.n IS NULL THEN l.m ELSE (c.s + alpha * l.m) / (c.n + alpha) END FROM gx x JOIN levels l ON l.fold = x.fold AND l.market = x.market
+  LEFT JOIN gc c ON c.fold = x.fold AND c.market = x.market AND c.value = x.value CROSS JOIN (VALUES (0::BIGINT, 0::DOUBLE), (1, 1), (2, 10), (3, 100)) a(config, alpha) WHERE x.role = 'valid'),
+b AS (SELECT market, feature, config FROM (SELECT *, row_number() OVER (PARTITION BY market, feature ORDER BY mse, -alpha) AS rn FROM (SELECT market, feature, config, alpha, round(avg(power(y - p, 2)), 9) AS mse FROM every GROUP BY 1, 2, 3, 4)) WHERE rn = 1),
+bp AS (SELECT v.* FROM every v JOIN b USING (market, feature, config)),
+cand AS (SELECT a.market, 'augmented' AS kind, a.feature AS candidate, e.feature AS image, k / 10.0::DOUBLE AS weight, round(avg(power(a.y - ((1 - k / 10.0::DOUBLE) * a.p + k / 10.0::DOUBLE * e.p), 2)), 9) AS mse, count(DISTINCT a.fold) AS folds
+  FROM bp a JOIN bp e ON e.fold = a.fold AND e.source_row = a.source_row AND e.feature IN ('emb', 'signs') CROSS JOIN range(11) r(k) WHERE a.feature NOT IN ('emb', 'signs') GROUP BY ALL
+  UNION ALL SELECT market, 'image_only', feature, feature, 1.0::DOUBLE, round(avg(power(y - p, 2)), 9), count(DISTINCT fold) FROM bp WHERE feature IN ('emb', 'signs') GROUP BY ALL)
+SELECT market, kind, candidate, image, weight, round(mse, 6) AS mse FROM (SELECT *, row_number() OVER (PARTITION BY market, kind ORDER BY mse, candidate, image, weight) AS rn FROM cand WHERE folds = 3) WHERE rn = 1""")
 def sel19(t):
-    """Late pairs of every metadata family with the image family, pooled only when all folds exist."""
-    chosen = S.ordered_choices(t.pooled.withColumn("simple", -F.col("alpha")), ["market", "feature"], "mse", ["simple"]).filter("rank = 1")
-    picked = t.fold_preds.join(chosen.select("market", "feature", "config"), ["market", "feature"]).select(
-        "market", "fold", "source_row", "y", "feature", F.array(*[f"p{i}" for i in range(len(ALPHAS))])[F.col("config").cast("int")].alias("p")
-    )
-    image = picked.filter("feature = 'emb'").select("fold", "source_row", F.col("p").alias("pe"))
-    pairs = picked.filter("feature <> 'emb'").join(image, ["fold", "source_row"])
-    e = F.col("y") - 0.5 * (F.col("p") + F.col("pe"))
-    sums = pairs.groupBy("market", "fold", "feature").agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("sse"))
-    late = sums.groupBy("market", F.col("feature").alias("candidate")).agg(F.round(F.sum("sse") / F.sum("n"), 9).alias("mse"), F.count(F.lit(1)).alias("folds")).filter("folds = 3")
-    alone = chosen.filter("feature = 'emb' AND folds = 3").select("market", F.col("feature").alias("candidate"), "mse", "folds")
-    every = late.withColumn("kind", F.lit("augmented")).unionByName(alone.withColumn("kind", F.lit("image_only")))
-    return S.best(every, ["market", "kind"], [F.col("mse"), F.col("candidate")]).select("market", "kind", "candidate", F.round("mse", 6).alias("mse"))
+    """Every metadata family blended with every image family at every weight, pooled only when all folds exist.
+
+    One pass over the rows sums the products of all families' errors; every pair and weight is scored from these.
+    """
+    families = [*[f for f in FEATURES if f not in IMAGES], *IMAGES]
+    preds = t.fold_preds.drop("entity").unionByName(sign_preds(t))
+    wide = preds.groupBy("market", "feature").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"), *[F.sum((F.col("y") - F.col(f"p{i}")) ** 2).alias(f"s{i}") for i in range(len(ALPHAS))])
+    scores = wide.select("market", "feature", F.posexplode(F.array(*[F.round(F.col(f"s{i}") / F.col("n"), 9) for i in range(len(ALPHAS))])).alias("config", "mse"))
+    simple = scores.withColumn("simple", -F.array(*[F.lit(float(a)) for a in ALPHAS])[F.col("config")])
+    chosen = S.ordered_choices(simple, ["market", "feature"], "mse", ["simple"]).filter("rank = 1").select("market", "feature", "config")
+    error = F.col("y") - F.array(*[f"p{i}" for i in range(len(ALPHAS))])[F.col("config")]
+    rows = preds.join(chosen, ["market", "feature"]).groupBy("market", "fold", "source_row").agg(*[F.max(F.when(F.col("feature") == f, error)).alias(f) for f in families])
+    product = lambda a, b: F.sum(F.col(a) * F.col(b))
+    pair = lambda a, b: F.struct(F.lit(a).alias("candidate"), F.lit(b).alias("image"), product(a, a).alias("aa"), product(a, b).alias("ab"), product(b, b).alias("bb"), F.count(F.col(a) * F.col(b)).alias("n"))
+    products = rows.groupBy("market", "fold").agg(F.array(*[pair(a, b) for a in families for b in IMAGES if a not in IMAGES or a == b]).alias("pairs")).select("market", "fold", F.inline("pairs"))
+    sums = products.filter("n > 0").groupBy("market", "candidate", "image").agg(*[F.sum(c).alias(c) for c in ("n", "aa", "ab", "bb")], F.count(F.lit(1)).alias("folds")).filter("folds = 3")
+    alone = F.col("candidate") == F.col("image")
+    grid = S.blend_scores(sums, WEIGHTS, 9).filter(~alone | (F.col("weight") == 1.0)).withColumn("kind", F.when(alone, "image_only").otherwise("augmented"))
+    out = S.best(grid, ["market", "kind"], [F.col("mse"), F.col("candidate"), F.col("image"), F.col("weight")])
+    return out.select("market", "kind", "candidate", "image", "weight", F.round("mse", 6).alias("mse"))
