@@ -8,6 +8,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,13 +18,18 @@ from pyspark.sql import functions as F
 
 from .text import slices
 
-#: Buckets of the literal rank map (a prime); ids stay below 2^16, a rank sits above them in one number.
-BUCKETS, SHIFT = 16381, 16
-WIDTH, NO_MERGE = 1 << SHIFT, 1 << 40
+#: Buckets of the literal rank map (a prime).
+BUCKETS = 16381
+#: A state is one number: the id of a piece (16 bits), where it starts in its word (30), the rank of its pair with the next (16).
+SHIFT, RANK_SHIFT = 16, 46
+WIDTH, PLACED, NO_RANK = 1 << SHIFT, 1 << RANK_SHIFT, 1 << 16
+NO_MERGE = NO_RANK << RANK_SHIFT
 #: Frequent words kept ready in every task, and the documents (by hash) they are counted on. Both only save time.
 READY_WORDS, READY_DOCUMENTS = 100_000, 20_000
-#: Text of one block, whose distinct words are folded together, and new words after which it ends sooner.
-BLOCK_BYTES, BLOCK_WORDS = 32 << 20, 80_000
+#: Text of one block, whose new words are folded together, and new words after which it ends sooner.
+BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 40_000
+#: Folded words that a task remembers for its next blocks; beyond, it starts anew, which costs time only.
+TASK_WORDS = 400_000
 # The letters of ASCII and U+00C0 to U+00FF, as a class of characters.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 
@@ -64,43 +70,53 @@ class Merges:
                     buckets[key % BUCKETS]["v"].append(rank)
         # Read from constant text, so the optimizer turns it into one literal before the job starts.
         self.table = F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<bigint>,v:array<int>>>")
-        self.bytes = F.from_json(F.lit(json.dumps([ranks[bytes([b])] for b in range(256)])), "array<bigint>")
 
     def apply(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-        """``body`` of the fold of one word. The literals stand in the plan once, bound around the body."""
-        return _bind(self.table, lambda table: _bind(self.bytes, lambda first: body(lambda word: self._fold(word, table, first))))
+        """``body`` of the fold of one word's states. The literal stands in the plan once, bound around the body."""
+        return _bind(self.table, lambda table: body(lambda states: self._fold(states, table)))
 
     def _ranked(self, table: Column, left: Column, right: Column) -> Column:
-        """``left`` with the rank of the pair (left, right) above it; no such piece: ``NO_MERGE``."""
+        """The state of ``left`` (id and place) before the id ``right``: the rank of the pair above it; no such piece: ``NO_MERGE``."""
         entry = lambda key: _bind(F.get(table, (key % BUCKETS).cast("int")), lambda e: F.get(e["v"], F.array_position(e["k"], key).cast("int") - 1))
-        return F.coalesce(_bind(left * WIDTH + right, entry).cast("long") * WIDTH, F.lit(NO_MERGE)) + left
+        return F.coalesce(_bind(left % WIDTH * WIDTH + right, entry), F.lit(NO_RANK)).cast("long") * PLACED + left
 
-    def _merged(self, table: Column, state: Column, least: Column, at: Column) -> Column:
-        """State after the pair at ``at`` became one piece; only the pairs beside it get new ranks."""
-        piece, after = F.shiftright(least, SHIFT), F.get(state, at + 1)
-        before = F.when(at > 1, F.array(self._ranked(table, F.get(state, at - 2) % WIDTH, piece))).otherwise(F.array().cast("array<bigint>"))
+    def _merged(self, table: Column, states: Column, least: Column, at: Column) -> Column:
+        """States after the pair at ``at`` became one piece, at the place of its left part; only the pairs beside it get new ranks."""
+        rank, after = F.shiftright(least, RANK_SHIFT), F.get(states, at + 1)
+        before = F.when(at > 1, F.array(self._ranked(table, F.get(states, at - 2) % PLACED, rank))).otherwise(F.array().cast("array<bigint>"))
+        piece = least % PLACED - least % WIDTH + rank
         here = F.when(after.isNull(), piece + NO_MERGE).otherwise(self._ranked(table, piece, after % WIDTH))
-        return F.concat(F.slice(state, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(state, at + 2, F.size(state)))
+        return F.concat(F.slice(states, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(states, at + 2, F.size(states)))
 
-    def _fold(self, word: Column, table: Column, first: Column) -> Column:
-        """Ids of a word: from its bytes, the adjacent pair of least rank merges (leftmost first) until none can.
+    def _fold(self, states: Column, table: Column) -> Column:
+        """Ids of a word: from its bytes, the adjacent pair of least rank merges (leftmost first) until none can."""
+        step = lambda s, _: _bind(F.array_min(s), lambda m: F.when(m >= NO_MERGE, s).otherwise(_bind(F.array_position(s, m).cast("int"), lambda i: self._merged(table, s, m, i))))
+        return F.aggregate(F.sequence(F.lit(1), F.size(states)), states, step, lambda s: F.transform(s, lambda x: (x % WIDTH).cast("int")))
 
-        The state is one array: each element is a piece's id below the rank of its pair with the next.
-        """
-        digits = F.hex(word.cast("binary"))
-        size = F.octet_length(word)
-        start = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.get(first, F.conv(F.substring(digits, i * 2 + 1, F.lit(2)), 16, 10).cast("int")))
 
-        def run(ids: Column) -> Column:
-            n = F.size(ids)
-            ranked = F.transform(ids, lambda a, i: F.when(i < n - 1, self._ranked(table, a, F.get(ids, i + 1))).otherwise(a + NO_MERGE))
-            step = lambda s, _: _bind(F.array_min(s), lambda m: F.when(m >= NO_MERGE, s).otherwise(_bind(F.array_position(s, m).cast("int"), lambda i: self._merged(table, s, m, i))))
-            return F.aggregate(F.sequence(F.lit(1), n), ranked, step, lambda s: F.transform(s, lambda x: (x % WIDTH).cast("int")))
+def byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
+    """For bytes a and b at [a, b]: the id of a and the rank of the pair as a state at place 0; [a, 256]: no next byte."""
+    table = np.empty((256, 257), dtype=np.int64)
+    for a in range(256):
+        table[a, :256] = [ranks.get(bytes((a, b)), NO_RANK) for b in range(256)]
+        table[a, 256] = NO_RANK
+        table[a] = (table[a] << RANK_SHIFT) + ranks[bytes([a])]
+    return table
 
-        return _bind(start, run)
 
+def first_states(words: list[str], pairs: np.ndarray) -> pa.ListArray:
+    """The byte arrays of words (none empty) as the states a fold starts from."""
+    data = [w.encode() for w in words]
+    ends = np.cumsum(np.fromiter(map(len, data), dtype=np.int64, count=len(data)))
+    flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.intp)
+    after = np.append(flat[1:], 256)[: len(flat)]
+    after[ends - 1] = 256
+    starts = np.concatenate(([0], ends[:-1]))[: len(data)]
+    place = np.arange(len(flat), dtype=np.int64) - np.repeat(starts, ends - starts)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(pairs[flat, after] + (place << SHIFT)))
 
-def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, words: int, sample: int) -> tuple[list[str], list[bytes]]:
+
+def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, pairs: np.ndarray, words: int, sample: int) -> tuple[list[str], list[bytes]]:
     """Frequent words of a hash sample and their ids as bytes, folded by Spark."""
     rows = documents.select(F.col(text).alias("text"))
     share = min(1.0, sample / max(1, rows.count()))
@@ -116,7 +132,13 @@ def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, words:
 
     counted = rows.where(draw < share).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(48)
-    found = top.select("word", merges.apply(lambda fold: fold(F.col("word"))).alias("ids")).toArrow().combine_chunks()
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("word"), first_states(batch.column("word").to_pylist(), pairs)], names=["word", "states"])
+
+    started = top.mapInArrow(states, "word string, states array<long>")
+    found = started.select("word", merges.apply(lambda fold: fold(F.col("states"))).alias("ids")).toArrow().combine_chunks()
     return found.column("word").to_pylist(), [x for chunk in found.column("ids").chunks for x in _rows_of(chunk)]
 
 
@@ -136,15 +158,15 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
 
     With ``digests``: doc_id, n_tokens, and the SHA-256 of both as hex instead. Every match of
     ``pattern`` is encoded by itself, as ranked byte pairs merge. A task splits a block of texts into
-    words; words that are pieces, or among the frequent ones, have their ids at hand, all other
-    distinct words of the block are folded by Spark; then each text's ids are put together. Nothing is
-    shuffled, so no word or text is hot. Null and empty texts give no ids; repeated rows stay; an empty
+    words; words that are pieces, among the frequent ones, or met before in the task have their ids at
+    hand, all other distinct words of the block are folded by Spark; then each text's ids are put together.
+    Nothing is shuffled, so no word or text is hot. Null and empty texts give no ids; repeated rows stay; an empty
     table gives an empty result; extra columns are not read. Folding is quadratic in the length of one
     word (one match of the pattern).
     """
-    spark, merges = documents.sparkSession, Merges(ranks)
+    spark, merges, pairs = documents.sparkSession, Merges(ranks), byte_pairs(ranks)
     ready = {t: r.to_bytes(4, "little") for p, r in ranks.items() if (t := p.decode("utf-8", "ignore")).encode() == p}
-    for word, ids in zip(*_ready(documents, text, pattern, merges, ready_words, ready_documents)):
+    for word, ids in zip(*_ready(documents, text, pattern, merges, pairs, ready_words, ready_documents)):
         ready.setdefault(word, ids)
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
@@ -156,27 +178,35 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, known = _finder(pattern), {w: i for i, w in enumerate(shared.value[0])}
 
-        def block(codes: _Codes, rows: list) -> pa.RecordBatch:
-            words = list(codes)[len(known) :]
-            return pa.RecordBatch.from_arrays([pa.array([words], pa.list_(pa.string())), pa.array([rows], pa.list_(document))], names=["words", "documents"])
+        def block(codes: _Codes, told: int, rows: list) -> pa.RecordBatch:
+            states = first_states(list(islice(codes, told, None)), pairs)
+            lists = pa.ListArray.from_arrays(pa.array([0, len(states)], pa.int32()), states)
+            return pa.RecordBatch.from_arrays([pa.array([told == len(known)]), lists, pa.array([rows], pa.list_(document))], names=["anew", "words", "documents"])
 
         codes, rows, size = _Codes(known), [], 0
+        told = len(known)
         for batch in slices(batches):
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 words = find(t or "")
                 rows.append({"doc_id": i, "codes": np.fromiter(map(codes.__getitem__, words), dtype=np.uint32, count=len(words)).tobytes()})
                 size += len(t or "")
-                if size >= BLOCK_BYTES or len(codes) - len(known) >= BLOCK_WORDS:
-                    yield block(codes, rows)
-                    codes, rows, size = _Codes(known), [], 0
+                if size >= BLOCK_BYTES or len(codes) - told >= BLOCK_WORDS:
+                    yield block(codes, told, rows)
+                    rows, size, told = [], 0, len(codes)
+                    if told - len(known) >= TASK_WORDS:
+                        codes, told = _Codes(known), len(known)
         if rows:
-            yield block(codes, rows)
+            yield block(codes, told, rows)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, known, pieces = shared.value
+        table = list(known)
         for batch in batches:
             for at in range(len(batch)):
-                table = known + _rows_of(batch.column("ids")[at].values)
+                # The blocks of a task come in order, and a block's words have the codes after those of the blocks before it.
+                if batch.column("anew")[at].as_py():
+                    del table[len(known) :]
+                table += _rows_of(batch.column("ids")[at].values)
                 rows = batch.column("documents")[at].as_py()
                 for first in range(0, len(rows), 2000):
                     part = rows[first : first + 2000]
@@ -191,8 +221,8 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
                         yield pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "text_bytes"])
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = rows.mapInArrow(split, "words array<string>, documents array<struct<doc_id:long,codes:binary>>")
-    folded = blocks.select(merges.apply(lambda fold: F.transform("words", fold)).alias("ids"), "documents")
+    blocks = rows.mapInArrow(split, "anew boolean, words array<array<long>>, documents array<struct<doc_id:long,codes:binary>>")
+    folded = blocks.select("anew", merges.apply(lambda fold: F.transform("words", fold)).alias("ids"), "documents")
     return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else RESULT)
 
 
