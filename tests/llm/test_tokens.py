@@ -46,6 +46,20 @@ def test_blocks_and_empty_table(spark, awkward, nothing, monkeypatch):
     assert byte_bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_tasks_start_anew_and_ties_go_left(spark, monkeypatch):
+    """Blocks of few words, words forgotten between them, and pairs of one rank that overlap ("ab" "a" "ba")."""
+    monkeypatch.setattr(byte_bpe, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(byte_bpe, "TASK_WORDS", 12)
+    ranks = {bytes([b]): b for b in range(256)} | {p.encode(): 256 + i for i, p in enumerate(["ab", "ba", "aba", "bb", "aab", "abab", "bab"])}
+    plain = tiktoken.Encoding("small", pat_str=r"[ab]+|[^ab]", mergeable_ranks=ranks, special_tokens={})
+    draw = random.Random(5)
+    texts = [" ".join("".join(draw.choices("ab", k=draw.randint(1, 14))) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for ready in (0, 30):
+        got = byte_bpe.encode(docs, ranks, r"[ab]+|[^ab]", ready_words=ready).collect()
+        assert {r["doc_id"]: np.frombuffer(bytes(r["ids"]), dtype="<u4").tolist() for r in got} == {i: plain.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_spark_decodes(spark):
     tokens = spark.createDataFrame([(PLAIN.encode_ordinary("café \U0001f600 ok"),), ([],), (None,)], "ids array<int>")
     got = [r["text_bytes"] for r in byte_bpe.decode(tokens, RANKS).collect()]

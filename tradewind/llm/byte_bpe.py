@@ -12,6 +12,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +26,9 @@ SHIFT, RANK_SHIFT = 16, 46
 WIDTH, PLACED, NO_RANK = 1 << SHIFT, 1 << RANK_SHIFT, 1 << 16
 NO_MERGE = NO_RANK << RANK_SHIFT
 #: Frequent words kept ready in every task, and the documents (by hash) they are counted on. Both only save time.
-READY_WORDS, READY_DOCUMENTS = 100_000, 20_000
+READY_WORDS, READY_DOCUMENTS = 200_000, 20_000
+#: Words of the sample that a task counts before it passes its counts on.
+COUNTED_WORDS = 300_000
 #: Text of one block, whose new words are folded together, and new words after which it ends sooner.
 BLOCK_BYTES, BLOCK_WORDS = 16 << 20, 40_000
 #: Folded words that a task remembers for its next blocks; beyond, it starts anew, which costs time only.
@@ -75,23 +78,24 @@ class Merges:
         """``body`` of the fold of one word's states. The literal stands in the plan once, bound around the body."""
         return _bind(self.table, lambda table: body(lambda states: self._fold(states, table)))
 
-    def _ranked(self, table: Column, left: Column, right: Column) -> Column:
-        """The state of ``left`` (id and place) before the id ``right``: the rank of the pair above it; no such piece: ``NO_MERGE``."""
+    def _ranked(self, table: Column, state: Column, left: Column, right: Column) -> Column:
+        """``state`` (place and id ``left``) before the id ``right``: the rank of the pair above it; no such piece: ``NO_MERGE``."""
         entry = lambda key: _bind(F.get(table, (key % BUCKETS).cast("int")), lambda e: F.get(e["v"], F.array_position(e["k"], key).cast("int") - 1))
-        return F.coalesce(_bind(left % WIDTH * WIDTH + right, entry), F.lit(NO_RANK)).cast("long") * PLACED + left
+        return F.coalesce(_bind(left * WIDTH + right, entry), F.lit(NO_RANK)).cast("long") * PLACED + state
 
     def _merged(self, table: Column, states: Column, least: Column, at: Column) -> Column:
         """States after the pair at ``at`` became one piece, at the place of its left part; only the pairs beside it get new ranks."""
         rank, after = F.shiftright(least, RANK_SHIFT), F.get(states, at + 1)
-        before = F.when(at > 1, F.array(self._ranked(table, F.get(states, at - 2) % PLACED, rank))).otherwise(F.array().cast("array<bigint>"))
+        previous = F.get(states, at - 2)
+        before = F.when(at > 1, F.array(self._ranked(table, previous % PLACED, previous % WIDTH, rank))).otherwise(F.array().cast("array<bigint>"))
         piece = least % PLACED - least % WIDTH + rank
-        here = F.when(after.isNull(), piece + NO_MERGE).otherwise(self._ranked(table, piece, after % WIDTH))
+        here = F.when(after.isNull(), piece + NO_MERGE).otherwise(self._ranked(table, piece, rank, after % WIDTH))
         return F.concat(F.slice(states, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(states, at + 2, F.size(states)))
 
     def _fold(self, states: Column, table: Column) -> Column:
         """Ids of a word: from its bytes, the adjacent pair of least rank merges (leftmost first) until none can."""
         step = lambda s, _: _bind(F.array_min(s), lambda m: F.when(m >= NO_MERGE, s).otherwise(_bind(F.array_position(s, m).cast("int"), lambda i: self._merged(table, s, m, i))))
-        return F.aggregate(F.sequence(F.lit(1), F.size(states)), states, step, lambda s: F.transform(s, lambda x: (x % WIDTH).cast("int")))
+        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(states) - 1, F.lit(1))), states, step, lambda s: F.transform(s, lambda x: (x % WIDTH).cast("int")))
 
 
 def byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
@@ -116,19 +120,27 @@ def first_states(words: list[str], pairs: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(pairs[flat, after] + (place << SHIFT)))
 
 
-def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, pairs: np.ndarray, words: int, sample: int) -> tuple[list[str], list[bytes]]:
-    """Frequent words of a hash sample and their ids as bytes, folded by Spark."""
+def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, pairs: np.ndarray, words: int, sample: int) -> pa.Table:
+    """Frequent words of a hash sample and their ids, folded by Spark: word, ids."""
     rows = documents.select(F.col(text).alias("text"))
     share = min(1.0, sample / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(F.lit("ready"), "text"), F.lit(1 << 30)) / float(1 << 30)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = _finder(pattern)
-        for batch in slices(batches):
-            seen = Counter(w for t in batch.column("text").to_pylist() for w in find(t or ""))
+        find, seen = _finder(pattern), Counter()
+
+        def often() -> pa.RecordBatch:
             # A word seen once in a piece of text is hardly frequent; leaving it out only costs time.
-            often = {w: n for w, n in seen.items() if n > 1}
-            yield pa.RecordBatch.from_arrays([pa.array(often.keys(), pa.string()), pa.array(often.values(), pa.int64())], names=["word", "n"])
+            kept = {w: n for w, n in seen.items() if n > 1}
+            return pa.RecordBatch.from_arrays([pa.array(kept.keys(), pa.string()), pa.array(kept.values(), pa.int64())], names=["word", "n"])
+
+        for batch in slices(batches):
+            for t in batch.column("text").to_pylist():
+                seen.update(find(t or ""))
+            if len(seen) >= COUNTED_WORDS:
+                yield often()
+                seen.clear()
+        yield often()
 
     counted = rows.where(draw < share).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(48)
@@ -138,8 +150,7 @@ def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, pairs:
             yield pa.RecordBatch.from_arrays([batch.column("word"), first_states(batch.column("word").to_pylist(), pairs)], names=["word", "states"])
 
     started = top.mapInArrow(states, "word string, states array<long>")
-    found = started.select("word", merges.apply(lambda fold: fold(F.col("states"))).alias("ids")).toArrow().combine_chunks()
-    return found.column("word").to_pylist(), [x for chunk in found.column("ids").chunks for x in _rows_of(chunk)]
+    return started.select("word", merges.apply(lambda fold: fold(F.col("states"))).alias("ids")).toArrow()
 
 
 class _Codes(dict):
@@ -165,18 +176,22 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
     word (one match of the pattern).
     """
     spark, merges, pairs = documents.sparkSession, Merges(ranks), byte_pairs(ranks)
-    ready = {t: r.to_bytes(4, "little") for p, r in ranks.items() if (t := p.decode("utf-8", "ignore")).encode() == p}
-    for word, ids in zip(*_ready(documents, text, pattern, merges, pairs, ready_words, ready_documents)):
-        ready.setdefault(word, ids)
+    whole = {t: r for p, r in ranks.items() if (t := p.decode("utf-8", "ignore")).encode() == p}
+    own = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1), pa.int32()), pa.array(whole.values(), pa.int32()))
+    ready = pa.table({"word": pa.array(whole.keys(), pa.string()), "ids": own})
+    # A word that is a piece has that id, whatever its bytes would merge into.
+    found = _ready(documents, text, pattern, merges, pairs, ready_words, ready_documents).cast(ready.schema)
+    ready = pa.concat_tables([ready, found.filter(pc.invert(pc.is_in(found.column("word"), value_set=ready.column("word").combine_chunks())))])
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
-    shared = spark.sparkContext.broadcast((list(ready), list(ready.values()), pieces))
-    del ready
+    # Arrow arrays, so that neither the driver nor a worker holds more objects than it looks up.
+    shared = spark.sparkContext.broadcast((*(c.combine_chunks() for c in ready.columns), pa.array(pieces, pa.binary())))
+    del ready, found, whole
     document = pa.struct([("doc_id", pa.int64()), ("codes", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = _finder(pattern), {w: i for i, w in enumerate(shared.value[0])}
+        find, known = _finder(pattern), {w: i for i, w in enumerate(shared.value[0].to_pylist())}
 
         def block(codes: _Codes, told: int, rows: list) -> pa.RecordBatch:
             states = first_states(list(islice(codes, told, None)), pairs)
@@ -199,13 +214,13 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
             yield block(codes, told, rows)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, known, pieces = shared.value
-        table = list(known)
+        table, pieces = _rows_of(shared.value[1]), shared.value[2].to_pylist()
+        known = len(table)
         for batch in batches:
             for at in range(len(batch)):
                 # The blocks of a task come in order, and a block's words have the codes after those of the blocks before it.
                 if batch.column("anew")[at].as_py():
-                    del table[len(known) :]
+                    del table[known:]
                 table += _rows_of(batch.column("ids")[at].values)
                 rows = batch.column("documents")[at].as_py()
                 for first in range(0, len(rows), 2000):
