@@ -8,6 +8,8 @@ of earlier shards, so a market holding a third of all trades still spreads over
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections import Counter
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -129,6 +131,43 @@ def past_only_stat(
     return framed.groupBy(market, us).agg(F.first(name).alias(name))
 
 
+def sliding_medians(values: Sequence[float], first: Sequence[int], last: Sequence[int]) -> np.ndarray:
+    """Median of ``values[first[k]:last[k]]`` for every k (NaN where empty); both ends never fall as k rises.
+
+    NaN counts as the greatest value. Each value enters and leaves one sorted list once.
+    """
+    held: list[float] = []
+    lo = hi = 0
+    medians = np.full(len(first), np.nan)
+    for k, (a, b) in enumerate(zip(first, last)):
+        for v in values[hi:b]:
+            if v == v:
+                insort(held, v)
+        for v in values[lo:a]:
+            if v == v:
+                del held[bisect_left(held, v)]
+        lo, hi, n = a, b, b - a
+        if n and n // 2 < len(held):
+            medians[k] = (held[(n - 1) // 2] + held[n // 2]) / 2
+    return medians
+
+
+def sliding_distinct(values: Sequence, first: Sequence[int], last: Sequence[int]) -> np.ndarray:
+    """Number of distinct ``values[first[k]:last[k]]`` for every k, under the same terms."""
+    held: Counter = Counter()
+    lo = hi = 0
+    distinct = np.zeros(len(first), dtype=np.int64)
+    for k, (a, b) in enumerate(zip(first, last)):
+        held.update(values[hi:b])
+        for v in values[lo:a]:
+            held[v] -= 1
+            if not held[v]:
+                del held[v]
+        lo, hi = a, b
+        distinct[k] = len(held)
+    return distinct
+
+
 def past_only_median_sorted(
     df: DataFrame, market: str, us: str, value: str, window: int = 20 * DAY_US, name: str = "baseline", shard: int | None = None
 ) -> DataFrame:
@@ -140,28 +179,20 @@ def past_only_median_sorted(
     shard = shard or 3 * window
     types = dict(df.dtypes)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(us)
-        at, values = pdf[us].to_numpy(), pdf[value].to_numpy(dtype=float)
-        moments = np.unique(at[pdf["_core"].to_numpy()])
+        moments = np.unique(pdf[us].to_numpy()[pdf["_core"].to_numpy()])
+        # A null value has a moment but no place in a window; NaN has one, as the greatest.
+        pdf = pdf[pdf["_known"]]
+        at = pdf[us].to_numpy()
         first, last = np.searchsorted(at, moments - window), np.searchsorted(at, moments)
-        held: list[float] = []
-        lo = hi = 0
-        medians = np.full(len(moments), np.nan)
-        for k, (a, b) in enumerate(zip(first, last)):
-            for v in values[hi:b]:
-                insort(held, v)
-            for v in values[lo:a]:
-                del held[bisect_left(held, v)]
-            lo, hi, n = a, b, b - a
-            if n:
-                medians[k] = (held[(n - 1) // 2] + held[n // 2]) / 2
-        out = pd.DataFrame({market: pdf[market].iloc[0], us: moments, name: medians})
-        return out[[market, us, name]]
-
-    slices = halo_shards(df.select(market, us, value), us, window, shard).groupBy(market, "_shard")
-    out = slices.applyInPandas(run, f"{market} {types[market]}, {us} bigint, {name} double")
-    return out.withColumn(name, F.nullif(F.col(name), F.lit(float("nan"))))
+        medians = sliding_medians(pdf[value].astype(float).tolist(), first.tolist(), last.tolist())
+        return pd.DataFrame({market: key[0], us: moments, name: medians, "_n": last - first})
+
+    rows = df.select(market, us, value, F.col(value).isNotNull().alias("_known"))
+    slices = halo_shards(rows, us, window, shard).groupBy(market, "_shard")
+    out = slices.applyInPandas(run, f"{market} {types[market]}, {us} bigint, {name} double, _n bigint")
+    return out.withColumn(name, F.when(F.col("_n") > 0, F.coalesce(name, F.lit(float("nan"))))).drop("_n")
 
 
 def past_only_median_by_count(
