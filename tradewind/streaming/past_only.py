@@ -9,8 +9,6 @@ market's history is spread over shards; a timer at a shard's end clears all its
 
 from __future__ import annotations
 
-from bisect import bisect_left
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StructField, StructType
 
-from ..operators.temporal import halo_shards
+from ..operators.temporal import halo_shards, sliding_distinct, sliding_medians
 
 OUTPUT = "id bigint, market string, us bigint, prior_n bigint, prior_entities bigint, median double"
 _ROW = StructType([
@@ -65,14 +63,13 @@ class PastOnlyProcessor(StatefulProcessor):
             return iter([])
         past = list(self.history.get()) if self.history.exists() else []
         known = past + done
-        times = [r[0] for r in known]
-        out = []
-        for at in sorted({r[0] for r in done}):
-            lo, hi = bisect_left(times, at - self.window), bisect_left(times, at)
-            seen = known[lo:hi]
-            median = float(np.median([r[3] for r in seen])) if seen else None
-            row = (at, len(seen), len({r[2] for r in seen}), median)
-            out += [(r[1], key[0], *row) for r in done[bisect_left([d[0] for d in done], at):] if r[0] == at and r[4]]
+        times = np.array([r[0] for r in known])
+        moments = np.unique(times[len(past):])
+        first, last = np.searchsorted(times, moments - self.window), np.searchsorted(times, moments)
+        spans = first.tolist(), last.tolist()
+        medians, entities = sliding_medians([r[3] for r in known], *spans), sliding_distinct([r[2] for r in known], *spans)
+        at = {int(us): (int(b - a), int(k), float(m) if b > a else None) for us, a, b, m, k in zip(moments, first, last, medians, entities)}
+        out = [(r[1], key[0], r[0], *at[r[0]]) for r in done if r[4]]
         keep = [r for r in known if r[0] >= done[-1][0] - self.window]
         if limit >= self._end(key):
             self.history.clear()
