@@ -128,3 +128,9 @@ def test_bootstrap_equals_slot_rows_in_any_blocks(spark, rows):
             for c in ("rmse_a", "rmse_b", "entity_rmse_a", "entity_rmse_b"):
                 assert (r[c] is None and got[k][c] is None) or abs(r[c] - got[k][c]) < 1e-12
     assert B.bootstrap(stats.limit(0), ["half"], ["a"], 3, 5).count() == 0
+
+
+def test_bootstrap_hands_no_arrow_batch_of_blocks_to_a_worker(spark, rows):
+    stats = B.cluster_stats(rows, [], "entity", "y", ["a", "b"])
+    plan = B.bootstrap(stats, [], ["a", "b"], 7, 5, block_clusters=4)._jdf.queryExecution().optimizedPlan().toString()
+    assert "InPandas" not in plan and "InArrow" not in plan

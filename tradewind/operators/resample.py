@@ -40,7 +40,7 @@ def cluster_stats(df: DataFrame, by: list[str], cluster: str, y: str, models: li
 
 
 #: Clusters in one block of sums (a few MB); slots a task makes; draws it makes at least, as its block must travel once a task.
-BLOCK_CLUSTERS, TASK_SLOTS, TASK_DRAWS = 1 << 18, 1 << 21, 16
+BLOCK_CLUSTERS, TASK_SLOTS, TASK_DRAWS = 1 << 18, 1 << 21, 64
 
 
 def picks(g: int, draw: int, seed: int, quads: list[bytes]) -> np.ndarray:
@@ -70,26 +70,19 @@ def bootstrap(stats: DataFrame, by: list[str], models: list[str], n_draws: int,
     partial = [f"{x}_{m}" for m in models for x in ("_s", "_e", "_k")]
     result = T.StructType([*key, T.StructField("draw", T.LongType()), T.StructField("_n", T.DoubleType()), *[T.StructField(c, T.DoubleType()) for c in partial]])
 
-    def draws(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                g, first = int(row.g), int(row.first)
-                table = np.frombuffer(row.packed, dtype=np.float64).reshape(-1, 1 + len(models))
-                n, sse = table[:, :1], table[:, 1:]
-                known = ~np.isnan(sse)
-                each = np.stack((np.where(known, sse, 0), np.where(known, sse / n, 0), known.astype(np.float64)), axis=2)
-                wide = np.concatenate((n, each.reshape(len(table), -1)), axis=1)
-                quads = [b"%d" % q for q in range(-(-g // 4))]
-                found = []
-                for draw in range(int(row.low), int(row.high)):
-                    at = picks(g, draw, seed, quads) - first
-                    times = np.bincount(at[(at >= 0) & (at < len(table))], minlength=len(table))
-                    found.append(times @ wide)
-                out = pd.DataFrame(np.array(found), columns=["_n", *partial])
-                out.insert(0, "draw", np.arange(int(row.low), int(row.high)))
-                for i, c in enumerate(by):
-                    out.insert(i, c, [getattr(row, c)] * len(out))
-                yield out
+    def draws(rows: Iterator) -> Iterator[tuple]:
+        for row in rows:
+            g, first = row["g"], row["first"]
+            table = np.frombuffer(row["packed"], dtype=np.float64).reshape(-1, 1 + len(models))
+            n, sse = table[:, :1], table[:, 1:]
+            known = ~np.isnan(sse)
+            each = np.stack((np.where(known, sse, 0), np.where(known, sse / n, 0), known.astype(np.float64)), axis=2)
+            wide = np.concatenate((n, each.reshape(len(table), -1)), axis=1)
+            quads = [b"%d" % q for q in range(-(-g // 4))]
+            for draw in range(row["low"], row["high"]):
+                at = picks(g, draw, seed, quads) - first
+                times = np.bincount(at[(at >= 0) & (at < len(table))], minlength=len(table))
+                yield (*[row[c] for c in by], draw, *(times @ wide).tolist())
 
     grouped = stats.select(*by, "idx", "g", "n", *sums).groupBy(*by, F.expr(f"idx div {block_clusters}").alias("_block"))
     blocks = written(grouped.applyInPandas(pack, block), "sum_blocks")
@@ -98,7 +91,8 @@ def bootstrap(stats: DataFrame, by: list[str], models: list[str], n_draws: int,
     tasks = blocks.select("*", a_task.alias("_a"), starts).withColumn("high", F.least(F.col("low") + F.col("_a"), F.lit(n_draws))).drop("_a")
     # Rows are few and each is seconds of work, so they are dealt over more partitions than there are cores.
     width = max(int(stats.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * stats.sparkSession.sparkContext.defaultParallelism)
-    parts = tasks.repartition(width, *by, "first", "low").mapInPandas(draws, result)
+    # As plain rows, each is a batch of its own; an Arrow batch would hold all blocks of a partition at once.
+    parts = stats.sparkSession.createDataFrame(tasks.repartition(width, *by, "first", "low").rdd.mapPartitions(draws), result, verifySchema=False)
     added = parts.groupBy(*by, "draw").agg(*[F.sum(c).alias(c) for c in ("_n", *partial)])
     root = lambda top, under: F.when(F.col(under) > 0, F.sqrt(F.col(top) / F.col(under)))
     some = lambda m, c: F.when(F.col(f"_k_{m}") > 0, c)
