@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import DAY_US
+from ..session import written
 
 
 def halo_shards(df: DataFrame, us: str, back: int, shard: int, ahead: bool = False) -> DataFrame:
@@ -93,7 +94,8 @@ def past_only_support(
     ).groupBy(market, F.col("e.pos").alias("pos")).agg(
         F.sum("e.dn").alias("dn"), F.sum("e.de").alias("de"), F.max("e.seen").alias("seen")
     )
-    run = strictly_before(events, [market], "pos", ["dn", "de"], ["seen"], shard)
+    # Read twice below; written, they are computed once.
+    run = strictly_before(written(events, "support_events"), [market], "pos", ["dn", "de"], ["seen"], shard)
     return run.filter(F.col("seen").isNotNull()).select(
         market,
         F.col("pos").alias(us),
