@@ -102,3 +102,14 @@ def test_amount_rule_exempts_missing_prices_and_other_currencies(spark):
     df = spark.createDataFrame(rows, "id int, price double, amount_raw double, qty double, symbol string, contract string, want boolean").withColumn("entity_text", F.lit("1"))
     got = df.select("id", "want", dict(rule_conditions())["amount_mismatch"].alias("flag")).collect()
     assert all(r["flag"] == r["want"] for r in got), got
+
+
+def test_ledger_carries_flags_through_its_joins_not_addresses(spark):
+    from tradewind.plans.cleaning import clean_ledger
+    from tradewind.sources.tables import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    plan = clean_ledger(t).select("line_no", "step", "base_clean")._jdf.queryExecution().optimizedPlan().toString()
+    top = plan[: plan.index("Join LeftOuter")]
+    wide = plan[plan.index("Join LeftOuter") :].split("\n")[1]
+    assert "_address" not in top and "_bad_party" in wide
