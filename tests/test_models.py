@@ -221,3 +221,28 @@ def test_shared_boosting_equals_plain_trees(spark):
     one = T.boost(rows, "entity", "x", "n", "s", configs, trees=1).collect()
     assert len({round(r["p"][2], 12) for r in one}) == 6
     assert T.boost(rows.limit(0), "entity", "x", "n", "s", configs).count() == 0
+
+
+def test_histograms_read_only_cells_beside_the_usual_bin():
+    from tradewind.operators import trees as T
+
+    rng = np.random.default_rng(3)
+    hot = np.eye(40)[rng.integers(0, 40, 500)]
+    bins = np.column_stack([hot, rng.integers(0, 5, 500)]).astype(np.uint8)
+    width = np.array([2] * 40 + [5])
+    first, total = np.concatenate(([0], np.cumsum(width)[:-1])), int(width.sum())
+    n, s, p = rng.integers(0, 4, (500, 2)).astype(float), rng.normal(size=(500, 2)), rng.normal(size=(500, 3))
+    usual, fit = np.array([0] * 40 + [2], dtype=np.uint8), np.array([0, 1, 1])
+    block = T._block((bins, n, s, p), usual, first)
+    assert len(block.row) == 500 + (bins[:, 40] != 2).sum()
+    tree = T._Trees(3, 5)
+    tree.feature[:, 0], tree.cut[:, 0], tree.left[:, 0], tree.right[:, 0], tree.depth = 40, 1, 1, 2, 1
+    slot, begin = np.full((3, 5), -1), np.array([0, 2, 2, 3])
+    slot[0, 1], slot[0, 2], slot[2, 2] = 0, 1, 0
+    got = T._completed(next(T._histogram(iter([block]), tree, slot, begin, fit, total)), first, usual)
+    for i, (m, low) in enumerate([(0, True), (0, False), (2, False)]):
+        on = ((bins[:, 40] <= 1) == low) & (n[:, fit[m]] > 0)
+        weights = n[:, fit[m]] * p[:, m] - s[:, fit[m]], n[:, fit[m]]
+        for k, w in enumerate(weights):
+            want = np.bincount((bins + first)[on].ravel(), weights=np.repeat(w[on], 41), minlength=total)
+            assert np.allclose(got[i, :, k], want, atol=1e-9)

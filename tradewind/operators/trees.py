@@ -4,13 +4,14 @@ Features are cut into bins once. Every pass over the rows returns one sum of (mo
 gradients and counts for all models at once, where a model is a (fit, configuration) pair; the driver sees
 only these sums, whose size does not depend on the number of rows. The squared loss lets an entity stand for
 all its trades by its count and target sum. Leaves grow best gain first; the left child of a split is
-counted, the right one is its parent's remainder.
+counted, the right one is its parent's remainder. Of each feature only the bins beside its most frequent one
+are counted; that one is the leaf's remainder, so a one-hot feature costs its ones only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Trees after which the rows' predictions are kept anew; partitions whose sums the driver adds without a tree of adders.
-KEEP_EVERY, FLAT_REDUCE = 10, 64
+#: Trees after which the kept predictions are made from the written rows; partitions whose sums the driver adds without a tree of adders.
+REBUILD_EVERY, FLAT_REDUCE = 25, 64
 
 
 @dataclass(frozen=True)
@@ -75,17 +76,36 @@ class _Trees:
         self.right, self.value, self.depth = self.left.copy(), np.zeros((models, nodes)), 0
 
     def leaf(self, bins: np.ndarray) -> np.ndarray:
-        """Node of every row in every model."""
-        models = np.arange(len(self.feature))
-        node = np.zeros((len(bins), len(models)), dtype=np.int32)
-        rows = np.arange(len(bins))[:, None]
+        """Place of every row's node, counted through the nodes of all models (row, model)."""
+        models, nodes = self.feature.shape
+        base, rows = np.arange(models) * nodes, (np.arange(len(bins)) * bins.shape[1])[:, None]
+        flat, feature, cut = bins.ravel(), self.feature.ravel(), self.cut.ravel()
+        child = np.stack((self.right + base[:, None], self.left + base[:, None]), axis=-1).ravel()
+        at = np.tile(base, (len(bins), 1))
         for _ in range(self.depth):
-            goes = bins[rows, self.feature[models, node]] <= self.cut[models, node]
-            node = np.where(goes, self.left[models, node], self.right[models, node])
-        return node
+            goes = flat.take(feature.take(at) + rows) <= cut.take(at)
+            at = child.take(2 * at + goes)
+        return at
 
     def add_to(self, p: np.ndarray, bins: np.ndarray) -> None:
-        p += self.value[np.arange(len(self.feature)), self.leaf(bins)]
+        p += self.value.ravel().take(self.leaf(bins))
+
+
+@dataclass(frozen=True)
+class _Block:
+    """Rows of one packed batch; (``row``, ``place``) are the cells beside each feature's usual bin, places counted through all bins."""
+
+    bins: np.ndarray
+    n: np.ndarray
+    s: np.ndarray
+    p: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+
+    def after(self, tree: _Trees) -> _Block:
+        p = self.p.copy()
+        tree.add_to(p, self.bins)
+        return replace(self, p=p)
 
 
 def _unpacked(row, fits: int, start: np.ndarray, trees: list[_Trees]) -> tuple:
@@ -97,26 +117,47 @@ def _unpacked(row, fits: int, start: np.ndarray, trees: list[_Trees]) -> tuple:
     return bins, n, np.frombuffer(row["s"]).reshape(-1, fits), p
 
 
-def _histogram(blocks: Iterator[tuple], tree: _Trees, pending: list[_Trees], slot: np.ndarray, slots: int, fit: np.ndarray, first: np.ndarray, total: int) -> Iterator[np.ndarray]:
-    """Sums of gradient and count by (slot, bin of feature); ``slot`` numbers the wanted nodes of each model."""
-    out = np.zeros((slots * total, 2))
-    for bins, n, s, p in blocks:
-        p = p.copy()
-        for done in pending:
-            done.add_to(p, bins)
-        node, place = tree.leaf(bins), bins + first
-        for m in range(len(fit)):
-            at = slot[m, node[:, m]]
-            on = np.flatnonzero((at >= 0) & (n[:, fit[m]] > 0))
-            if len(on):
-                cell = (at[on][:, None] * total + place[on]).ravel()
-                count = n[on, fit[m]]
-                gradient = count * p[on, m] - s[on, fit[m]]
-                for k, weight in enumerate((gradient, count)):
-                    out[:, k] += np.bincount(cell, weights=np.repeat(weight, place.shape[1]), minlength=len(out))
+def _block(unpacked: tuple, usual: np.ndarray, first: np.ndarray) -> _Block:
+    row, feature = np.nonzero(unpacked[0] != usual)
+    return _Block(*unpacked, row, unpacked[0][row, feature] + first[feature])
+
+
+def _totals(row, fits: int, first: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Target sums and counts of every fit, and rows in every bin."""
+    bins, n, s, _ = _unpacked(row, fits, np.zeros(1), [])
+    return s.sum(0), n.sum(0), np.bincount((bins + first).ravel(), minlength=total)
+
+
+def _histogram(blocks: Iterator[_Block], tree: _Trees, slot: np.ndarray, begin: np.ndarray, fit: np.ndarray, total: int) -> Iterator[np.ndarray]:
+    """Sums of gradient and count by (slot, bin of feature), and of the whole slot as last bin, usual bins left out.
+
+    ``slot`` numbers the wanted nodes of each model from 0 (-1: not wanted); model m has the slots from ``begin[m]``.
+    """
+    out = np.zeros((begin[-1], total + 1, 2))
+    for b in blocks:
+        at = slot.ravel().take(tree.leaf(b.bins))
+        for m in np.flatnonzero(np.diff(begin)):
+            count = b.n[:, fit[m]]
+            weights = (count * b.p[:, m] - b.s[:, fit[m]], count)
+            mine = np.where(count > 0, at[:, m], -1)
+            rows, size = np.flatnonzero(mine >= 0), begin[m + 1] - begin[m]
+            of = mine.take(b.row)
+            cells = np.flatnonzero(of >= 0)
+            cell, on = of[cells] * (total + 1) + b.place[cells], b.row[cells]
+            for k, weight in enumerate(weights):
+                to = out[begin[m] : begin[m + 1], :, k]
+                to += np.bincount(cell, weights=weight[on], minlength=size * (total + 1)).reshape(size, -1)
+                to[:, total] += np.bincount(mine[rows], weights=weight[rows], minlength=size)
     yield out
 
 
+def _completed(hist: np.ndarray, first: np.ndarray, usual: np.ndarray) -> np.ndarray:
+    """Histograms by (slot, bin) with each feature's usual bin as the slot's remainder."""
+    cells, whole = hist[:, :-1].copy(), hist[:, -1:]
+    cells[:, first + usual] = whole - np.add.reduceat(cells, first, axis=1)
+    return cells
+
+
 def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growth], trees: int = 300, bins: int = 255) -> DataFrame:
     """(key, p): predictions of all models for every row, models ordered by fit, then configuration.
 
@@ -161,51 +202,56 @@ def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growt
         one = np.arange(len(hist))
         return gain[one, at], at, left[one, at], whole[:, 0]
 
-    start, ensemble = np.zeros(len(fit)), []
-    state, kept = None, 0
-    level = packed.rdd.map(lambda r: np.stack((np.frombuffer(r["s"]).reshape(-1, fits).sum(0), np.frombuffer(r["n"]).reshape(-1, fits).sum(0)))).treeReduce(lambda a, b: a + b)
+    ensemble, state = [], None
+    level = source.map(lambda r: _totals(r, fits, first, total)).treeReduce(lambda a, b: tuple(map(np.add, a, b)))
     start = np.where(level[1] > 0, level[0] / np.maximum(level[1], 1e-300), 0.0)[fit]
+    usual = np.array([level[2][a : a + w].argmax() for a, w in zip(first, width)], dtype=np.uint8)
     for number in range(trees):
-        if state is None or number - kept >= KEEP_EVERY:
-            # Made from the written rows and all trees so far, so the lineage stays one step long.
-            known, old = source.context.broadcast((start, list(ensemble))), state
-            state = source.map(lambda r, known=known: _unpacked(r, fits, *known.value)).persist(StorageLevel.MEMORY_AND_DISK)
-            kept = number
-            if old is not None:
-                old.unpersist()
-        tree, pending = _Trees(len(fit), nodes), ensemble[kept:]
-
-        def histograms(want: list[tuple[int, int]], tree=tree, pending=pending) -> np.ndarray:
+        old = state
+        if number % REBUILD_EVERY == 0:
+            # Made from the written rows and all trees so far, so the lineage stays short.
+            known = source.context.broadcast((start, list(ensemble)))
+            state = source.map(lambda r, known=known: _block(_unpacked(r, fits, *known.value), usual, first))
+        else:
+            state = state.map(lambda b, last=ensemble[-1]: b.after(last))
+        state.persist(StorageLevel.MEMORY_AND_DISK)
+        tree = _Trees(len(fit), nodes)
+
+        def histograms(want: list[tuple[int, int]], tree=tree, state=state) -> np.ndarray:
+            """Of the wanted nodes, which are in order of their models."""
+            begin = np.searchsorted([m for m, _ in want], np.arange(len(fit) + 1))
             slot = np.full((len(fit), nodes), -1, dtype=np.int64)
             for i, (m, node) in enumerate(want):
-                slot[m, node] = i
-            parts = state.mapPartitions(lambda b: _histogram(b, tree, pending, slot, len(want), fit, first, total))
+                slot[m, node] = i - begin[m]
+            parts = state.mapPartitions(lambda b: _histogram(b, tree, slot, begin, fit, total))
             summed = parts.reduce(lambda a, b: a + b) if flat else parts.treeReduce(lambda a, b: a + b)
-            return summed.reshape(len(want), total, 2)
+            return _completed(summed, first, usual)
 
-        # Open leaves by (model, node): histogram, gain, cut, left sums, own sums, depth.
-        leaves: dict[tuple[int, int], tuple] = {}
+        # Open leaves of each model by node: histogram, gain, cut, left sums, own sums, depth.
+        leaves: list[dict[int, tuple]] = [{} for _ in fit]
         used, size = np.ones(len(fit), dtype=int), np.ones(len(fit), dtype=int)
 
         def opened(places: list[tuple[int, int]], hist: np.ndarray, depth: list[int], tree=tree, leaves=leaves) -> None:
             of = np.array([m for m, _ in places])
             for place, *found, d in zip(places, hist, *best(hist, of), depth):
-                leaves[place] = (*found, d)
+                leaves[place[0]][place[1]] = (*found, d)
                 g, h = found[4]
                 tree.value[place] = -rate[place[0]] * g / max(h + l2[place[0]], 1e-300)
 
         roots = [(m, 0) for m in range(len(fit))]
         opened(roots, histograms(roots), [0] * len(fit))
+        if old is not None:
+            old.unpersist()
         while True:
             chosen = []
             for m in range(len(fit)):
-                may = [(v[1], -k[1], k) for k, v in leaves.items() if k[0] == m and v[1] > 1e-12 and v[5] < deepest[m]]
-                chosen += [k for _, _, k in sorted(may, reverse=True)[: budget[m] - used[m]]]
+                may = [(v[1], -node) for node, v in leaves[m].items() if v[1] > 1e-12 and v[5] < deepest[m]]
+                chosen += [(m, -node) for _, node in sorted(may, reverse=True)[: budget[m] - used[m]]]
             if not chosen:
                 break
             lefts, parents = [], []
             for m, node in chosen:
-                hist, _, cut, left, whole, depth = leaves.pop((m, node))
+                hist, _, cut, left, whole, depth = leaves[m].pop(node)
                 a, b = int(size[m]), int(size[m]) + 1
                 size[m], used[m] = size[m] + 2, used[m] + 1
                 tree.feature[m, node], tree.cut[m, node] = feature_of[cut], cut - first[feature_of[cut]]
