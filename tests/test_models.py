@@ -246,3 +246,14 @@ def test_histograms_read_only_cells_beside_the_usual_bin():
         for k, w in enumerate(weights):
             want = np.bincount((bins + first)[on].ravel(), weights=np.repeat(w[on], 41), minlength=total)
             assert np.allclose(got[i, :, k], want, atol=1e-9)
+
+
+def test_residuals_bring_their_masks_along(spark):
+    """The cohorts' masks come with the validation rows; the whole targets are not joined again by their row key."""
+    from tradewind.plans.models import residual_rows
+    from tradewind.sources.tables import Tables
+
+    rows = residual_rows(Tables(spark, "/root/testdata/sf0.01"))
+    assert "source_row" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    counts = {r["cohort"]: r["count"] for r in rows.groupBy("cohort").count().collect()}
+    assert counts["all"] >= counts["no_event"] >= counts["strict"] > 0

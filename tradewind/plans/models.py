@@ -283,7 +283,7 @@ def md12(t):
 
 
 def oof(t, fits, vec=None):
-    valid = t.fold_rows.filter("role = 'valid'").select("fold", "source_row", "market", "entity", "us", "y")
+    valid = t.fold_rows.filter("role = 'valid'").select("fold", "source_row", "market", "entity", "us", "y", "evt", "prior_n")
     vec = small(t).select("entity", "x") if vec is None else vec
     pairs = valid.select("fold", "entity").distinct().join(vec, "entity")
     scored = L.predict(pairs, fits, ["fold"]).select("fold", "entity", "p")
@@ -356,15 +356,15 @@ def by_cohort(rows):
     return rows.withColumn("cohort", F.explode(names_where({name: F.expr(mask) for name, mask in COHORTS.items()})))
 
 
-def residual_sums(t):
-    """Counted sums of the out-of-fold residuals by (cohort, fold, entity): all that the correction learns from."""
+def residual_rows(t):
+    """Out-of-fold residuals of every cohort."""
+    base = oof(t, L.fit_grid(fold_grams(t), ["fold"], [("ridge", 2, {"alpha": 1.0})])).withColumn("r", F.col("y") - F.col("p"))
+    return by_cohort(base).select("cohort", "fold", "entity", "r")
 
-    def build():
-        base = oof(t, L.fit_grid(fold_grams(t), ["fold"], [("ridge", 2, {"alpha": 1.0})])).withColumn("r", F.col("y") - F.col("p"))
-        rows = by_cohort(base.join(t.targets.select("source_row", "evt", "prior_n"), "source_row"))
-        return G.entity_targets(rows, ["cohort", "fold"], "entity", "r")
 
-    return t.stage("residual_sums", build)
+def residual_sums(t):
+    """Counted sums of the out-of-fold residuals by (cohort, fold, entity): all that the correction learns from."""
+    return t.stage("residual_sums", lambda: G.entity_targets(residual_rows(t), ["cohort", "fold"], "entity", "r"))
 
 
 def alpha_search(t, vec):
