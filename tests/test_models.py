@@ -257,3 +257,54 @@ def test_residuals_bring_their_masks_along(spark):
     assert "source_row" not in rows._jdf.queryExecution().optimizedPlan().toString()
     counts = {r["cohort"]: r["count"] for r in rows.groupBy("cohort").count().collect()}
     assert counts["all"] >= counts["no_event"] >= counts["strict"] > 0
+
+
+def plain_forest(x, n, y, draws, how, trees):
+    """Trees grown one node at a time, every cut tried on all rows."""
+    from tradewind.operators import trees as T
+
+    p = np.zeros(len(y))
+    for tree in range(trees):
+        d, w = draws[:, tree], draws[:, tree] * n
+        mean = lambda m: (w * y)[m].sum() / w[m].sum()
+        score = lambda m: (w * y)[m].sum() ** 2 / w[m].sum()
+
+        def grow(node, seen, drawn):
+            tried = np.argsort(T._uniform(how.seed, tree, node, np.arange(x.shape[1])))[: int(np.ceil(how.share * x.shape[1]))]
+            best, own = (0.0, None), score(drawn)
+            for f in sorted(tried) if node < 1 << how.depth else []:
+                for cut in np.unique(x[:, f])[:-1]:
+                    low = drawn & (x[:, f] <= cut)
+                    high = drawn & ~low
+                    if d[low].sum() >= how.least and d[high].sum() >= how.least:
+                        gain = np.round((score(low) + score(high) - own) / max(own, 1.0), 10)
+                        best = max(best, (gain, (f, cut)), key=lambda b: b[0])
+            if best[1] is None:
+                p[seen] += mean(drawn) / trees
+                return
+            low = x[:, best[1][0]] <= best[1][1]
+            grow(2 * node, seen & low, drawn & low)
+            grow(2 * node + 1, seen & ~low, drawn & ~low)
+
+        grow(1, np.ones(len(y), bool), d > 0)
+    return p
+
+
+@pytest.mark.parametrize("share,least,local", [(1.0, 1, 50_000), (0.5, 5, 50_000), (0.5, 1, 30)])
+def test_shared_forest_equals_plain_trees(spark, monkeypatch, share, least, local):
+    from tradewind.operators import trees as T
+
+    monkeypatch.setattr(T, "LOCAL_ROWS", local)
+    rng = np.random.default_rng(5)
+    x, n, y = rng.integers(0, 4, (300, 4)).astype(float), rng.integers(0, 5, 300).astype(float), rng.normal(size=300)
+    rows = spark.createDataFrame([(i, x[i].tolist(), float(n[i]), float(n[i] * y[i])) for i in range(300)], "entity long, x array<double>, n double, s double").repartition(3)
+    hashes = np.array([r["h"] for r in rows.select("entity", F.xxhash64("entity").alias("h")).orderBy("entity").collect()])
+    draws = np.searchsorted(T.DRAWS, T._uniform(1729, hashes.view(np.uint64)[:, None], np.arange(6)), side="right") * (n > 0)[:, None]
+    assert abs(draws[n > 0].mean() - 1) < 0.1
+    edges, how = T.bin_edges(rows, "x"), T.Bagged(share, least, depth=5)
+    bags = T.bag(rows, "entity", "x", "n", "s", edges, 6)
+    # Equal rows stand together, with all their draws.
+    held = bags.collect()
+    assert len(held) == len(np.unique(x[n > 0], axis=0)) and sum(np.frombuffer(r["draws"], dtype="<i4").sum() for r in held) == draws.sum()
+    got = {r["entity"]: r["p"] for r in T.forest(bags, edges, how, 6).transform(rows).collect()}
+    assert np.allclose([got[i] for i in range(300)], plain_forest(x, n, y, draws, how, 6), atol=1e-9)

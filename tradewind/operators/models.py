@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import gram as G
+from . import trees as T
 
 # The hyper-parameter grids of the linear and tree families.
 GRID: dict[str, list[dict]] = {
@@ -291,20 +292,18 @@ def tree_settings(family: str, config: dict, trees: int = TREES) -> dict:
     Spark grows by depth, not by leaves: 15 and 31 leaves become depths 4 and 5. It has no L2 on leaf
     values: the stronger penalty becomes a minimum of ten rows per leaf. Same role, other numbers.
     """
-    if family == "forest":
-        share = config["max_features"]
-        return {"numTrees": trees, "maxDepth": 12, "featureSubsetStrategy": "all" if share == 1.0 else str(share), "minInstancesPerNode": config["min_samples_leaf"]}
     depth = int(np.log2(config["max_leaf_nodes"] + 1))
     extra = {"maxBins": 255} if family != "hist_gradient" else {}
     return {"maxIter": trees, "stepSize": config["learning_rate"], "maxDepth": depth, "minInstancesPerNode": config["l2"], **extra}
 
 
-def fit_tree(train: DataFrame, family: str, config: dict, features: str = "features", label: str = "z", weight: str | None = None, seed: int = 1729, trees: int = TREES):
-    """Gradient-boosted trees or a forest from Spark ML for one tree configuration."""
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+def fit_tree(train: DataFrame, family: str, config: dict, features: str = "features", label: str = "z", weight: str | None = None, seed: int = 1729, trees: int = TREES, edges: list[np.ndarray] | None = None):
+    """Gradient-boosted trees from Spark ML, or a forest from the rows of ``trees.bag`` (and their bins' ``edges``), for one configuration."""
+    if family == "forest":
+        return T.forest(train, edges, T.Bagged(config["max_features"], config["min_samples_leaf"], seed=seed), trees)
+    from pyspark.ml.regression import GBTRegressor
 
-    kind = RandomForestRegressor if family == "forest" else GBTRegressor
-    model = kind(featuresCol=features, labelCol=label, predictionCol="p", seed=seed, **tree_settings(family, config, trees))
+    model = GBTRegressor(featuresCol=features, labelCol=label, predictionCol="p", seed=seed, **tree_settings(family, config, trees))
     return (model.setWeightCol(weight) if weight else model).fit(train)
 
 

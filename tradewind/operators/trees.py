@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
@@ -282,3 +283,316 @@ def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growt
                 yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(list(p), pa.list_(pa.float64()))], names=["key", "p"])
 
     return packed.mapInArrow(predict, f"key {kind}, p array<double>")
+
+
+# --- bagged forests --------------------------------------------------------------------------------
+
+#: Rows of a node that one task grows further by itself; larger nodes are cut from sums of all tasks.
+LOCAL_ROWS = 50_000
+#: Distinct rows of a task that are summed before they are passed on, trees whose rows are dealt together, predictions a task remembers.
+BAG_GROUPS, DEAL_TREES, KNOWN_ROWS = 8_000, 50, 100_000
+#: What is known of a grown node; a leaf has feature -1.
+NODE = (("node", "<i8"), ("feature", "<i4"), ("cut", "<i4"), ("mean", "<f8"))
+#: Chances of at most 0, 1, 2, ... draws of a row, Poisson of mean 1.
+DRAWS = np.cumsum([np.exp(-1.0) / np.prod(np.arange(1.0, k + 1)) for k in range(18)])
+
+
+@dataclass(frozen=True)
+class Bagged:
+    """Growth of a forest: ``share`` of the features tried at a node, ``least`` draws in a leaf, levels below the root."""
+
+    share: float
+    least: int
+    depth: int = 12
+    seed: int = 1729
+
+
+def _uniform(*parts) -> np.ndarray:
+    """Numbers in [0, 1) that depend on the given integers (broadcast) alone."""
+    h = np.zeros(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for p in parts:
+            h = h + np.asarray(p).astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            h = h ^ (h >> np.uint64(31))
+    return (h >> np.uint64(11)) * 2.0**-53
+
+
+def _binned(values: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    return np.stack([np.searchsorted(e[:-1], values[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
+
+
+def _wide(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def bag(rows: DataFrame, key: str, x: str, n: str, s: str, edges: list[np.ndarray], trees: int, seed: int = 1729) -> DataFrame:
+    """(features, draws, n, s): for every distinct row of bins what each tree draws of it.
+
+    A tree takes every row a Poisson number of times that depends on its key, the tree and ``seed`` alone, with
+    its count ``n`` and target sum ``s``. Rows of equal bins never part in a tree, so they stand together.
+    """
+    types = ((np.dtype("<i4"), 0), (np.dtype("<f8"), 1), (np.dtype("<f8"), 2))
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[bytes, int] = {}
+        sums = [np.zeros((BAG_GROUPS, trees), dtype=d) for d, _ in types]
+
+        def out() -> pa.RecordBatch:
+            held = len(groups)
+            done = pa.RecordBatch.from_arrays([pa.array(list(groups), pa.binary()), *(pa.array([v.tobytes() for v in a[:held]], pa.binary()) for a in sums)], names=["features", "draws", "n", "s"])
+            groups.clear()
+            for a in sums:
+                a[:held] = 0
+            return done
+
+        for batch in batches:
+            for start in range(0, len(batch), 2000):
+                part = batch.slice(start, 2000)
+                keys, count, target = (part.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "s"))
+                distinct, of = np.unique(_binned(_wide(part.column("x")), edges), axis=0, return_inverse=True)
+                drawn = np.searchsorted(DRAWS, _uniform(seed, keys.view(np.uint64)[:, None], np.arange(trees)), side="right").astype(np.int32)
+                order = np.argsort(of.ravel(), kind="stable")
+                begin = np.searchsorted(of.ravel()[order], np.arange(len(distinct)))
+                if len(groups) + len(distinct) > BAG_GROUPS:
+                    yield out()
+                at = [groups.setdefault(row.tobytes(), len(groups)) for row in distinct]
+                for a, v in zip(sums, (drawn, drawn * count[:, None], drawn * target[:, None])):
+                    a[at] += np.add.reduceat(v[order], begin, axis=0)
+        if groups:
+            yield out()
+
+    def add(group: pa.Table) -> pa.Table:
+        total = [np.sum([np.frombuffer(v, dtype=d) for v in group.column(i + 1).to_pylist()], axis=0, dtype=d) for d, i in types]
+        return pa.table({"features": group.column("features")[:1], **{c: pa.array([v.tobytes()], pa.binary()) for c, v in zip(("draws", "n", "s"), total)}})
+
+    shape = "features binary, draws binary, n binary, s binary"
+    inputs = rows.where(F.col(n) > 0).select(F.xxhash64(key).alias("key"), F.col(x).cast("array<double>").alias("x"), F.col(n).cast("double").alias("n"), F.col(s).cast("double").alias("s"))
+    return inputs.mapInArrow(draw, shape).groupBy("features").applyInArrow(add, shape)
+
+
+@dataclass(frozen=True)
+class _Layout:
+    """Bins of all features side by side."""
+
+    width: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.width)[:-1])).astype(np.int64)
+
+    @property
+    def total(self) -> int:
+        return int(self.width.sum())
+
+
+class _Sums:
+    """Sums by (node, bin) of some rows; as in boosting only the cells beside each feature's usual bin are read."""
+
+    def __init__(self, bins: np.ndarray, layout: _Layout):
+        self.first, self.total = layout.first, layout.total
+        self.usual = np.array([np.bincount(b).argmax() for b in bins.T], dtype=np.uint8)
+        self.row, feature = np.nonzero(bins != self.usual)
+        self.place = bins[self.row, feature] + self.first[feature]
+
+    def of(self, at: np.ndarray, nodes: int, weights: tuple[np.ndarray, ...]) -> np.ndarray:
+        """(node, bin, weight) for rows whose node ``at`` is not -1."""
+        of, rows = at.take(self.row), np.flatnonzero(at >= 0)
+        cells = np.flatnonzero(of >= 0)
+        cell, on = of[cells] * self.total + self.place[cells], self.row[cells]
+        out = np.empty((nodes, self.total, len(weights)))
+        for k, w in enumerate(weights):
+            hist = np.bincount(cell, weights=w[on], minlength=nodes * self.total).reshape(nodes, -1)
+            whole = np.bincount(at[rows], weights=w[rows], minlength=nodes)
+            hist[:, self.first + self.usual] = whole[:, None] - np.add.reduceat(hist, self.first, axis=1)
+            out[:, :, k] = hist
+        return out
+
+
+def _cuts(sums: np.ndarray, tree: int, ids: np.ndarray, layout: _Layout, how: Bagged) -> tuple[np.ndarray, ...]:
+    """Of each node: feature (-1: none parts it), cut, mean, and rows on the left and in all (last weight)."""
+    first, width, features = layout.first, layout.width, len(layout.width)
+    feature_of = np.repeat(np.arange(features), width)
+    running = np.cumsum(sums, axis=1)
+    base = np.where(first[:, None] > 0, running[:, np.maximum(first - 1, 0)], 0)
+    left, whole = running - base[:, feature_of], running[:, width[0] - 1]
+    right = whole[:, None] - left
+    ok = (left[..., 0] >= how.least) & (right[..., 0] >= how.least)
+    ok[:, first + width - 1] = False
+    tried = int(np.ceil(how.share * features))
+    if tried < features:
+        chance = _uniform(how.seed, tree, ids[:, None], np.arange(features))
+        may = np.zeros(chance.shape, dtype=bool)
+        np.put_along_axis(may, np.argpartition(chance, tried - 1, axis=1)[:, :tried], True, axis=1)
+        ok &= may[:, feature_of]
+    score = lambda a: a[..., 2] ** 2 / np.maximum(a[..., 1], 1e-300)
+    own = score(whole)
+    # Rounded, so that cuts of equal parts tie however their sums were added, and the first one is taken.
+    gain = np.where(ok, np.round((score(left) + score(right) - own[:, None]) / np.maximum(own, 1.0)[:, None], 10), -np.inf)
+    one, at = np.arange(len(sums)), gain.argmax(axis=1)
+    parts = (gain[one, at] > 0) & (ids < 1 << how.depth)
+    return np.where(parts, feature_of[at], -1), at - first[feature_of[at]], whole[:, 2] / np.maximum(whole[:, 1], 1e-300), left[one, at, -1], whole[:, -1]
+
+
+def _grow(tree: int, root: int, bins: np.ndarray, weights: tuple[np.ndarray, ...], layout: _Layout, how: Bagged) -> tuple[np.ndarray, ...]:
+    """Nodes below and with ``root`` (children of i are 2i and 2i+1) from all its rows: ids, features, cuts, means."""
+    cells, at, ids, grown = _Sums(bins, layout), np.zeros(len(bins), dtype=np.int64), np.array([root]), []
+    while len(ids):
+        feature, cut, mean, *_ = _cuts(cells.of(at, len(ids), weights), tree, ids, layout, how)
+        grown.append((ids, feature, cut, mean))
+        child = np.cumsum(feature >= 0) - 1
+        rows = np.flatnonzero(at >= 0)
+        node = at[rows]
+        goes = bins[rows, np.maximum(feature[node], 0)] > cut[node]
+        at[rows] = np.where(feature[node] >= 0, 2 * child[node] + goes, -1)
+        parents = ids[feature >= 0]
+        ids = np.stack((2 * parents, 2 * parents + 1), axis=1).ravel()
+    return tuple(map(np.concatenate, zip(*grown)))
+
+
+def _routed(bins: np.ndarray, splits: dict[int, tuple[int, int]], depth: int) -> np.ndarray:
+    """The node each row reaches by the splits known so far."""
+    at = np.ones(len(bins), dtype=np.int64)
+    for _ in range(depth if splits else 0):
+        for node in set(np.unique(at).tolist()) & splits.keys():
+            rows = np.flatnonzero(at == node)
+            at[rows] = 2 * node + (bins[rows, splits[node][0]] > splits[node][1])
+    return at
+
+
+class ForestModel:
+    """Means of the leaves a row reaches, averaged over the trees."""
+
+    def __init__(self, trees: _Trees, edges: list[np.ndarray], x: str = "x"):
+        self.trees, self.edges, self.x = trees, edges, x
+
+    def predict(self, bins: np.ndarray) -> np.ndarray:
+        parts = (bins[i : i + 2000] for i in range(0, len(bins), 2000))
+        return np.concatenate([np.empty(0), *(self.trees.value.ravel().take(self.trees.leaf(b)).mean(axis=1) for b in parts)])
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with the prediction ``p``; a task predicts rows of equal bins once."""
+        shared, edges = rows.sparkSession.sparkContext.broadcast(self), self.edges
+
+        def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            known: dict[bytes, float] = {}
+            for values in batches:
+                bins = _binned(np.stack(values.to_numpy()).astype(np.float64), edges) if len(values) else np.empty((0, len(edges)), dtype=np.uint8)
+                keys = [b.tobytes() for b in bins]
+                if len(known) > KNOWN_ROWS:
+                    known.clear()
+                new = {k: i for i, k in enumerate(keys) if k not in known}
+                known.update(zip(new, shared.value.predict(bins[list(new.values())]).tolist()))
+                yield pd.Series([known[k] for k in keys], dtype="float64")
+
+        return rows.withColumn("p", F.pandas_udf(predicted, "double")(F.col(self.x)))
+
+
+def forest(bagged: DataFrame, edges: list[np.ndarray], how: Bagged, trees: int) -> ForestModel:
+    """All trees of a forest from the rows of ``bag``, grown together.
+
+    Nodes of more than ``LOCAL_ROWS`` rows are cut level by level from sums that the tasks make and one task a
+    tree adds up; the rows of a smaller node are then brought together once and one task grows all below it.
+    The driver sees the trees only.
+    """
+    layout = _Layout(np.array([max(1, len(e)) for e in edges]))
+    splits: list[dict[int, tuple[int, int]]] = [{} for _ in range(trees)]
+    found: list[dict[int, tuple]] = [{} for _ in range(trees)]
+    context, width = bagged.sparkSession.sparkContext, len(edges)
+
+    def unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        wide = lambda c, d: np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=d).reshape(len(batch), -1)
+        return wide("features", np.uint8), (wide("draws", "<i4"), wide("n", "<f8"), wide("s", "<f8"))
+
+    def large(open_: list[list[int]]) -> list:
+        """Cuts of the open nodes of every tree."""
+        known = context.broadcast((splits, open_))
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            splits, open_ = known.value
+            for batch in batches:
+                if not len(batch):
+                    continue
+                bins, weights = unpacked(batch)
+                cells = _Sums(bins, layout)
+                for tree, ids in enumerate(open_):
+                    if ids:
+                        number = np.full(2 << how.depth, -1)
+                        number[ids] = np.arange(len(ids))
+                        mine = [w[:, tree] for w in weights]
+                        drawn = mine[0] > 0
+                        at = np.where(drawn, number[_routed(bins, splits[tree], how.depth)], -1)
+                        yield pa.RecordBatch.from_arrays([pa.array([tree], pa.int32()), pa.array([cells.of(at, len(ids), (*mine, drawn.astype(float))).tobytes()], pa.binary())], names=["tree", "sums"])
+
+        def cut(group: pa.Table) -> pa.Table:
+            tree = group.column("tree")[0].as_py()
+            ids = np.array(known.value[1][tree])
+            total = np.zeros(len(ids) * layout.total * 4)
+            for v in group.column("sums").to_pylist():
+                total += np.frombuffer(v)
+            feature, at, mean, left, rows = _cuts(total.reshape(len(ids), layout.total, 4), tree, ids, layout, how)
+            return pa.table({"tree": pa.array([tree] * len(ids), pa.int32()), "node": ids, "feature": feature, "cut": at, "mean": mean, "left": left, "rows": rows})
+
+        shape = "tree int, node long, feature long, cut long, mean double, left double, rows double"
+        return bagged.mapInArrow(sums, "tree int, sums binary").groupBy("tree").applyInArrow(cut, shape).collect()
+
+    sizes = bagged.count()
+    open_ = [[1] if sizes > LOCAL_ROWS else [] for _ in range(trees)]
+    while any(open_):
+        cuts, open_ = large(open_), [[] for _ in range(trees)]
+        for r in cuts:
+            # A node that came out small is cut again with all below it, by one task.
+            if r["rows"] > LOCAL_ROWS or r["feature"] < 0:
+                found[r["tree"]][r["node"]] = (r["feature"], r["cut"], r["mean"])
+                if r["feature"] >= 0:
+                    splits[r["tree"]][r["node"]] = (r["feature"], r["cut"])
+                    open_[r["tree"]] += [2 * r["node"] + k for k, rows in enumerate((r["left"], r["rows"] - r["left"])) if rows > LOCAL_ROWS]
+        open_ = [sorted(ids) for ids in open_]
+    known = context.broadcast((splits, [{i for i, v in f.items() if v[0] < 0} for f in found]))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        splits, done = known.value
+        for batch in batches:
+            for start in range(0, len(batch), 2000):
+                bins, weights = unpacked(batch.slice(start, 2000))
+                for begin in range(0, trees, DEAL_TREES):
+                    out = []
+                    for tree in range(begin, min(trees, begin + DEAL_TREES)):
+                        drawn = np.flatnonzero(weights[0][:, tree])
+                        at = _routed(bins[drawn], splits[tree], how.depth)
+                        for node in np.unique(at).tolist():
+                            rows = drawn[at == node]
+                            if node not in done[tree]:
+                                out.append((tree, node, bins[rows].tobytes(), *(w[rows, tree].tobytes() for w in weights)))
+                    if out:
+                        types = (pa.int32(), pa.int64(), *[pa.binary()] * 4)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, d) for c, d in zip(zip(*out), types)], names=["tree", "node", "features", "draws", "n", "s"])
+
+    def grow(group: pa.Table) -> pa.Table:
+        tree, root = (group.column(c)[0].as_py() for c in ("tree", "node"))
+        flat = lambda c, d: np.frombuffer(b"".join(group.column(c).to_pylist()), dtype=d)
+        bins = flat("features", np.uint8).reshape(-1, width)
+        # In one order however they came, so that sums are the same in every run.
+        order = np.lexsort(bins.T)
+        weights = tuple(flat(c, d)[order].astype(float) for c, d in (("draws", "<i4"), ("n", "<f8"), ("s", "<f8")))
+        grown = _grow(tree, root, bins[order], weights, layout, how)
+        return pa.table({"tree": pa.array([tree], pa.int32()), **{c: pa.array([v.astype(d).tobytes()], pa.binary()) for (c, d), v in zip(NODE, grown)}})
+
+    dealt = bagged.mapInArrow(deal, "tree int, node long, features binary, draws binary, n binary, s binary")
+    grown: list[list[tuple]] = [[tuple(map(np.array, zip(*((i, *v) for i, v in f.items()))))] if f else [] for f in found]
+    for r in dealt.groupBy("tree", "node").applyInArrow(grow, "tree int, " + ", ".join(f"{c} binary" for c, _ in NODE)).collect():
+        grown[r["tree"]].append(tuple(np.frombuffer(r[c], dtype=d) for c, d in NODE))
+
+    model = _Trees(trees, max(1, *(sum(len(part[0]) for part in parts) for parts in grown)))
+    model.depth = how.depth
+    for tree, parts in enumerate(grown):
+        if parts:
+            ids, feature, cut, mean = map(np.concatenate, zip(*parts))
+            order = np.argsort(ids)
+            ids, feature, cut = ids[order], feature[order], cut[order]
+            model.value[tree, : len(ids)] = mean[order]
+            at = np.flatnonzero(feature >= 0)
+            model.feature[tree, at], model.cut[tree, at] = feature[at], cut[at]
+            model.left[tree, at], model.right[tree, at] = np.searchsorted(ids, 2 * ids[at]), np.searchsorted(ids, 2 * ids[at] + 1)
+    return ForestModel(model, edges)

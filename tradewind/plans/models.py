@@ -6,7 +6,6 @@ from __future__ import annotations
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..functions.scalars import in_window, moment, names_where, robust_asinh, robust_sinh, tidy
@@ -174,13 +173,18 @@ def boosted(t, family, trees):
 
 def forest(t, family, trees, fits):
     """The same of bagged forests for the given (fold, configuration) pairs, four fits at a time, on entities weighted by their trades."""
-    grid, rows = L.TREE_GRID[family], tree_entities(t).withColumn("features", array_to_vector("x"))
+    grid, rows = L.TREE_GRID[family], tree_entities(t)
+    edges = T.bin_edges(rows, "x")
+
+    def drawn(fold):
+        n, s = F.col("n")[FITS.index(fold)], F.col("s")[FITS.index(fold)]
+        return t.stage(f"bag_{fold}_{trees}", lambda: T.bag(rows.select("entity", "x", n.alias("n"), s.alias("s")), "entity", "x", "n", "s", edges, trees))
+
+    bags = {fold: drawn(fold) for fold in dict.fromkeys(fold for fold, _ in fits)}
 
     def one(of):
         fold, c = of
-        n, s = F.col("n")[FITS.index(fold)], F.col("s")[FITS.index(fold)]
-        train = rows.withColumn("w", n).filter("w > 0").withColumn("label", s / F.col("w"))
-        model = L.fit_tree(train, family, grid[c], label="label", weight="w", trees=trees)
+        model = L.fit_tree(bags[fold], family, grid[c], trees=trees, edges=edges)
         return model.transform(rows).select("entity", F.lit(fold).alias("fold"), F.lit(c).cast("bigint").alias("config_index"), F.col("p").alias("z"))
 
     with ThreadPool(4) as pool:
