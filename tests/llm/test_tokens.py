@@ -95,3 +95,14 @@ def test_stages_keep_columns(spark, awkward, nothing, tmp_path):
 def test_every_operator_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
+
+
+def test_words_of_one_length_fold_together_as_in_the_library(monkeypatch):
+    """Words are folded as arrays in the task, in small lots too, not by an interpreted expression."""
+    draw, merges = random.Random(11), byte_bpe.Merges(RANKS)
+    words = ["".join(draw.choices("etaoinsE é0'中\x00", k=draw.randint(1, 24))) for _ in range(4000)] + ["a" * 700, "ab" * 300, "x", "é"]
+    for lot in (1 << 20, 64):
+        monkeypatch.setattr(byte_bpe, "FOLD_BYTES", lot)
+        got = merges.fold(words)
+        assert all(np.frombuffer(ids, dtype="<u4").tolist() == PLAIN._core_bpe.encode_single_piece(w.encode()) for w, ids in zip(words, got) if w.encode() not in RANKS)
+    assert merges.fold([]) == []

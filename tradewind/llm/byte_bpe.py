@@ -1,4 +1,4 @@
-"""Byte-level BPE: Spark folds ranked merges over distinct words; decoding joins the bytes of the pieces."""
+"""Byte-level BPE: tasks fold ranked merges over their distinct words, all words of one length at a time; decoding joins the bytes of the pieces."""
 
 from __future__ import annotations
 
@@ -19,12 +19,10 @@ from pyspark.sql import functions as F
 
 from .text import slices
 
-#: Buckets of the literal rank map (a prime).
-BUCKETS = 16381
-#: A state is one number: the id of a piece (16 bits), where it starts in its word (30), the rank of its pair with the next (16).
-SHIFT, RANK_SHIFT = 16, 46
-WIDTH, PLACED, NO_RANK = 1 << SHIFT, 1 << RANK_SHIFT, 1 << 16
-NO_MERGE = NO_RANK << RANK_SHIFT
+#: Ids lie below this; as the rank of a pair it says that the pair does not merge.
+NO_RANK = 1 << 16
+#: Bytes of words of one length that are folded at once.
+FOLD_BYTES = 1 << 20
 #: Frequent words kept ready in every task, and the documents (by hash) they are counted on. Both only save time.
 READY_WORDS, READY_DOCUMENTS = 200_000, 20_000
 #: Words of the sample that a task counts before it passes its counts on.
@@ -42,11 +40,6 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of ``value``, computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _finder(pattern: str) -> Callable[[str], list[str]]:
     """All matches of ``pattern`` in a text. Texts of ASCII and ``LETTERS`` alone take an equal pattern of plain classes, which is faster."""
     find = regex.compile(pattern).findall
@@ -58,70 +51,75 @@ def _finder(pattern: str) -> Callable[[str], list[str]]:
 
 
 class Merges:
-    """The rank map as a literal: which pairs of pieces merge, and into which rank (the piece's id)."""
+    """Which pairs of pieces merge, and into which rank (the piece's id)."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        if max(ranks.values()) >= WIDTH:
-            raise ValueError(f"ids must be below {WIDTH}")
-        buckets = [{"k": [], "v": []} for _ in range(BUCKETS)]
+        if max(ranks.values()) >= NO_RANK:
+            raise ValueError(f"ids must be below {NO_RANK}")
+        found = {}
         for piece, rank in ranks.items():
             for cut in range(1, len(piece)):
                 left, right = ranks.get(piece[:cut]), ranks.get(piece[cut:])
                 if left is not None and right is not None:
-                    key = left * WIDTH + right
-                    buckets[key % BUCKETS]["k"].append(key)
-                    buckets[key % BUCKETS]["v"].append(rank)
-        # Read from constant text, so the optimizer turns it into one literal before the job starts.
-        self.table = F.from_json(F.lit(json.dumps(buckets)), "array<struct<k:array<bigint>,v:array<int>>>")
-
-    def apply(self, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-        """``body`` of the fold of one word's states. The literal stands in the plan once, bound around the body."""
-        return _bind(self.table, lambda table: body(lambda states: self._fold(states, table)))
-
-    def _ranked(self, table: Column, state: Column, left: Column, right: Column) -> Column:
-        """``state`` (place and id ``left``) before the id ``right``: the rank of the pair above it; no such piece: ``NO_MERGE``."""
-        entry = lambda key: _bind(F.get(table, (key % BUCKETS).cast("int")), lambda e: F.get(e["v"], F.array_position(e["k"], key).cast("int") - 1))
-        return F.coalesce(_bind(left * WIDTH + right, entry), F.lit(NO_RANK)).cast("long") * PLACED + state
-
-    def _merged(self, table: Column, states: Column, least: Column, at: Column) -> Column:
-        """States after the pair at ``at`` became one piece, at the place of its left part; only the pairs beside it get new ranks."""
-        rank, after = F.shiftright(least, RANK_SHIFT), F.get(states, at + 1)
-        previous = F.get(states, at - 2)
-        before = F.when(at > 1, F.array(self._ranked(table, previous % PLACED, previous % WIDTH, rank))).otherwise(F.array().cast("array<bigint>"))
-        piece = least % PLACED - least % WIDTH + rank
-        here = F.when(after.isNull(), piece + NO_MERGE).otherwise(self._ranked(table, piece, rank, after % WIDTH))
-        return F.concat(F.slice(states, F.lit(1), F.greatest(at - 2, F.lit(0))), before, F.array(here), F.slice(states, at + 2, F.size(states)))
-
-    def _fold(self, states: Column, table: Column) -> Column:
-        """Ids of a word: from its bytes, the adjacent pair of least rank merges (leftmost first) until none can."""
-        step = lambda s, _: _bind(F.array_min(s), lambda m: F.when(m >= NO_MERGE, s).otherwise(_bind(F.array_position(s, m).cast("int"), lambda i: self._merged(table, s, m, i))))
-        return F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(states) - 1, F.lit(1))), states, step, lambda s: F.transform(s, lambda x: (x % WIDTH).cast("int")))
-
-
-def byte_pairs(ranks: dict[bytes, int]) -> np.ndarray:
-    """For bytes a and b at [a, b]: the id of a and the rank of the pair as a state at place 0; [a, 256]: no next byte."""
-    table = np.empty((256, 257), dtype=np.int64)
-    for a in range(256):
-        table[a, :256] = [ranks.get(bytes((a, b)), NO_RANK) for b in range(256)]
-        table[a, 256] = NO_RANK
-        table[a] = (table[a] << RANK_SHIFT) + ranks[bytes([a])]
-    return table
-
-
-def first_states(words: list[str], pairs: np.ndarray) -> pa.ListArray:
-    """The byte arrays of words (none empty) as the states a fold starts from."""
-    data = [w.encode() for w in words]
-    ends = np.cumsum(np.fromiter(map(len, data), dtype=np.int64, count=len(data)))
-    flat = np.frombuffer(b"".join(data), dtype=np.uint8).astype(np.intp)
-    after = np.append(flat[1:], 256)[: len(flat)]
-    after[ends - 1] = 256
-    starts = np.concatenate(([0], ends[:-1]))[: len(data)]
-    place = np.arange(len(flat), dtype=np.int64) - np.repeat(starts, ends - starts)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(pairs[flat, after] + (place << SHIFT)))
-
-
-def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, pairs: np.ndarray, words: int, sample: int) -> pa.Table:
-    """Frequent words of a hash sample and their ids, folded by Spark: word, ids."""
+                    found[left * NO_RANK + right] = rank
+        self.keys = np.array(sorted(found), dtype=np.int64)
+        self.ranks = np.array([found[k] for k in self.keys.tolist()], dtype=np.int32)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.starts = self.rank(np.repeat(self.bytes, 256), np.tile(self.bytes, 256)).reshape(256, 256)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair of ids, ``NO_RANK`` if it does not merge."""
+        if not len(self.keys):
+            return np.full(len(left), NO_RANK, dtype=np.int32)
+        key = left.astype(np.int64) * NO_RANK + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(NO_RANK))
+
+    def fold(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (none empty) as little-endian 32-bit integers."""
+        data = [w.encode() for w in words]
+        sizes = np.fromiter(map(len, data), dtype=np.int64, count=len(data))
+        order, out = np.argsort(sizes, kind="stable"), [b""] * len(data)
+        for of in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(data) else []:
+            step = max(1, FOLD_BYTES // int(sizes[of[0]]))
+            for start in range(0, len(of), step):
+                self._fold(data, of[start : start + step], out)
+        return out
+
+    def _fold(self, data: list[bytes], of: np.ndarray, out: list[bytes]) -> None:
+        """The words ``of``, of equal length: in each step the adjacent pair of least rank (leftmost first) of every word merges, until none can."""
+        flat = np.frombuffer(b"".join([data[i] for i in of.tolist()]), dtype=np.uint8).reshape(len(of), -1)
+        ids, pair = self.bytes[flat], self.starts[flat[:, :-1], flat[:, 1:]]
+
+        def done(rows: np.ndarray, ids: np.ndarray) -> None:
+            whole, size = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
+            for k, i in enumerate(rows.tolist()):
+                out[i] = whole[k * size : (k + 1) * size]
+
+        while pair.shape[1]:
+            at = pair.argmin(axis=1)
+            least = pair[np.arange(len(of)), at]
+            live = least < NO_RANK
+            if not live.all():
+                done(of[~live], ids[~live])
+                of, ids, pair, at, least = of[live], ids[live], pair[live], at[live], least[live]
+            if not len(of):
+                return
+            one, width = np.arange(len(of)), ids.shape[1]
+            ids[one, at] = least
+            keep = np.ones(ids.shape, dtype=bool)
+            keep[one, at + 1] = False
+            ids = ids[keep].reshape(len(of), width - 1)
+            # Without the pair that merged; only those beside the new piece get new ranks.
+            pair = pair[keep[:, 1:]].reshape(len(of), width - 2)
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at < width - 2)
+            pair[before, at[before] - 1] = self.rank(ids[before, at[before] - 1], least[before])
+            pair[after, at[after]] = self.rank(least[after], ids[after, at[after] + 1])
+        done(of, ids)
+
+
+def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, words: int, sample: int) -> pa.Table:
+    """Frequent words of a hash sample and their ids: word, ids."""
     rows = documents.select(F.col(text).alias("text"))
     share = min(1.0, sample / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(F.lit("ready"), "text"), F.lit(1 << 30)) / float(1 << 30)
@@ -145,12 +143,11 @@ def _ready(documents: DataFrame, text: str, pattern: str, merges: Merges, pairs:
     counted = rows.where(draw < share).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = counted.orderBy(F.desc("n"), "word").limit(words).select("word").repartition(48)
 
-    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("word"), first_states(batch.column("word").to_pylist(), pairs)], names=["word", "states"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(merges.fold(batch.column("word").to_pylist()), pa.binary())], names=["word", "ids"])
 
-    started = top.mapInArrow(states, "word string, states array<long>")
-    return started.select("word", merges.apply(lambda fold: fold(F.col("states"))).alias("ids")).toArrow()
+    return top.mapInArrow(fold, "word string, ids binary").toArrow()
 
 
 class _Codes(dict):
@@ -170,83 +167,58 @@ def encode(documents: DataFrame, ranks: dict[bytes, int], pattern: str, doc_id:
     With ``digests``: doc_id, n_tokens, and the SHA-256 of both as hex instead. Every match of
     ``pattern`` is encoded by itself, as ranked byte pairs merge. A task splits a block of texts into
     words; words that are pieces, among the frequent ones, or met before in the task have their ids at
-    hand, all other distinct words of the block are folded by Spark; then each text's ids are put together.
+    hand, all other distinct words of the block are folded together; then each text's ids are put together.
     Nothing is shuffled, so no word or text is hot. Null and empty texts give no ids; repeated rows stay; an empty
     table gives an empty result; extra columns are not read. Folding is quadratic in the length of one
     word (one match of the pattern).
     """
-    spark, merges, pairs = documents.sparkSession, Merges(ranks), byte_pairs(ranks)
+    spark, merges = documents.sparkSession, Merges(ranks)
     whole = {t: r for p, r in ranks.items() if (t := p.decode("utf-8", "ignore")).encode() == p}
-    own = pa.ListArray.from_arrays(pa.array(np.arange(len(whole) + 1), pa.int32()), pa.array(whole.values(), pa.int32()))
-    ready = pa.table({"word": pa.array(whole.keys(), pa.string()), "ids": own})
+    ready = pa.table({"word": pa.array(whole.keys(), pa.string()), "ids": pa.array([r.to_bytes(4, "little") for r in whole.values()], pa.binary())})
     # A word that is a piece has that id, whatever its bytes would merge into.
-    found = _ready(documents, text, pattern, merges, pairs, ready_words, ready_documents).cast(ready.schema)
+    found = _ready(documents, text, pattern, merges, ready_words, ready_documents).cast(ready.schema)
     ready = pa.concat_tables([ready, found.filter(pc.invert(pc.is_in(found.column("word"), value_set=ready.column("word").combine_chunks())))])
     pieces = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
         pieces[rank] = piece
     # Arrow arrays, so that neither the driver nor a worker holds more objects than it looks up.
-    shared = spark.sparkContext.broadcast((*(c.combine_chunks() for c in ready.columns), pa.array(pieces, pa.binary())))
+    shared = spark.sparkContext.broadcast((*(c.combine_chunks() for c in ready.columns), pa.array(pieces, pa.binary()), merges))
     del ready, found, whole
-    document = pa.struct([("doc_id", pa.int64()), ("codes", pa.binary())])
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, known = _finder(pattern), {w: i for i, w in enumerate(shared.value[0].to_pylist())}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, ids, pieces, merges = shared.value
+        find, known, table, pieces = _finder(pattern), {w: i for i, w in enumerate(words.to_pylist())}, ids.to_pylist(), pieces.to_pylist()
+        codes, rows, size, told = _Codes(known), [], 0, len(known)
+
+        def block() -> Iterator[pa.RecordBatch]:
+            table.extend(merges.fold(list(islice(codes, told, None))))
+            for first in range(0, len(rows), 2000):
+                part = rows[first : first + 2000]
+                encoded = [b"".join(map(table.__getitem__, c.tolist())) for _, c in part]
+                decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(e, dtype="<u4").tolist())) for e in encoded]
+                numbers = pa.array([i for i, _ in part], pa.int64())
+                if digests:
+                    yield pa.RecordBatch.from_arrays(
+                        [numbers, pa.array([len(e) // 4 for e in encoded], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in (encoded, decoded))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                    )
+                else:
+                    yield pa.RecordBatch.from_arrays([numbers, pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "text_bytes"])
 
-        def block(codes: _Codes, told: int, rows: list) -> pa.RecordBatch:
-            states = first_states(list(islice(codes, told, None)), pairs)
-            lists = pa.ListArray.from_arrays(pa.array([0, len(states)], pa.int32()), states)
-            return pa.RecordBatch.from_arrays([pa.array([told == len(known)]), lists, pa.array([rows], pa.list_(document))], names=["anew", "words", "documents"])
-
-        codes, rows, size = _Codes(known), [], 0
-        told = len(known)
         for batch in slices(batches):
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = find(t or "")
-                rows.append({"doc_id": i, "codes": np.fromiter(map(codes.__getitem__, words), dtype=np.uint32, count=len(words)).tobytes()})
+                found = find(t or "")
+                rows.append((i, np.fromiter(map(codes.__getitem__, found), dtype=np.uint32, count=len(found))))
                 size += len(t or "")
                 if size >= BLOCK_BYTES or len(codes) - told >= BLOCK_WORDS:
-                    yield block(codes, told, rows)
+                    yield from block()
                     rows, size, told = [], 0, len(codes)
                     if told - len(known) >= TASK_WORDS:
+                        del table[len(known) :]
                         codes, told = _Codes(known), len(known)
-        if rows:
-            yield block(codes, told, rows)
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, pieces = _rows_of(shared.value[1]), shared.value[2].to_pylist()
-        known = len(table)
-        for batch in batches:
-            for at in range(len(batch)):
-                # The blocks of a task come in order, and a block's words have the codes after those of the blocks before it.
-                if batch.column("anew")[at].as_py():
-                    del table[known:]
-                table += _rows_of(batch.column("ids")[at].values)
-                rows = batch.column("documents")[at].as_py()
-                for first in range(0, len(rows), 2000):
-                    part = rows[first : first + 2000]
-                    encoded = [b"".join(map(table.__getitem__, np.frombuffer(r["codes"], dtype=np.uint32).tolist())) for r in part]
-                    decoded = [b"".join(map(pieces.__getitem__, np.frombuffer(e, dtype="<u4").tolist())) for e in encoded]
-                    ids = pa.array([r["doc_id"] for r in part], pa.int64())
-                    if digests:
-                        yield pa.RecordBatch.from_arrays(
-                            [ids, pa.array([len(e) // 4 for e in encoded], pa.int64()), *(pa.array([hashlib.sha256(x).hexdigest() for x in xs]) for xs in (encoded, decoded))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-                        )
-                    else:
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(encoded, pa.binary()), pa.array(decoded, pa.binary())], names=["doc_id", "ids", "text_bytes"])
+        yield from block()
 
     rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    blocks = rows.mapInArrow(split, "anew boolean, words array<array<long>>, documents array<struct<doc_id:long,codes:binary>>")
-    folded = blocks.select("anew", merges.apply(lambda fold: F.transform("words", fold)).alias("ids"), "documents")
-    return folded.mapInArrow(assemble, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else RESULT)
-
-
-def _rows_of(lists: pa.ListArray) -> list[bytes]:
-    """Each list of ids as little-endian bytes, cut from the flat values at once."""
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-    ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)) * 4 if len(lists) else []
-    starts = [0, *ends[:-1]] if len(lists) else []
-    return [flat[s:e] for s, e in zip(starts, ends)]
+    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else RESULT)
 
 
 def decode(tokens: DataFrame, ranks: dict[bytes, int], ids: str = "ids") -> DataFrame:
