@@ -197,3 +197,16 @@ def test_token_files_of_nothing(spark, nothing):
     folder = fresh_path(spark, "token-orc-empty")
     token_orc.write(nothing, folder, MODEL)
     assert token_orc.read(spark, folder).count() == 0
+
+
+def test_numbered_pieces_equal_library_and_start_anew(monkeypatch):
+    """Ids copied by number, over several calls and after the numbers start anew; null and empty texts are an end alone."""
+    monkeypatch.setattr(token_orc, "CACHE", 30)
+    known, library = token_orc.TextIds(open(MODEL).read(), 1), Tokenizer.from_file(MODEL)
+    draw = random.Random(3)
+    for _ in range(20):
+        texts = [None, "", " \n"] + [" ".join("".join(draw.choices("abcÉ'1!中", k=draw.randint(1, 6))) for _ in range(draw.randint(0, 9))) for _ in range(8)]
+        ids, counts = known.encode([t if t is None else t.encode() for t in texts])
+        want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
+    assert not known.pieces and known.encode([])[0].tolist() == []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 
 import numpy as np
@@ -96,8 +97,59 @@ class PieceIds(dict):
                 self[word] = np.array(self._ids(word), dtype="<u4").tobytes()
 
 
-#: The pieces a Python worker has learned, by tokenizer, for its next task.
-_LEARNED: dict[str, PieceIds] = {}
+class TextIds:
+    """Ids of texts put together from numbered pieces: a piece is looked up once, all its ids are copied by number.
+
+    Number 0 stands for the end of a text. Pieces and their ids stay until there are more than ``CACHE``.
+    """
+
+    def __init__(self, model: str, end_id: int):
+        self.pieces, self.end = PieceIds(model), end_id
+        self._anew()
+
+    def _anew(self) -> None:
+        self.numbers: dict[str, int] = _Numbers({"\n": 0})
+        self.ids, self.sizes = np.array([self.end], dtype=np.int32), np.array([1], dtype=np.int64)
+        self.starts = np.array([0], dtype=np.int64)
+
+    def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, each with the end id, and how many each text has."""
+        if len(self.numbers) > CACHE:
+            self._anew()
+        number, end = self.numbers.__getitem__, np.zeros(1, dtype=np.int64)
+        coded = []
+        for t in texts:
+            pieces = PieceIds.split(t or b"")
+            coded += [np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)), end]
+        new = list(islice(self.numbers, len(self.sizes), None))
+        if new:
+            self.pieces.learn(set(new))
+            found = [self.pieces[p] for p in new]
+            # They are kept by number from here on.
+            self.pieces.clear()
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), dtype="<i4")))
+            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4))
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        if not coded:
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
+        codes = np.concatenate(coded)
+        sizes = self.sizes[codes]
+        to = np.cumsum(sizes)
+        ids = self.ids[np.repeat(self.starts[codes] - to + sizes, sizes) + np.arange(to[-1])]
+        first = np.cumsum([0, *(len(c) + 1 for c in coded[::2])])[:-1]
+        return ids, np.add.reduceat(sizes, first)
+
+
+class _Numbers(dict):
+    """Piece to number; a new piece gets the next one."""
+
+    def __missing__(self, piece: str) -> int:
+        number = self[piece] = len(self)
+        return number
+
+
+#: The pieces a Python worker has learned, by tokenizer and end id, for its next task.
+_LEARNED: dict[tuple[str, int], TextIds] = {}
 
 
 def write(documents: DataFrame, folder: str, model_path: str, end_id: int = 1, doc_id: str = "doc_id", text: str = "text", stripe_mb: int = 16, index_rows: int = 1000) -> None:
@@ -115,24 +167,21 @@ def write(documents: DataFrame, folder: str, model_path: str, end_id: int = 1, d
     """
     model, rows = Path(model_path).read_text(encoding="utf-8"), documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     PieceIds(model).check()
-    shared, end = documents.sparkSession.sparkContext.broadcast(model), np.array([end_id], dtype="<u4").tobytes()
+    shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before = TaskContext.get().partitionId(), 0
-        if shared.value not in _LEARNED:
+        slot = (shared.value, end_id)
+        if slot not in _LEARNED:
             _LEARNED.clear()
-            _LEARNED[shared.value] = PieceIds(shared.value)
-        known = _LEARNED[shared.value]
+            _LEARNED[slot] = TextIds(*slot)
+        known = _LEARNED[slot]
         for batch in slices(batches):
-            texts = [PieceIds.split(t or b"") for t in batch.column("text").to_pylist()]
-            known.learn(set().union(*texts))
-            ids = [b"".join(map(known.__getitem__, pieces)) + end for pieces in texts]
-            counts = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
+            ids, counts = known.encode(batch.column("text").to_pylist())
             ends = np.concatenate(([0], np.cumsum(counts)))
-            flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ids), part, dtype=np.int32)), pa.array(before + ends[:-1]), pa.array(counts.astype(np.int32)), lists],
+                [batch.column("doc_id"), pa.array(np.full(len(counts), part, dtype=np.int32)), pa.array(before + ends[:-1]), pa.array(counts.astype(np.int32)), lists],
                 names=["doc_id", "part", "before", "n_tokens", "ids"],
             )
             before += int(ends[-1])
