@@ -210,3 +210,20 @@ def test_numbered_pieces_equal_library_and_start_anew(monkeypatch):
         want = [[*library.encode(t or "", add_special_tokens=False).ids, 1] for t in texts]
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for w in want for i in w]
     assert not known.pieces and known.encode([])[0].tolist() == []
+
+
+def test_texts_are_cut_as_bytes_like_the_pattern():
+    """Many texts at once, parted by arrays as the pattern parts each word; a distinct piece is given to the library once."""
+    parts = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9À-ÖØ-öø-ÿ]+", re.ASCII)
+    plain = re.compile(r"[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+    draw = random.Random(11)
+    for _ in range(3000):
+        text = "".join(draw.choices("aSétÀÿrevlmd'''!-_19 \n\x0b\x1c\x00×÷中́", k=draw.randint(0, 14))).encode() + b"\n"
+        want = [p for w in text.split() for p in (parts.findall(w.decode().lower()) if plain.fullmatch(w.decode()) else [w.decode()])]
+        pieces, begins = token_orc.cut(text)
+        assert [p.decode() for p in pieces.to_pylist()] == want and len(begins) == len(want), text
+    known, given = token_orc.TextIds(open(MODEL).read(), 1), []
+    learn = known.pieces.of
+    known.pieces.of = lambda new: given.extend(new.to_pylist()) or learn(new)
+    known.encode([b"one two's", None, b"ONE \xe4\xb8\xad two"]), known.encode([b"two \xe4\xb8\xad three"])
+    assert given == [b"one", b"two", b"'s", "中".encode(), b"three"]

@@ -2,34 +2,85 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .text import slices
 
 #: Pieces of text whose ids a worker keeps; when full they start anew, which costs time only.
-CACHE = 400_000
+CACHE = 1_000_000
+#: Bytes of text cut and looked up at once.
+SLICE = 8 << 20
 #: A control character that stands between words given to the library together. Words that hold it are given alone.
 BREAK = "\x01"
-# How the tokenizer's pattern parts lower-case text of ASCII and the letters U+00C0 to U+00FF.
-PARTS = re.compile(r"[a-zÀ-ÖØ-öø-ÿ]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^\sa-z0-9À-ÖØ-öø-ÿ]+", re.ASCII)
-PLAIN = re.compile(rb"(?:\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])*")
-ASCII = bytes(range(128))
+# How the tokenizer's pattern parts lower-case text of ASCII and the letters U+00C0 to U+00FF, byte by byte.
+SPACE, OTHER, DIGIT, LETTER = range(4)
+LOWER = bytes(b + 32 if 65 <= b <= 90 or 0x80 <= b <= 0x9E else b for b in range(256))
+KIND = bytes(SPACE if b in b" \t\n\v\f\r" else DIGIT if 48 <= b <= 57 else LETTER if 97 <= b <= 122 or b > 127 else OTHER for b in LOWER)
+QUOTE, ONE, TWO = ord("'"), np.frombuffer(b"stmd", dtype=np.uint8), [b"re", b"ve", b"ll"]
 
 COLUMNS = "doc_id long, part int, before long, n_tokens int, ids array<int>"
 
 
+def _odd(text: np.ndarray) -> np.ndarray:
+    """True for the bytes of characters other than ASCII and the letters U+00C0 to U+00FF."""
+    tail = (text[:-1] == 0xC3) & (text[1:] >= 0x80) & (text[1:] <= 0xBF) & (text[1:] != 0x97) & (text[1:] != 0xB7)
+    odd = text >= 0x80
+    odd[1:] &= ~tail
+    odd[:-1] &= ~tail
+    return odd
+
+
+def _whole_words(text: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes of the words that are not plain, and a mask of all their bytes."""
+    blanks = np.flatnonzero(kind == SPACE)
+    stop = np.unique(np.searchsorted(blanks, np.flatnonzero(_odd(text))))
+    start = np.where(stop > 0, blanks[stop - 1] + 1, 0)
+    edges = np.zeros(len(text), dtype=np.int8)
+    edges[start] += 1
+    edges[blanks[stop]] -= 1
+    return start, np.cumsum(edges, dtype=np.int8).view(bool)
+
+
+def cut(text: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The pieces of a text that ends in white space, and the byte each begins at.
+
+    Plain words are parted as the tokenizer parts them: runs of letters, single digits, the endings 's 't 're 've 'm
+    'll 'd where no other sign stands before the quote, runs of other signs; in lower case. Other words go whole.
+    """
+    low = np.frombuffer(text.translate(LOWER), dtype=np.uint8)
+    kind = np.frombuffer(text.translate(KIND), dtype=np.uint8)
+    begins = kind == DIGIT
+    begins[0] = True
+    begins[1:] |= kind[1:] != kind[:-1]
+    quotes = np.flatnonzero((low == QUOTE) & begins)
+    first, second = low[quotes + 1], low.take(quotes + 2, mode="clip")
+    one = quotes[np.isin(first, ONE)]
+    two = quotes[np.any([(first == a) & (second == b) for a, b in TWO], axis=0)]
+    begins[one + 1] = begins[two + 1] = False
+    begins[one + 2] = begins[two + 3] = True
+    if not text.isascii():
+        raw = np.frombuffer(text, dtype=np.uint8)
+        start, inside = _whole_words(raw, kind)
+        low = np.where(inside, raw, low)
+        begins &= ~inside
+        begins[start] = True
+    solid = kind != SPACE
+    begins &= solid
+    ends = np.append(np.flatnonzero(begins[solid]), np.count_nonzero(solid)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low[solid])]), np.flatnonzero(begins)
+
+
 class PieceIds(dict):
     """Pieces of text to their ids as little-endian 32-bit integers.
 
@@ -37,28 +88,28 @@ class PieceIds(dict):
     parts, so a text's ids are those of its words in order. Plain words, of ASCII and the letters U+00C0 to
     U+00FF, no character of which combines with its neighbours, are parted further, as the tokenizer parts
     them; each part ends with the one id that ends a word. Ids always come from the library, many pieces a
-    call; ``check`` confirms these properties for a tokenizer, and every call the number of pieces.
+    call; plain pieces, in lower case and parted already, skip its normaliser and pattern. ``check`` confirms
+    these properties for a tokenizer, and every call the number of pieces.
     """
 
     def __init__(self, model: str):
         super().__init__()
         self.library = Tokenizer.from_str(model)
         self.library.encode_special_tokens = True
+        self.bare = Tokenizer(self.library.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         vocabulary = self.library.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.closing[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.mark = self._ids(BREAK)
 
-    def _ids(self, text: str) -> list[int]:
-        return self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def _ids(self, text: str, library: Tokenizer | None = None) -> list[int]:
+        return (library or self.library).encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     @staticmethod
     def split(text: bytes) -> list[str]:
         """The pieces of a text in order: parts of plain words, other words whole."""
-        plain = lambda t: PLAIN.fullmatch(t.translate(None, ASCII)) is not None
-        if plain(text):
-            return PARTS.findall(text.decode().lower())
-        return [p for w in text.split() for p in (PARTS.findall(w.decode().lower()) if plain(w) else (w.decode(),))]
+        return [p.decode() for p in cut(text + b"\n")[0].to_pylist()]
 
     def check(self) -> None:
         """Raises if this tokenizer joins what white space parts, parts words otherwise, or has no single id for the break."""
@@ -67,38 +118,51 @@ class PieceIds(dict):
             if self._ids(space.join(parted)) != [i for w in parted for i in self._ids(w)]:
                 raise ValueError("this tokenizer does not treat words apart; encode whole texts instead")
         tried = "don't 'stuff I'LL'd x1y22 a--b 'RE'x \x1ca\x7f $5,00 _a_ ''s the_end. \u00c0\u00ff\u00df'M,\u00e9"
-        if len(self.mark) != 1 or self._ids(tried) != [i for p in self.split(tried.encode()) for i in self._ids(p)]:
+        if len(self.mark) != 1 or self._ids(tried) != self.of(cut(tried.encode() + b"\n")[0])[0].tolist():
             raise ValueError("this tokenizer parts words in another way; encode whole texts instead")
 
-    def _put(self, pieces: list[str], flat: np.ndarray, last: np.ndarray, drop: int) -> None:
-        """Each piece gets the ids up to its place in ``last``, without the final ``drop``."""
-        if len(last) != len(pieces):
+    def of(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in order and how many each has, in two calls of the library and one for each piece that holds the break."""
+        if not len(pieces):
+            return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
+        odd = _odd(np.frombuffer(b"".join(pieces.to_pylist()), dtype=np.uint8))
+        lengths = pc.binary_length(pieces).to_numpy()
+        whole = np.logical_or.reduceat(odd, np.cumsum(lengths) - lengths)
+        plain = pieces.filter(pa.array(~whole))
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(plain)], pa.int32()), plain), b" ")[0].as_py()
+        flat = np.array(self._ids(joined.decode(), self.bare), dtype=np.int32)
+        last = np.flatnonzero(self.closing[flat])
+        if len(last) != len(pieces) - np.count_nonzero(whole):
             raise ValueError("the tokenizer parted words in another way")
-        data, start = flat.tobytes(), 0
-        for piece, end in zip(pieces, ((last + 1) * 4).tolist()):
-            self[piece] = data[start : end - 4 * drop]
-            start = end
+        sizes = np.zeros(len(pieces), dtype=np.int64)
+        sizes[~whole] = np.diff(last, prepend=-1)
+        if not whole.any():
+            return flat, sizes
+        lists = self._whole([p.decode() for p in pieces.filter(pa.array(whole)).to_pylist()])
+        sizes[whole] = list(map(len, lists))
+        ids, theirs = np.empty(int(sizes.sum()), dtype=np.int32), np.repeat(whole, sizes)
+        ids[~theirs], ids[theirs] = flat, np.concatenate(lists)
+        return ids, sizes
+
+    def _whole(self, words: list[str]) -> list[np.ndarray]:
+        """The ids of each word, from whole words given together where none holds the break."""
+        together = [w for w in words if BREAK not in w]
+        flat = np.array(self._ids("".join(f"{w} {BREAK} " for w in together)), dtype=np.int32)
+        parts = np.split(flat, np.flatnonzero(flat == self.mark[0]) + 1)[:-1]
+        if len(parts) != len(together):
+            raise ValueError("the tokenizer parted words in another way")
+        given = iter(parts)
+        return [np.array(self._ids(w), dtype=np.int32) if BREAK in w else next(given)[:-1] for w in words]
 
     def learn(self, pieces: set[str]) -> None:
-        """Adds the pieces not known yet, in two calls of the library and one for each that holds the break."""
-        if len(self) > CACHE:
-            self.clear()
-        plain: list[str] = []
-        whole: list[str] = []
-        for piece in pieces.difference(self):
-            (plain if piece.isascii() or PLAIN.fullmatch(piece.encode().translate(None, ASCII)) else whole).append(piece)
-        flat = np.array(self._ids(" ".join(plain)), dtype="<u4")
-        self._put(plain, flat, np.flatnonzero(self.closing[flat]), 0)
-        together = [w for w in whole if BREAK not in w]
-        flat = np.array(self._ids("".join(f"{w} {BREAK} " for w in together)), dtype="<u4")
-        self._put(together, flat, np.flatnonzero(flat == self.mark[0]), 1)
-        for word in whole:
-            if BREAK in word:
-                self[word] = np.array(self._ids(word), dtype="<u4").tobytes()
+        """Adds the pieces not known yet."""
+        new = list(pieces.difference(self))
+        ids, sizes = self.of(pa.array([p.encode() for p in new], pa.binary()))
+        self.update(zip(new, (x.astype("<u4").tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1]))))
 
 
 class TextIds:
-    """Ids of texts put together from numbered pieces: a piece is looked up once, all its ids are copied by number.
+    """Ids of texts put together from numbered pieces: the distinct pieces of a call are looked up, all ids are copied by number.
 
     Number 0 stands for the end of a text. Pieces and their ids stay until there are more than ``CACHE``.
     """
@@ -108,46 +172,42 @@ class TextIds:
         self._anew()
 
     def _anew(self) -> None:
-        self.numbers: dict[str, int] = _Numbers({"\n": 0})
+        self.known = pa.array([b"\n"], pa.binary())
         self.ids, self.sizes = np.array([self.end], dtype=np.int32), np.array([1], dtype=np.int64)
         self.starts = np.array([0], dtype=np.int64)
 
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The number of each of these distinct pieces; new ones are learned and get the next ones."""
+        found = pc.index_in(pieces, value_set=self.known)
+        unknown = found.is_null()
+        new = pieces.filter(unknown)
+        numbers = found.fill_null(0).to_numpy().astype(np.int64)
+        if len(new):
+            ids, sizes = self.pieces.of(new)
+            numbers[unknown.to_numpy(zero_copy_only=False)] = np.arange(len(self.known), len(self.known) + len(new))
+            self.known = pa.concat_arrays([self.known, new])
+            self.ids, self.sizes = np.concatenate((self.ids, ids)), np.concatenate((self.sizes, sizes))
+            self.starts = np.cumsum(self.sizes) - self.sizes
+        return numbers
+
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, each with the end id, and how many each text has."""
-        if len(self.numbers) > CACHE:
-            self._anew()
-        number, end = self.numbers.__getitem__, np.zeros(1, dtype=np.int64)
-        coded = []
-        for t in texts:
-            pieces = PieceIds.split(t or b"")
-            coded += [np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)), end]
-        new = list(islice(self.numbers, len(self.sizes), None))
-        if new:
-            self.pieces.learn(set(new))
-            found = [self.pieces[p] for p in new]
-            # They are kept by number from here on.
-            self.pieces.clear()
-            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(found), dtype="<i4")))
-            self.sizes = np.concatenate((self.sizes, np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // 4))
-            self.starts = np.cumsum(self.sizes) - self.sizes
-        if not coded:
+        if not texts:
             return np.empty(0, dtype=np.int32), np.empty(0, dtype=np.int64)
-        codes = np.concatenate(coded)
+        if len(self.known) > CACHE:
+            self._anew()
+        texts = [t or b"" for t in texts]
+        pieces, begins = cut(b"\n".join(texts) + b"\n")
+        before = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in texts]))
+        coded = pieces.dictionary_encode()
+        codes = np.insert(self._numbers(coded.dictionary)[coded.indices.to_numpy()], before, 0)
         sizes = self.sizes[codes]
         to = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[codes] - to + sizes, sizes) + np.arange(to[-1])]
-        first = np.cumsum([0, *(len(c) + 1 for c in coded[::2])])[:-1]
+        first = np.concatenate(([0], before[:-1] + np.arange(1, len(before))))
         return ids, np.add.reduceat(sizes, first)
 
 
-class _Numbers(dict):
-    """Piece to number; a new piece gets the next one."""
-
-    def __missing__(self, piece: str) -> int:
-        number = self[piece] = len(self)
-        return number
-
-
 #: The pieces a Python worker has learned, by tokenizer and end id, for its next task.
 _LEARNED: dict[tuple[str, int], TextIds] = {}
 
@@ -176,7 +236,7 @@ def write(documents: DataFrame, folder: str, model_path: str, end_id: int = 1, d
             _LEARNED.clear()
             _LEARNED[slot] = TextIds(*slot)
         known = _LEARNED[slot]
-        for batch in slices(batches):
+        for batch in slices(batches, max_bytes=SLICE):
             ids, counts = known.encode(batch.column("text").to_pylist())
             ends = np.concatenate(([0], np.cumsum(counts)))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
