@@ -71,13 +71,13 @@ def past_only_support(
 
     Both counts are differences of running sums. A trade counts for moments in ``(us, us+window]``.
     An entity counts once per window through its latest trade in it: a trade stops counting when the
-    entity trades again. So nothing is collected and no frame is re-scanned.
+    entity trades again (of equal moments all but one stop at once). So nothing is collected, no frame is
+    re-scanned, and the rows are shuffled once, to the slices of their entity.
     """
     shard = shard or 3 * window
-    moments = df.groupBy(market, us, entity).agg(F.count(F.lit(1)).alias("_n"))
     look = W.partitionBy(market, entity, "_shard").orderBy(us)
     spans = (
-        halo_shards(moments, us, window, shard, ahead=True)
+        halo_shards(df.select(market, us, entity), us, window, shard, ahead=True)
         .withColumn("_next", F.lead(us).over(look))
         .filter("_core")
         .withColumn("_until", F.least(F.col("_next"), F.col(us) + F.lit(window)))
@@ -86,8 +86,8 @@ def past_only_support(
         market,
         F.explode(
             F.array(
-                F.struct(F.col(us).alias("pos"), F.col("_n").alias("dn"), F.lit(1).alias("de"), F.col(us).alias("seen")),
-                F.struct((F.col(us) + F.lit(window)).alias("pos"), (-F.col("_n")).alias("dn"), F.lit(0).alias("de"), F.lit(None).cast("bigint").alias("seen")),
+                F.struct(F.col(us).alias("pos"), F.lit(1).cast("bigint").alias("dn"), F.lit(1).alias("de"), F.col(us).alias("seen")),
+                F.struct((F.col(us) + F.lit(window)).alias("pos"), F.lit(-1).cast("bigint").alias("dn"), F.lit(0).alias("de"), F.lit(None).cast("bigint").alias("seen")),
                 F.struct(F.col("_until").alias("pos"), F.lit(0).cast("bigint").alias("dn"), F.lit(-1).alias("de"), F.lit(None).cast("bigint").alias("seen")),
             )
         ).alias("e"),
