@@ -22,3 +22,8 @@ def test_spread_leaves_wide_tables_alone(spark):
     cores = spark.sparkContext.defaultParallelism
     assert S.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == cores
     assert S.spread(spark.range(10, numPartitions=3 * cores)).rdd.getNumPartitions() == 3 * cores
+
+
+def test_spread_does_not_shuffle_a_table_with_a_split_a_core(spark):
+    table = spark.range(10, numPartitions=spark.sparkContext.defaultParallelism)
+    assert S.spread(table) is table

@@ -82,6 +82,10 @@ def staged(spark: SparkSession, key: str, build) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a table stored in a few splits one task per core; a table of many splits is left alone."""
+    """Give a table stored in fewer splits than there are cores one task per core; any other is left alone.
+
+    Spark cuts a table of any size up to cores x 128 MB into about as many splits as there are cores, so asking
+    for more would shuffle all of it for nothing.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= 2 * cores else df.repartition(cores)
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
