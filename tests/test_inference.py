@@ -134,3 +134,34 @@ def test_bootstrap_hands_no_arrow_batch_of_blocks_to_a_worker(spark, rows):
     stats = B.cluster_stats(rows, [], "entity", "y", ["a", "b"])
     plan = B.bootstrap(stats, [], ["a", "b"], 7, 5, block_clusters=4)._jdf.queryExecution().optimizedPlan().toString()
     assert "InPandas" not in plan and "InArrow" not in plan
+
+
+@pytest.mark.parametrize("count", [1, 6, 256, 257, 1003, 10_007, 40_000])
+def test_numbered_digests_are_md5(count):
+    from tradewind.functions.md5 import numbered_digests
+
+    heads = [b"1729:%d:" % d for d in (0, 7, 10, 1999)] + [b"-3:123456:", b""]
+    for head, words in zip(heads, numbered_digests(heads, count), strict=True):
+        want = b"".join(hashlib.md5(head + b"%d" % i).digest() for i in range(count))
+        assert np.stack(words, axis=1).astype(">u4").tobytes() == want
+
+
+def test_a_draw_is_made_once_however_many_blocks(spark, rows, monkeypatch):
+    times = [t.tolist() for t in B.times_drawn(1030, 3, 5, 9)]
+    assert times == [np.bincount(picks(9, d, 1030), minlength=1030).tolist() for d in (3, 4)]
+    heads = spark.sparkContext.accumulator(0)
+    made = B.times_drawn
+
+    def counted(g, low, high, seed):
+        heads.add(high - low)
+        return made(g, low, high, seed)
+
+    monkeypatch.setattr(B, "times_drawn", counted)
+    stats = B.cluster_stats(rows, [], "entity", "y", ["a", "b"])
+    assert B.bootstrap(stats, [], ["a", "b"], 30, 5, block_clusters=2).count() == 30 and heads.value == 30
+
+
+def test_sums_are_not_shuffled_for_the_draws(spark, rows):
+    stats = B.cluster_stats(rows, [], "entity", "y", ["a", "b"])
+    found = B.bootstrap(stats, [], ["a", "b"], 30, 5)
+    assert "shuffle" not in found.rdd.toDebugString().decode().lower()
