@@ -223,6 +223,28 @@ def test_shared_boosting_equals_plain_trees(spark):
     assert T.boost(rows.limit(0), "entity", "x", "n", "s", configs).count() == 0
 
 
+def test_models_grown_alone_equal_those_grown_together(spark, monkeypatch):
+    from tradewind.operators import trees as T
+
+    rng = np.random.default_rng(12)
+    # Few distinct rows, some of no count, one key twice, one null and one feature without a value.
+    x, n = rng.integers(0, 3, (400, 4)).astype(float), rng.integers(0, 4, (400, 2)).astype(float)
+    s = n * rng.normal(size=(400, 2))
+    cells = [(None if i == 7 else i // 2 * 2 if i < 4 else i, [None, *x[i][1:].tolist()] if i == 9 else x[i].tolist(), n[i].tolist(), s[i].tolist()) for i in range(400)]
+    rows = spark.createDataFrame(cells, "entity long, x array<double>, n array<double>, s array<double>").repartition(3)
+    configs = [T.Growth(0.3, 7, 1.0, 5.0, True), T.Growth(0.5, 9, 1.0, 2.0)]
+    of = lambda found: sorted((-1 if r["key"] is None else r["key"], *r["p"]) for r in found.collect())
+    jobs, alone = [], T._grown_alone
+    monkeypatch.setattr(T, "_grown_alone", lambda packed, *a: (jobs.append(packed), alone(packed, *a))[1])
+    got = of(T.boost(rows, "entity", "x", "n", "s", configs, trees=8))
+    # No value counts as the greatest.
+    distinct = len({(2.0 if c[1][0] is None else c[1][0], *c[1][1:]) for c in cells})
+    assert len(jobs) == 1 and sum(r["r"] for r in jobs[0].collect()) == distinct < 100
+    monkeypatch.setattr(T, "BOOST_ROWS", 10)
+    want = of(T.boost(rows, "entity", "x", "n", "s", configs, trees=8))
+    assert len(jobs) == 1 and len(got) == len(want) == 400 and np.allclose(got, want, atol=1e-9)
+
+
 def test_histograms_read_only_cells_beside_the_usual_bin():
     from tradewind.operators import trees as T
 

@@ -1,16 +1,18 @@
-"""Gradient-boosted trees of many folds and configurations, grown together from shared histograms.
-
-Features are cut into bins once. Every pass over the rows returns one sum of (model, leaf, feature, bin)
-gradients and counts for all models at once, where a model is a (fit, configuration) pair; the driver sees
-only these sums, whose size does not depend on the number of rows. The squared loss lets an entity stand for
-all its trades by its count and target sum. Leaves grow best gain first; the left child of a split is
-counted, the right one is its parent's remainder. Of each feature only the bins beside its most frequent one
-are counted; that one is the leaf's remainder, so a one-hot feature costs its ones only.
+"""Gradient-boosted trees of many folds and configurations, grown from histograms.
+
+Features are cut into bins once, and rows of equal bins are added up, as no tree can part them. The squared
+loss lets an entity stand for all its trades by its count and target sum. A model is a (fit, configuration)
+pair. While the distinct rows fit one task (``BOOST_ROWS``), every model is grown whole by a task of its own;
+of more, every pass over the rows returns one sum of (model, leaf, feature, bin) gradients and counts for all
+models at once, and the driver sees only these sums, whose size does not depend on the number of rows. Both
+ways grow by the same steps. Leaves grow best gain first; the left child of a split is counted, the right one
+is its parent's remainder. Of each feature only the bins beside its most frequent one are counted; that one is
+the leaf's remainder, so a one-hot feature costs its ones only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
-#: Trees after which the kept predictions are made from the written rows; partitions whose sums the driver adds without a tree of adders.
-REBUILD_EVERY, FLAT_REDUCE = 25, 64
+#: Trees after which the kept predictions are made from the written rows; bytes of sums the driver adds without a tree of adders.
+REBUILD_EVERY, FLAT_REDUCE = 25, 8 << 20
+#: Distinct rows up to which a task grows a whole model.
+BOOST_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -50,22 +54,30 @@ def bin_edges(rows: DataFrame, x: str, bins: int = 255) -> list[np.ndarray]:
     return [found.get(i, np.zeros(1)) for i in range(max(found, default=-1) + 1)]
 
 
-def _packed(rows: DataFrame, key: str, x: str, n: str, s: str, edges: list[np.ndarray]) -> DataFrame:
-    """One row for each batch of rows: keys, bins, counts and sums as bytes."""
+def _cells(rows: DataFrame, key: str, x: str, n: str, s: str, edges: list[np.ndarray]) -> DataFrame:
+    """Every row with its bins as bytes."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not len(batch):
-                continue
-            wide = lambda c: batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            values = wide("x")
-            bins = np.stack([np.searchsorted(e[:-1], values[:, f], side="left") for f, e in enumerate(edges)], axis=1).astype(np.uint8)
-            keys = pa.array([batch.column("key").to_pylist()])
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array([v.tobytes()], pa.binary()) for v in (bins, wide("n"), wide("s")))], names=["keys", "bins", "n", "s"])
+            if len(batch):
+                features = pa.array([b.tobytes() for b in _binned(_wide(batch.column("x")), edges)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("key"), features, batch.column("n"), batch.column("s")], names=["key", "features", "n", "s"])
 
     kind = rows.schema[key].dataType.simpleString()
     doubles = [F.col(c).cast("array<double>").alias(a) for c, a in ((x, "x"), (n, "n"), (s, "s"))]
-    return rows.select(F.col(key).alias("key"), *doubles).mapInArrow(pack, f"keys array<{kind}>, bins binary, n binary, s binary")
+    return rows.select(F.col(key).alias("key"), *doubles).mapInArrow(cut, f"key {kind}, features binary, n array<double>, s array<double>")
+
+
+def _packed(groups: DataFrame) -> DataFrame:
+    """One row for each batch of distinct rows: number of rows, bins, counts and sums as bytes."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                parts = (b"".join(batch.column("features").to_pylist()), _wide(batch.column("n")).tobytes(), _wide(batch.column("s")).tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64()), *(pa.array([v], pa.binary()) for v in parts)], names=["r", "bins", "n", "s"])
+
+    return groups.select("features", "n", "s").mapInArrow(pack, "r long, bins binary, n binary, s binary")
 
 
 class _Trees:
@@ -159,40 +171,43 @@ def _completed(hist: np.ndarray, first: np.ndarray, usual: np.ndarray) -> np.nda
     return cells
 
 
-def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growth], trees: int = 300, bins: int = 255) -> DataFrame:
-    """(key, p): predictions of all models for every row, models ordered by fit, then configuration.
+@dataclass(frozen=True)
+class _Shape:
+    """What growing needs of the models and the bins; ``fit`` and ``grown`` are the fit and the growth of each model."""
 
-    ``n`` and ``s`` are arrays with each fit's count and target sum of the row; a row of count 0 is not
-    trained on, only predicted. ``x`` is an array of numbers, null counting as NaN and so as the greatest;
-    rows must have equally long ones. A fit without any count predicts 0. An empty table gives an empty result.
-    """
-    edges = bin_edges(rows, x, bins)
-    packed = written(_packed(rows, key, x, n, s, edges), "binned")
-    sizes = packed.select(F.length("n").alias("b"), F.size("keys").alias("r")).where("r > 0").first()
-    kind = rows.schema[key].dataType.simpleString()
-    if sizes is None or not edges:
-        return rows.limit(0).select(F.col(key).alias("key"), F.lit(None).cast("array<double>").alias("p"))
-    fits = sizes["b"] // 8 // sizes["r"]
-    fit = np.repeat(np.arange(fits), len(configs))
-    grown = [c for _ in range(fits) for c in configs]
-    width = np.array([max(1, len(e)) for e in edges])
-    first, total = np.concatenate(([0], np.cumsum(width)[:-1])), int(width.sum())
+    fit: np.ndarray
+    grown: list[Growth]
+    width: np.ndarray
+    usual: np.ndarray
+
+    @property
+    def first(self) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(self.width)[:-1]))
+
+    @property
+    def total(self) -> int:
+        return int(self.width.sum())
+
+    @property
+    def nodes(self) -> int:
+        return 2 * max(1 << c.depth if c.by_depth else c.leaves for c in self.grown) - 1
+
+
+def _boosted(shape: _Shape, trees: int, passes: Callable[[list[_Trees]], Callable]) -> list[_Trees]:
+    """All trees of all models. ``passes`` is told the trees so far and gives what sums the wanted nodes of the next one."""
+    fit, grown, width, first, total = shape.fit, shape.grown, shape.width, shape.first, shape.total
     l2, least, rate = (np.array([getattr(c, a) for c in grown]) for a in ("l2", "min_rows", "rate"))
     budget, deepest = np.array([c.leaves if not c.by_depth else 1 << c.depth for c in grown]), np.array([c.depth for c in grown])
-    nodes = 2 * int(budget.max()) - 1
     # A cut after the last bin of a feature parts nothing.
     usable = np.ones(total, dtype=bool)
     usable[first + width - 1] = False
     feature_of = np.repeat(np.arange(len(width)), width)
-
-    source = packed.rdd
-    flat = source.getNumPartitions() <= FLAT_REDUCE
+    before, later = np.where(first > 0, first - 1, 0), first[:, None] > 0
 
     def best(hist: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, ...]:
         """Gain, cut and left sums of the best split of each slot; ``of`` is its model."""
         sums = np.cumsum(hist, axis=1)
-        before = np.where(first > 0, first - 1, 0)
-        left = sums - np.where(first[:, None] > 0, sums[:, before], 0)[:, feature_of]
+        left = sums - np.where(later, sums[:, before], 0)[:, feature_of]
         whole = sums[:, width[0] - 1][:, None]
         right = whole - left
         score = lambda a: a[..., 0] ** 2 / np.maximum(a[..., 1] + l2[of][:, None], 1e-300)
@@ -203,30 +218,17 @@ def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growt
         one = np.arange(len(hist))
         return gain[one, at], at, left[one, at], whole[:, 0]
 
-    ensemble, state = [], None
-    level = source.map(lambda r: _totals(r, fits, first, total)).treeReduce(lambda a, b: tuple(map(np.add, a, b)))
-    start = np.where(level[1] > 0, level[0] / np.maximum(level[1], 1e-300), 0.0)[fit]
-    usual = np.array([level[2][a : a + w].argmax() for a, w in zip(first, width)], dtype=np.uint8)
-    for number in range(trees):
-        old = state
-        if number % REBUILD_EVERY == 0:
-            # Made from the written rows and all trees so far, so the lineage stays short.
-            known = source.context.broadcast((start, list(ensemble)))
-            state = source.map(lambda r, known=known: _block(_unpacked(r, fits, *known.value), usual, first))
-        else:
-            state = state.map(lambda b, last=ensemble[-1]: b.after(last))
-        state.persist(StorageLevel.MEMORY_AND_DISK)
-        tree = _Trees(len(fit), nodes)
+    ensemble: list[_Trees] = []
+    for _ in range(trees):
+        sums, tree = passes(ensemble), _Trees(len(fit), shape.nodes)
 
-        def histograms(want: list[tuple[int, int]], tree=tree, state=state) -> np.ndarray:
+        def histograms(want: list[tuple[int, int]], tree=tree, sums=sums) -> np.ndarray:
             """Of the wanted nodes, which are in order of their models."""
             begin = np.searchsorted([m for m, _ in want], np.arange(len(fit) + 1))
-            slot = np.full((len(fit), nodes), -1, dtype=np.int64)
+            slot = np.full((len(fit), shape.nodes), -1, dtype=np.int64)
             for i, (m, node) in enumerate(want):
                 slot[m, node] = i - begin[m]
-            parts = state.mapPartitions(lambda b: _histogram(b, tree, slot, begin, fit, total))
-            summed = parts.reduce(lambda a, b: a + b) if flat else parts.treeReduce(lambda a, b: a + b)
-            return _completed(summed, first, usual)
+            return _completed(sums(tree, slot, begin), first, shape.usual)
 
         # Open leaves of each model by node: histogram, gain, cut, left sums, own sums, depth.
         leaves: list[dict[int, tuple]] = [{} for _ in fit]
@@ -241,8 +243,6 @@ def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growt
 
         roots = [(m, 0) for m in range(len(fit))]
         opened(roots, histograms(roots), [0] * len(fit))
-        if old is not None:
-            old.unpersist()
         while True:
             chosen = []
             for m in range(len(fit)):
@@ -272,17 +272,141 @@ def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growt
             opened(places, hist, depth)
             opened([(m, node + 1) for m, node in places], rest, depth)
         ensemble.append(tree)
-    if state is not None:
-        state.unpersist()
-    everything = source.context.broadcast((start, ensemble))
+    return ensemble
+
+
+class _OwnRows:
+    """All distinct rows for one model, with the node of the growing tree that each is in."""
+
+    def __init__(self, bins: np.ndarray, n: np.ndarray, s: np.ndarray, start: float, shape: _Shape):
+        self.bins, self.n, self.s, self.shape, self.p = bins, n, s, shape, np.full(len(n), start)
+        self.trained = np.flatnonzero(n > 0)
+        row, feature = np.nonzero(bins[self.trained] != shape.usual)
+        self.row, self.place = self.trained[row], bins[self.trained[row], feature] + shape.first[feature]
+        self.at, self.begin = np.zeros(len(n), dtype=np.int64), np.arange(len(n)) * bins.shape[1]
+
+    def down(self, tree: _Trees) -> None:
+        """One step: rows of nodes that were split go to a child, those of a leaf stay."""
+        goes = self.bins.ravel().take(self.begin + tree.feature[0].take(self.at)) <= tree.cut[0].take(self.at)
+        self.at = np.where(goes, tree.left[0].take(self.at), tree.right[0].take(self.at)).astype(np.int64)
+
+    def after(self, tree: _Trees) -> None:
+        """Predictions with the tree whose last splits are not yet gone down."""
+        self.down(tree)
+        self.p += tree.value[0].take(self.at)
+        self.at = np.zeros(len(self.n), dtype=np.int64)
+
+    def passes(self, ensemble: list[_Trees]) -> Callable:
+        if ensemble:
+            self.after(ensemble[-1])
+        weights, total = (self.n * self.p - self.s, self.n), self.shape.total
+
+        def sums(tree: _Trees, slot: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            self.down(tree)
+            out, mine = np.empty((begin[-1], total + 1, 2)), slot[0].take(self.at)
+            of = mine.take(self.row)
+            cells = np.flatnonzero(of >= 0)
+            cell, on = of[cells] * (total + 1) + self.place[cells], self.row[cells]
+            rows = self.trained[mine[self.trained] >= 0]
+            for k, weight in enumerate(weights):
+                out[:, :, k] = np.bincount(cell, weights=weight[on], minlength=out[:, :, k].size).reshape(begin[-1], -1)
+                out[:, total, k] += np.bincount(mine[rows], weights=weight[rows], minlength=begin[-1])
+            return out
+
+        return sums
+
+
+def _grown_alone(packed: DataFrame, fits: int, start: np.ndarray, shape: _Shape, trees: int) -> DataFrame:
+    """(features, p): a task a model, which reads all distinct rows."""
+
+    def grow(rows: Iterator) -> Iterator[tuple]:
+        parts, model = [], 0
+        for row in rows:
+            model = row["model"]
+            parts.append([np.frombuffer(row["bins"], dtype=np.uint8).reshape(row["r"], -1), *(np.frombuffer(row[c]).reshape(-1, fits)[:, shape.fit[model]] for c in ("n", "s"))])
+        if parts:
+            bins, n, s = map(np.concatenate, zip(*parts))
+            mine = _Shape(np.zeros(1, dtype=int), [shape.grown[model]], shape.width, shape.usual)
+            own = _OwnRows(bins, n, s, start[model], mine)
+            ensemble = _boosted(mine, trees, own.passes)
+            if ensemble:
+                own.after(ensemble[-1])
+            for i in range(0, len(bins), 10_000):
+                yield model, [b.tobytes() for b in bins[i : i + 10_000]], own.p[i : i + 10_000].tolist()
+
+    spark, models = packed.sparkSession, len(shape.fit)
+    pairs = packed.coalesce(1).hint("shuffle_replicate_nl").crossJoin(spark.range(0, models, 1, models).withColumnRenamed("id", "model"))
+    found = spark.createDataFrame(pairs.rdd.mapPartitions(grow), "model long, features array<binary>, z array<double>", verifySchema=False)
+    each = written(found.select("model", F.inline(F.arrays_zip("features", "z"))), "model_scores")
+    return each.groupBy("features").agg(F.transform(F.array_sort(F.collect_list(F.struct("model", "z"))), lambda m: m["z"]).alias("p"))
+
+
+def _grown_together(packed: DataFrame, fits: int, start: np.ndarray, shape: _Shape, trees: int) -> DataFrame:
+    """(features, p): all models at once, a pass over all rows for every round of splits."""
+    source, context = packed.rdd, packed.sparkSession.sparkContext
+    parts_of, held = source.getNumPartitions(), []
+
+    def passes(ensemble: list[_Trees]) -> Callable:
+        if len(ensemble) % REBUILD_EVERY == 0:
+            # Made from the written rows and all trees so far, so the lineage stays short.
+            known = context.broadcast((start, list(ensemble)))
+            state = source.map(lambda r, known=known: _block(_unpacked(r, fits, *known.value), shape.usual, shape.first))
+        else:
+            state = held[-1].map(lambda b, last=ensemble[-1]: b.after(last))
+        held.append(state.persist(StorageLevel.MEMORY_AND_DISK))
+
+        def sums(tree: _Trees, slot: np.ndarray, begin: np.ndarray) -> np.ndarray:
+            parts = state.mapPartitions(lambda b: _histogram(b, tree, slot, begin, shape.fit, shape.total))
+            flat = parts_of * begin[-1] * (shape.total + 1) * 16 <= FLAT_REDUCE
+            out = parts.reduce(lambda a, b: a + b) if flat else parts.treeReduce(lambda a, b: a + b)
+            for old in held[:-1]:
+                old.unpersist()
+            del held[:-1]
+            return out
+
+        return sums
+
+    everything = context.broadcast((start, _boosted(shape, trees, passes)))
+    for old in held:
+        old.unpersist()
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                p = _unpacked(row, fits, *everything.value)[3]
-                yield pa.RecordBatch.from_arrays([pa.array(row["keys"], batch.schema.field("keys").type.value_type), pa.array(list(p), pa.list_(pa.float64()))], names=["key", "p"])
+                bins, _, _, p = _unpacked(row, fits, *everything.value)
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes() for b in bins], pa.binary()), pa.array(list(p), pa.list_(pa.float64()))], names=["features", "p"])
+
+    return packed.mapInArrow(predict, "features binary, p array<double>")
 
-    return packed.mapInArrow(predict, f"key {kind}, p array<double>")
+
+def boost(rows: DataFrame, key: str, x: str, n: str, s: str, configs: list[Growth], trees: int = 300, bins: int = 255) -> DataFrame:
+    """(key, p): predictions of all models for every row, models ordered by fit, then configuration.
+
+    ``n`` and ``s`` are arrays with each fit's count and target sum of the row; a row of count 0 is not
+    trained on, only predicted. ``x`` is an array of numbers, null counting as NaN and so as the greatest;
+    rows must have equally long ones. A fit without any count predicts 0. An empty table gives an empty result.
+    """
+    edges = bin_edges(rows, x, bins)
+    kind = rows.schema[key].dataType.simpleString()
+    sizes = rows.select(F.size(n).alias("fits")).first()
+    if sizes is None or not edges:
+        return rows.limit(0).select(F.col(key).cast(kind).alias("key"), F.lit(None).cast("array<double>").alias("p"))
+    fits = sizes["fits"]
+    cells = written(_cells(rows, key, x, n, s, edges), "binned")
+    added = cells.groupBy("features").agg(*[F.array(*[F.sum(F.col(c)[i]) for i in range(fits)]).alias(c) for c in ("n", "s")])
+    groups = written(added, "bin_groups")
+    # Few rows are read by every task, more are dealt evenly over all.
+    alone = groups.count() <= BOOST_ROWS
+    packed = written(_packed(groups if alone else groups.repartition(groups.sparkSession.sparkContext.defaultParallelism, "features")), "packed_groups")
+    width = np.array([max(1, len(e)) for e in edges])
+    first, total = np.concatenate(([0], np.cumsum(width)[:-1])), int(width.sum())
+    level = packed.rdd.map(lambda r: _totals(r, fits, first, total)).treeReduce(lambda a, b: tuple(map(np.add, a, b)))
+    fit = np.repeat(np.arange(fits), len(configs))
+    start = np.where(level[1] > 0, level[0] / np.maximum(level[1], 1e-300), 0.0)[fit]
+    usual = np.array([level[2][a : a + w].argmax() for a, w in zip(first, width)], dtype=np.uint8)
+    shape = _Shape(fit, [c for _ in range(fits) for c in configs], width, usual)
+    predicted = (_grown_alone if alone else _grown_together)(packed, fits, start, shape, trees)
+    return cells.select("key", "features").join(predicted, "features").select("key", "p")
 
 
 # --- bagged forests --------------------------------------------------------------------------------

@@ -162,17 +162,19 @@ def tree_entities(t):
 
 
 def boosted(t, family, trees):
-    """(entity, fold, config_index, z): predictions of all folds' and configurations' trees, trained together."""
-    grid = L.TREE_GRID[family]
-    growth = [T.Growth(c["learning_rate"], c["max_leaf_nodes"], float(c["l2"]), **TREE_GROWTH[family]) for c in grid]
-    p = T.boost(tree_entities(t).repartition(TREE_PARTS, "entity"), "entity", "x", "n", "s", growth, trees)
-    out = p.select(F.col("key").alias("entity"), F.posexplode("p").alias("model", "z"))
-    fold = F.get(F.array(*map(F.lit, FITS)), F.expr(f"model div {len(grid)}").cast("int"))
-    return out.select("entity", fold.alias("fold"), (F.col("model") % len(grid)).cast("bigint").alias("config_index"), "z")
+    """(entity, p): predictions of all folds' and configurations' trees, by fold, then configuration."""
+    growth = [T.Growth(c["learning_rate"], c["max_leaf_nodes"], float(c["l2"]), **TREE_GROWTH[family]) for c in L.TREE_GRID[family]]
+    return T.boost(tree_entities(t), "entity", "x", "n", "s", growth, trees).withColumnRenamed("key", "entity")
+
+
+def of_fit(p, fold):
+    """The predictions of all configurations of one fit."""
+    configs = F.expr(f"size({p}) div {len(FITS)}")
+    return F.slice(p, ((F.array_position(F.array(*map(F.lit, FITS)), fold) - 1) * configs + 1).cast("int"), configs.cast("int"))
 
 
 def forest(t, family, trees, fits):
-    """The same of bagged forests for the given (fold, configuration) pairs, four fits at a time, on entities weighted by their trades."""
+    """(entity, fold, config_index, z): predictions of bagged forests for the given (fold, configuration) pairs, four fits at a time, on entities weighted by their trades."""
     grid, rows = L.TREE_GRID[family], tree_entities(t)
     edges = T.bin_edges(rows, "x")
 
@@ -196,14 +198,19 @@ def forest(t, family, trees, fits):
 
 #: What tells the boosted families apart: XGBoost's default grows whole levels with any leaf size, the others the best leaf of at least 20 rows.
 TREE_GROWTH = {"hist_gradient": {}, "lgbm_like": {}, "xgb_like": {"by_depth": True, "min_rows": 1.0}}
-TREE_PARTS = 8
 
 
 def tree_scores(t, predicted):
     """Pooled validation error of each configuration: squared errors of an entity's trades from their sums."""
     valid = t.fold_rows.filter("role = 'valid'").groupBy("fold", "market", "entity").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
     p = robust_sinh(F.col("z"), F.col("center"), F.col("scale"))
-    e = valid.join(tree_parameters(t), ["fold", "market"]).join(predicted, ["fold", "entity"]).select("fold", "config_index", "n", (F.col("n") * p * p - 2 * p * F.col("sy") + F.col("syy")).alias("sse"))
+    rows = valid.join(tree_parameters(t), ["fold", "market"])
+    if "p" in predicted.columns:
+        # Entities meet all their predictions in one row; those of the row's fold are taken after the join.
+        rows = rows.join(predicted, "entity").select(*rows.columns, F.posexplode(of_fit("p", F.col("fold"))).alias("config_index", "z")).withColumn("config_index", F.col("config_index").cast("bigint"))
+    else:
+        rows = rows.join(predicted, ["fold", "entity"])
+    e = rows.select("fold", "config_index", "n", (F.col("n") * p * p - 2 * p * F.col("sy") + F.col("syy")).alias("sse"))
     per = e.groupBy("fold", "config_index").agg(F.sum("n").alias("n"), F.sum("sse").alias("sse"), F.lit(True).alias("valid"))
     return S.pool(per, ["config_index"])
 
@@ -224,11 +231,11 @@ def tree_query(family, trees=L.TREES):
         if family == "forest":
             folds = [(fold, c) for fold in FITS[:-1] for c in range(len(L.TREE_GRID[family]))]
             best = tree_best(t, t.stage(f"trees_{family}_{trees}", lambda: forest(t, family, trees, folds)))
-            predicted = forest(t, family, trees, [("all", best)])
+            chosen = forest(t, family, trees, [("all", best)])
         else:
             predicted = boosted_stage(t, family, trees)
             best = tree_best(t, predicted)
-        chosen = predicted.filter((F.col("fold") == "all") & (F.col("config_index") == best))
+            chosen = predicted.select("entity", F.get(of_fit("p", F.lit("all")), F.lit(best).cast("int")).alias("z"))
         rows = t.evaluation.join(asinh_parameters(t), "market").join(chosen, "entity")
         rows = rows.withColumn("p_tree", robust_sinh(F.col("z"), F.col("center"), F.col("scale"))).withColumn("p_zero", F.lit(0.0))
         return M.score(rows, ["market"], "entity", "y", ["zero", "tree"]).select("market", "model", "n", *t6("rmse", "mae", "entity_rmse"), F.lit(best).cast("bigint").alias("config_index"))
@@ -239,14 +246,20 @@ def tree_query(family, trees=L.TREES):
 def tree_properties(family, trees=L.TREES):
     """Per configuration of the refit: the trades it learned from, whether it beats their mean, and whether its squared error from sums is that from trades."""
     def run(t):
-        fitted = boosted_stage(t, family, trees).filter("fold = 'all'")
+        # All configurations meet a row at once, each as a column of its own.
+        fitted = boosted_stage(t, family, trees).select("entity", of_fit("p", F.lit("all")).alias("p"))
+        configs = range(len(L.TREE_GRID[family]))
         z = robust_asinh(F.col("y"), F.col("center"), F.col("scale"))
         train = t.train.join(asinh_parameters(t), "market").select("entity", z.alias("y"))
         sums = train.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("sy"), F.sum(F.col("y") * F.col("y")).alias("syy"))
-        from_sums = sums.join(fitted, "entity").groupBy("config_index").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("z") * F.col("z") - 2 * F.col("z") * F.col("sy") + F.col("syy")).alias("sse"))
-        e = F.col("y") - F.col("z")
-        from_rows = train.join(fitted, "entity").groupBy("config_index").agg(F.sum(e * e).alias("direct"), (F.count(F.lit(1)) * F.var_pop("y")).alias("sst"))
-        return from_sums.join(from_rows, "config_index").select("config_index", "n", (F.col("direct") < F.col("sst")).alias("beats_mean"), (F.abs(F.col("sse") - F.col("direct")) <= 1e-9 * F.col("sst")).alias("errors_agree"))
+        p = [F.col("p")[i] for i in configs]
+        from_sums = sums.join(fitted, "entity").agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * p[i] * p[i] - 2 * p[i] * F.col("sy") + F.col("syy")).alias(f"sse{i}") for i in configs])
+        errors = [F.sum((F.col("y") - p[i]) * (F.col("y") - p[i])).alias(f"direct{i}") for i in configs]
+        from_rows = train.join(fitted, "entity").agg(*errors, (F.count(F.lit(1)) * F.var_pop("y")).alias("sst"))
+        both = from_sums.crossJoin(from_rows).where("n IS NOT NULL")
+        each = F.inline(F.array(*[F.struct(F.lit(i).cast("bigint").alias("config_index"), F.col(f"sse{i}").alias("sse"), F.col(f"direct{i}").alias("direct")) for i in configs]))
+        each = both.select("n", "sst", each)
+        return each.select("config_index", "n", (F.col("direct") < F.col("sst")).alias("beats_mean"), (F.abs(F.col("sse") - F.col("direct")) <= 1e-9 * F.col("sst")).alias("errors_agree"))
 
     return run
 
