@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tradewind.functions.ranking import dense_index, exact_quantiles
 
@@ -51,3 +52,22 @@ def test_dense_index_orders_nulls_nan_and_text(spark, kind, keys):
     df = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], f"k {kind}, id bigint").repartition(3)
     got = [r["k"] for r in sorted(dense_index(df, "k", "id", "r", buckets=6).collect(), key=lambda r: r["r"])]
     assert list(map(repr, got)) == [repr(r["k"]) for r in df.orderBy("k").collect()]
+
+
+def test_rows_are_not_shuffled_to_meet_few_brackets(spark):
+    rows = spark.range(3000).select(F.concat(F.lit("g"), (F.col("id") % 3).cast("string")).alias("g"), (F.col("id") * 37 % 1000).cast("double").alias("v"))
+    found = exact_quantiles(rows, ["g"], "v", {"low": 0.1, "mid": 0.5}, accuracy=100)
+    joins = [line for line in found._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins)
+    got = {r["g"]: (r["low"], r["mid"]) for r in found.collect()}
+    for k in range(3):
+        values = np.array([i * 37 % 1000 for i in range(3000) if i % 3 == k], dtype=float)
+        assert np.allclose(got[f"g{k}"], np.percentile(values, [10, 50]))
+
+
+def test_those_where_keeps_order_and_leaves_out_nulls(spark):
+    from tradewind.functions.scalars import names_where
+
+    rows = spark.sql("SELECT * FROM VALUES (1), (2), (CAST(NULL AS INT)) v(x)")
+    got = {r["x"]: r["n"] for r in rows.select("x", names_where({"all": F.lit(True), "big": F.col("x") > 1, "known": F.col("x").isNotNull()}).alias("n")).collect()}
+    assert got == {1: ["all", "known"], 2: ["all", "big", "known"], None: ["all"]}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranking import exact_quantiles
+from ..session import written
 
 # Fixed value: the 75 % point of the standard normal, which makes MAD estimate a standard deviation.
 MAD_SCALE = 0.6744897501960817
@@ -13,7 +14,8 @@ MAD_SCALE = 0.6744897501960817
 
 def robust_parameters(train: DataFrame, by: list[str], y: str) -> DataFrame:
     """Median and normalised MAD per group, exact; a zero scale is an error, not a silent divide."""
-    center = exact_quantiles(train, by, y, {"center": 0.5})
+    # Read by two passes over the rows and once more at the end; written, it is computed once, and its size is known.
+    center = written(exact_quantiles(train, by, y, {"center": 0.5}), "centers")
     distance = train.join(center, by).withColumn("_d", F.abs(F.col(y) - F.col("center")))
     scale = exact_quantiles(distance, by, "_d", {"scale": 0.5}).withColumn("scale", F.col("scale") / F.lit(MAD_SCALE))
     usable = F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.raise_error(F.lit("target scale is zero")).cast("double"))

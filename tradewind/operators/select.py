@@ -133,13 +133,13 @@ def fold_roles(ts, folds) -> "F.Column":
 
     Folds are time predicates, so assigning them is a projection: no join and no id lists.
     """
-    from ..functions.scalars import in_window
+    from ..functions.scalars import in_window, those_where
 
-    return F.array_compact(F.array(*[
-        F.when(in_window(ts, a, b), F.struct(F.lit(name).alias("fold"), F.lit(role).alias("role")))
+    return those_where([
+        (in_window(ts, a, b), F.struct(F.lit(name).alias("fold"), F.lit(role).alias("role")))
         for name, start, origin, end in folds
         for role, a, b in (("train", start, origin), ("valid", origin, end))
-    ]))
+    ], "struct<fold:string,role:string>")
 
 
 def inner_quarters(name: str, start: str, origin: str, k: int = 3) -> list[tuple[str, str, str, str]]:
